@@ -24,11 +24,17 @@ FUNCTION_SETS = {k: frozenset(v.split()) for k, v in FUNCTION_WORDS.items()}
 WORD = re.compile(r"[^\W\d_]+")
 
 
+LEAST_SHARE = 0.15
+
+
 def language(tokens: list[str]) -> tuple[str, float]:
-    """The language whose function words are the largest share of the tokens, and that share; ties go to the first."""
+    """The language whose function words are the largest share of the tokens, and that share; ties go to the first.
+
+    'und' below LEAST_SHARE. Single letters decide nothing here.
+    """
     best, share = "und", 0.0
-    n = len(tokens)
+    n, tokens = len(tokens), [t for t in tokens if len(t) > 1]
     for k, words in FUNCTION_SETS.items():
         if n and (s := sum(map(words.__contains__, tokens)) / n) > share:
             best, share = k, s
-    return best, share
+    return (best if share >= LEAST_SHARE else "und"), share
