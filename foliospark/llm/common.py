@@ -3,6 +3,10 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable, Iterable
+
+import pyarrow as pa
+from pyspark.sql import DataFrame
 
 # Character pairs that optical recognition confuses, written (true, read).
 CONFUSIONS = (
@@ -38,3 +42,39 @@ def language(tokens: list[str]) -> tuple[str, float]:
         if n and (s := sum(map(words.__contains__, tokens)) / n) > share:
             best, share = k, s
     return (best if share >= LEAST_SHARE else "und"), share
+
+
+def arrow_schema(ddl: str) -> pa.Schema:
+    """An Arrow schema from 'name type, ...' with string, int, bigint, double and arrays of them."""
+    kinds = {"string": pa.string(), "int": pa.int32(), "bigint": pa.int64(), "double": pa.float64(), "boolean": pa.bool_(), "float": pa.float32()}
+    fields = []
+    for part in ddl.split(","):
+        name, kind = part.split()
+        fields.append((name, pa.list_(kinds[kind[6:-1]]) if kind.startswith("array") else kinds[kind]))
+    return pa.schema(fields)
+
+
+def map_rows(df: DataFrame, ddl: str, make: Callable[[], Callable[..., Iterable[tuple]]]) -> DataFrame:
+    """Arrow batches through `make()`'s function, which takes a row's columns and gives result rows.
+
+    `make` runs once per task. A function with an attribute `flush` is asked for further rows after every batch
+    (flush(False)) and at the task's end (flush(True)).
+    """
+    schema = arrow_schema(ddl)
+
+    def frame(rows):
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
+
+    def run(batches):
+        each = make()
+        flush = getattr(each, "flush", None)
+        for batch in batches:
+            rows = [out for row in zip(*(batch.column(i).to_pylist() for i in range(batch.num_columns))) for out in each(*row)]
+            if flush:
+                rows += flush(False)
+            if rows:
+                yield frame(rows)
+        if flush and (rows := flush(True)):
+            yield frame(rows)
+
+    return df.mapInArrow(run, ddl)

@@ -10,11 +10,10 @@ import math
 import re
 from collections import Counter
 
-import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from ..session import materialize
-from .common import FUNCTION_SETS, language
+from .common import FUNCTION_SETS, language, map_rows
 from .repeated_lines import line_counts
 
 STATISTICS = ("log_words", "mean_word_length", "symbol_ratio", "punctuated_lines", "common_words", "digit_ratio", "words_per_line", "single_characters", "marked_lines", "broken_spacing")
@@ -90,15 +89,94 @@ def prepared(ocr: DataFrame, pages: DataFrame) -> DataFrame:
     return rows.join(at, "cache_seq")
 
 
+def page_pass(rows: DataFrame, counting: bool = False) -> DataFrame:
+    """One pass over the texts. Rows with cache_seq: lang, kind, stats of a page.
+
+    With counting, also rows without cache_seq: partial counts `n` per `what` (see count_page), to be summed.
+    """
+    def make():
+        counts: Counter = Counter()
+
+        def each(seq, text, n_pages, on):
+            own = own_lines(text, on, n_pages)
+            lang, stats = statistics(own)
+            plain = stats[4] >= 0.24 and stats[8] <= 0.3 and stats[9] <= 0.3
+            if counting and stats[4] >= 0.2:
+                count_page(text, on, n_pages, counts)
+            return [(seq, lang, ("list" if stats[8] >= stats[9] else "table") if plain else kind_of(own), stats, None, None)]
+
+        def flush(end: bool):
+            if not end and len(counts) < 500_000:
+                return []
+            rows = [(None, None, None, None, what, n) for what, n in counts.items()]
+            counts.clear()
+            return rows
+
+        each.flush = flush
+        return each
+
+    return map_rows(rows.select("cache_seq", "text", "n_pages", "on_pages"), "cache_seq bigint, lang string, kind string, stats array<double>, what string, n bigint", make)
+
+
+# Shapes of a line.
+NUMBER_ALONE, EQUATION, CAPITALS, HEADING, FORMULA, LONG, SENTENCE_END, OTHER = range(8)
+SMALL = frozenset("of and the a an in for with to on by or de la et und der die".split())
+STRIP = ".,;:()[]{}\"'?!“”‘’"
+
+
+def shape_of(s: str, width: int) -> int:
+    if len(s) < 24:
+        if EQUATION_NUMBER.match(s):
+            return EQUATION
+        if PAGE_NUMBER.match(s):
+            return NUMBER_ALONE
+    if "=" in s and len(s) < 60:
+        return FORMULA
+    words = [w for w in s.split() if w[0].isalpha()]
+    if words and s[-1] not in ".,;:-" and len(words) >= 2 and sum(w[0].isupper() for w in words) >= 0.7 * len(words):
+        return CAPITALS
+    if len(s) > 0.7 * width:
+        return LONG
+    if s[-1] in ".?!":
+        return SENTENCE_END
+    return HEADING if len(words) <= 6 and (s[0].isupper() or s[0].isdigit()) else OTHER
+
+
+def repetition_of(on: int, n_pages: int) -> int:
+    """0 unrepeated, 1 below a tenth of the pages, 2 below a fifth, 3 a fifth of a short document, 4 repeated for sure."""
+    if on < 2:
+        return 0
+    share = on / max(1, n_pages)
+    return 4 if on >= 5 and share >= 0.2 else 3 if share >= 0.2 else 2 if share >= 0.1 else 1
+
+
+def layout(text: str, on_pages, n_pages: int) -> list[tuple[int, str, int, int, int]]:
+    """(line index, stripped line, repetition, place, shape) of the lines that aren't blank. place: 0 first, 1 near the top, 2 inside, 3 near the end, 4 last."""
+    lines = [(i, s) for i, x in enumerate(text.split("\n")) if (s := x.strip())]
+    widths = sorted(len(s) for _, s in lines)
+    width = widths[len(widths) * 2 // 3] if widths else 0
+    m = len(lines) - 1
+    k = len(on_pages)
+    return [(i, s, repetition_of(on_pages[i] if i < k else 0, n_pages), 0 if j == 0 else 4 if j == m else 1 if j <= 2 else 3 if j == m - 1 else 2, shape_of(s, width)) for j, (i, s) in enumerate(lines)]
+
+
+def count_page(text: str, on_pages, n_pages: int, counts: Counter) -> None:
+    """Adds the page's counts: 'c' repetition, place and shape of its lines; 't' repeated after repeated or not; words inside lines ('m'), at line ends ('e') and in repeated lines ('f')."""
+    before = 0
+    for _, s, rep, place, shape in layout(text, on_pages, n_pages):
+        counts[f"c{rep}{place}{shape}"] += 1
+        sure = int(rep == 4 or shape == NUMBER_ALONE)
+        counts[f"t{before}{sure}"] += 1
+        before = sure
+        tokens = [t.strip(STRIP) for t in s.split()]
+        if sure:
+            counts.update(["f" + t for t in tokens if t and not t[0].isdigit()])
+        else:
+            counts.update(["m" + t for t in tokens[1:-1] if t])
+            counts["e" + tokens[0]] += 1
+            counts["e" + tokens[-1]] += 1
+
+
 def page_statistics(rows: DataFrame) -> DataFrame:
     """cache_seq, lang, kind, stats."""
-    def run(batches):
-        for pdf in batches:
-            out = []
-            for seq, text, n_pages, on in zip(pdf.cache_seq, pdf.text, pdf.n_pages, pdf.on_pages):
-                own = own_lines(text, on, n_pages)
-                lang, stats = statistics(own)
-                out.append((seq, lang, kind_of(own) if stats[4] < 0.24 or stats[8] > 0.3 or stats[9] > 0.3 else "list" if stats[8] >= stats[9] else "table", stats))
-            yield pd.DataFrame(out, columns=["cache_seq", "lang", "kind", "stats"])
-
-    return rows.select("cache_seq", "text", "n_pages", "on_pages").mapInPandas(run, "cache_seq bigint, lang string, kind string, stats array<double>")
+    return page_pass(rows).where("cache_seq is not null").drop("what", "n")

@@ -79,7 +79,10 @@ def fit(stats: DataFrame) -> dict[str, tuple[np.ndarray, np.ndarray, int]]:
 
 def measured(rows: DataFrame) -> DataFrame:
     """cache_seq, lang, kind, stats, d2, contributions of prepared rows."""
-    stats = materialize(page_statistics(rows))
+    return distances(materialize(page_statistics(rows)))
+
+
+def distances(stats: DataFrame) -> DataFrame:
     fits = fit(stats)
     if not fits:
         return stats.withColumns({"d2": F.lit(None).cast("double"), "contributions": F.array().cast("array<double>")})
