@@ -13,7 +13,7 @@ CONFUSIONS = (
     ("e", "€"), ("e", "c"), ("c", "e"), ("c", "¢"), ("t", "f"), ("f", "t"), ("s", "5"), ("s", "$"), ("a", "@"), ("o", "0"),
     ("i", "l"), ("l", "i"), ("i", "!"), ("i", "1"), ("l", "|"), ("l", "1"), ("i", "|"), ("l", "!"), ("g", "q"), ("q", "g"), ("g", "9"), ("h", "b"), ("b", "h"),
     ("b", "6"), ("b", "8"), ("v", "y"), ("y", "v"), ("n", "ri"), ("ri", "n"), ("m", "rn"), ("rn", "m"), ("d", "cl"), ("cl", "d"), ("u", "ii"), ("ii", "u"),
-    ("w", "vv"), ("vv", "w"), ("h", "li"), ("li", "h"), ("z", "2"), ("t", "7"), ("t", "+"), ("a", "o"), ("n", "u"), ("u", "n"), ("u", "v"), ("m", "nn"), ("in", "m"), ("k", "lc"),
+    ("w", "vv"), ("vv", "w"), ("h", "li"), ("li", "h"), ("z", "2"), ("t", "7"), ("t", "+"), ("a", "o"), ("n", "u"), ("u", "n"), ("u", "v"), ("m", "nn"), ("in", "m"), ("k", "lc"), ("ss", "ß"),
 )
 
 # Function words by language.

@@ -22,10 +22,22 @@ FLOOR = (0.5, 0.25, 0.02, 0.12, 0.05, 0.03, 1.0, 0.02, 0.08, 0.05)
 
 PAGE_NUMBER = re.compile(r"^\W*(?:p[a@][gq][ec€¢])?\W*(?:[\dlOoI|!]{1,6}|[ivxlc]{1,7})\W*(?:(?:of|0f|/)\W*[\dlOoI|!]{1,6}\W*)?$", re.I)
 EQUATION_NUMBER = re.compile(r"^\(\s*[\dlOoI|]{1,4}\s*\)$")
-MARKED = re.compile(r"^(?:[•\-*–·▪◦]\s|\(?\d{1,3}[.)]\s|\[\d{1,4}\]\s|\([a-zivx]{1,4}\)\s|[a-z]\)\s|step\s+\d)|\.{4,}|(?:\. ){4,}", re.I)
+MARKED = re.compile(r"(?:[•\-*–·▪◦]\s|\(?\d{1,3}[.)]\s|\[\d{1,4}\]\s|\([a-zivx]{1,4}\)\s|[a-z]\)\s|step\s+\d)", re.I)
 LETTERS = re.compile(r"[A-Za-zÀ-ɏ]+")
 ENTRIES = re.compile(r"^[\w-]+(?:,\s*\d+)+$")
 GAPS = re.compile(r"\t|\s{2,}|\s\|\s?|^\|")
+ASCII_LETTERS, DIGITS = b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ \t", b"0123456789"
+
+
+def marked(s: str) -> bool:
+    """Bullets, numbers, references, steps, leaders and index entries."""
+    if (not s[0].isalpha() or s[1:2] == ")" or s[:4].lower() == "step") and MARKED.match(s):
+        return True
+    return "...." in s or ". . . ." in s or ("," in s and s[-1].isdigit() and bool(ENTRIES.match(s)))
+
+
+def spaced(s: str) -> bool:
+    return "  " in s or "\t" in s or " |" in s or s[0] == "|"
 
 
 def own_lines(text: str, on_pages, n_pages: int, min_pages: int = 2, min_share: float = 0.1) -> list[str]:
@@ -46,17 +58,17 @@ def statistics(own: list[str]) -> tuple[str, list[float]]:
     body = " ".join(own)
     tokens = body.split()
     n = len(tokens)
-    lowered = [t.strip(".,;:()?!").lower() for t in tokens]
+    lowered = body.lower().split()
     en = sum(map(FUNCTION_SETS["en"].__contains__, lowered)) / n
     lang, common = ("en", en) if en >= 0.2 else language(lowered)
     chars = len(body) - n + 1
-    rest = LETTERS.sub("", body)
-    digits = sum(map(rest.count, "0123456789"))
-    symbols = len(rest) - rest.count(" ") - rest.count("\t") - digits
+    rest = body.encode("utf-8", "replace").translate(None, ASCII_LETTERS)
+    symbols = len(rest.translate(None, DIGITS))
+    digits = len(rest) - symbols
     k = len(own)
     return lang, [
         math.log1p(n), min(20.0, chars / n), symbols / max(1, chars), sum(s[-1] in ".?!:;" for s in own) / k, common, digits / max(1, chars), min(25.0, n / k),
-        sum(len(t) == 1 for t in tokens) / n, sum(1 for s in own if MARKED.search(s) or ENTRIES.match(s)) / k, sum(1 for s in own if GAPS.search(s)) / k,
+        sum(len(t) == 1 for t in tokens) / n, sum(map(marked, own)) / k, sum(map(spaced, own)) / k,
     ]
 
 
@@ -64,22 +76,21 @@ def kind_of(own: list[str]) -> str:
     """What text that isn't prose looks like: columns are a table, marked or indexed lines a list, anything else junk."""
     k = max(1, len(own))
     wordy = [s for s in own if len(LETTERS.sub("", s)) < 0.75 * len(s) and sum(map(len, LETTERS.findall(s))) >= 3]
-    marked = sum(1 for s in own if MARKED.search(s))
-    spaced = sum(1 for s in own if len(GAPS.split(s)) >= 2 and len(s) / max(1, len(s.split())) >= 2.5)
+    listed = sum(1 for s in own if marked(s) and not ENTRIES.match(s))
+    columns = sum(1 for s in own if len(GAPS.split(s)) >= 2 and len(s) / max(1, len(s.split())) >= 2.5)
     commas = [s.split(",") for s in own]
     cells = Counter(len(c) for c in commas if len(c) >= 3 and all(len(x.split()) <= 2 and (i == 0 or x[:1] == " ") for i, x in enumerate(c)))
     index = sum(1 for s in own if ENTRIES.match(s) and (v := [int(x) for x in s.split(",")[1:] if x.strip().isdigit()]) and v == sorted(v))
-    if len(wordy) < 0.35 * k and spaced < 0.5 * k and not sum(cells.values()) >= 0.5 * k:
-        return "list" if marked >= 0.6 * k else "junk"
-    if marked >= 0.5 * k:
+    cells = sum(cells.values()), len(cells)
+    if len(wordy) < 0.35 * k and columns < 0.5 * k and cells[0] < 0.5 * k:
+        return "list" if listed >= 0.6 * k else "junk"
+    if listed >= 0.5 * k:
         return "list"
-    if spaced >= 0.5 * k:
+    if columns >= 0.5 * k:
         return "table"
-    if sum(cells.values()) >= 0.5 * k:
-        return "list" if index >= 0.7 * k and len(cells) >= 2 else "table"
-    if index >= 0.5 * k:
-        return "list"
-    return "list" if marked >= 0.3 * k else "junk"
+    if cells[0] >= 0.5 * k:
+        return "list" if index >= 0.7 * k and cells[1] >= 2 else "table"
+    return "list" if index >= 0.5 * k or listed >= 0.3 * k else "junk"
 
 
 def prepared(ocr: DataFrame, pages: DataFrame) -> DataFrame:
@@ -95,7 +106,7 @@ def page_pass(rows: DataFrame, counting: bool = False) -> DataFrame:
     With counting, also rows without cache_seq: partial counts `n` per `what` (see count_page), to be summed.
     """
     def make():
-        counts: Counter = Counter()
+        counts = {k: Counter() for k in "ctmef"}
 
         def each(seq, text, n_pages, on):
             own = own_lines(text, on, n_pages)
@@ -106,11 +117,17 @@ def page_pass(rows: DataFrame, counting: bool = False) -> DataFrame:
             return [(seq, lang, ("list" if stats[8] >= stats[9] else "table") if plain else kind_of(own), stats, None, None)]
 
         def flush(end: bool):
-            if not end and len(counts) < 500_000:
+            if not end and sum(map(len, counts.values())) < 500_000:
                 return []
-            rows = [(None, None, None, None, what, n) for what, n in counts.items()]
-            counts.clear()
-            return rows
+            summed: Counter = Counter()
+            for k, c in counts.items():
+                for what, n in c.items():
+                    if k in "ct":
+                        summed[k + what] += n
+                    elif (word := what.strip(STRIP)) and not (k == "f" and word[0].isdigit()):
+                        summed[k + word] += n
+                c.clear()
+            return [(None, None, None, None, what, n) for what, n in summed.items()]
 
         each.flush = flush
         return each
@@ -125,21 +142,26 @@ STRIP = ".,;:()[]{}\"'?!“”‘’"
 
 
 def shape_of(s: str, width: int) -> int:
-    if len(s) < 24:
+    n, first = len(s), s[0]
+    if n < 24:
         if EQUATION_NUMBER.match(s):
             return EQUATION
         if PAGE_NUMBER.match(s):
             return NUMBER_ALONE
-    if "=" in s and len(s) < 60:
+    if n < 60 and "=" in s:
         return FORMULA
-    words = [w for w in s.split() if w[0].isalpha()]
-    if words and s[-1] not in ".,;:-" and len(words) >= 2 and sum(w[0].isupper() for w in words) >= 0.7 * len(words):
-        return CAPITALS
-    if len(s) > 0.7 * width:
+    last = s[-1]
+    if not first.islower() and last not in ".,;:-":
+        parts = s.split(None, 2)
+        if len(parts) > 1 and parts[1][0].isupper() or first.isdigit():  # else too few capitals follow
+            words = [w for w in s.split() if w[0].isalpha()]
+            if len(words) >= 2 and words[0][0].isupper() and sum(w[0].isupper() for w in words) >= 0.7 * len(words):
+                return CAPITALS
+    if n > 0.7 * width:
         return LONG
-    if s[-1] in ".?!":
+    if last in ".?!":
         return SENTENCE_END
-    return HEADING if len(words) <= 6 and (s[0].isupper() or s[0].isdigit()) else OTHER
+    return HEADING if not first.islower() and 1 <= sum(w[0].isalpha() for w in s.split()) <= 6 else OTHER
 
 
 def repetition_of(on: int, n_pages: int) -> int:
@@ -160,21 +182,22 @@ def layout(text: str, on_pages, n_pages: int) -> list[tuple[int, str, int, int,
     return [(i, s, repetition_of(on_pages[i] if i < k else 0, n_pages), 0 if j == 0 else 4 if j == m else 1 if j <= 2 else 3 if j == m - 1 else 2, shape_of(s, width)) for j, (i, s) in enumerate(lines)]
 
 
-def count_page(text: str, on_pages, n_pages: int, counts: Counter) -> None:
+def count_page(text: str, on_pages, n_pages: int, counts: dict[str, Counter]) -> None:
     """Adds the page's counts: 'c' repetition, place and shape of its lines; 't' repeated after repeated or not; words inside lines ('m'), at line ends ('e') and in repeated lines ('f')."""
-    before = 0
+    before = "0"
+    cells, moves, mid, edge, sure_words = (counts[k] for k in "ctmef")
     for _, s, rep, place, shape in layout(text, on_pages, n_pages):
-        counts[f"c{rep}{place}{shape}"] += 1
-        sure = int(rep == 4 or shape == NUMBER_ALONE)
-        counts[f"t{before}{sure}"] += 1
+        cells[f"{rep}{place}{shape}"] += 1
+        sure = "1" if rep == 4 or shape == NUMBER_ALONE else "0"
+        moves[before + sure] += 1
         before = sure
-        tokens = [t.strip(STRIP) for t in s.split()]
-        if sure:
-            counts.update(["f" + t for t in tokens if t and not t[0].isdigit()])
+        tokens = s.split()
+        if sure == "1":
+            sure_words.update(tokens)
         else:
-            counts.update(["m" + t for t in tokens[1:-1] if t])
-            counts["e" + tokens[0]] += 1
-            counts["e" + tokens[-1]] += 1
+            mid.update(tokens[1:-1])
+            edge[tokens[0]] += 1
+            edge[tokens[-1]] += 1
 
 
 def page_statistics(rows: DataFrame) -> DataFrame:

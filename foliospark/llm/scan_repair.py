@@ -89,11 +89,27 @@ def emissions(counts: DataFrame) -> dict[str, np.ndarray]:
     return {"parts": parts, "move": np.log(move / move.sum(1, keepdims=True))} if cells else {"parts": {0: np.zeros(5), 1: np.zeros(5), 2: np.zeros(8)}, "move": np.log(np.full((2, 2), 0.5))}
 
 
+class _Odds(dict):
+    """Log odds of tokens as they stand in a line; those not seen yet are looked up without their punctuation."""
+
+    def __init__(self, odds: dict[str, float]):
+        self.odds = odds
+
+    def __missing__(self, token: str) -> float:
+        x = self.odds.get(token.strip(STRIP), 0.0)
+        if len(self) < 1_000_000:
+            self[token] = x
+        return x
+
+    def __reduce__(self):
+        return _Odds, (self.odds,)
+
+
 class Reader:
     """Labels and corrections for one page at a time, with what lexicon() and emissions() found."""
 
     def __init__(self, good: dict[str, int], odds: dict[str, float], model: dict[str, np.ndarray]):
-        self.good, self.odds, self.fixes = good, odds, {}
+        self.good, self.odds, self.fixes, self.fine = good, _Odds(odds), {}, set(good)
         self.parts = {k: v.tolist() for k, v in model["parts"].items()}
         self.move = model["move"].tolist()
 
@@ -102,7 +118,7 @@ class Reader:
         if not lines:
             return []
         r, p, sh = self.parts[0], self.parts[1], self.parts[2]
-        get, m = self.odds.get, len(lines)
+        odds, m = self.odds.__getitem__, len(lines)
         scores = []
         for j, (_, s, rep, place, shape) in enumerate(lines):
             if shape == NUMBER_ALONE:
@@ -111,7 +127,12 @@ class Reader:
             if shape in (EQUATION, FORMULA) and rep < 3:
                 scores.append(-12.0)
                 continue
-            score = r[rep] + p[place] + sh[shape] + max(-9.0, min(9.0, sum(get(t.strip(STRIP), 0.0) for t in s.split())))
+            if rep == 0 and j and s[0].islower() and shape != HEADING and lines[j - 1][4] != HEADING:
+                scores.append(-12.0)
+                continue
+            score = r[rep] + p[place] + sh[shape] + max(-9.0, min(9.0, sum(map(odds, s.split()))))
+            if shape == HEADING and rep <= 1:
+                score -= 5.0
             if j and s[0].islower() and lines[j - 1][1][-1] not in ".?!":
                 score -= 3.0
             if 0 < j < m - 1 and not s[0].islower() and lines[j - 1][1][-1] not in ".?!:" and lines[j + 1][1][0].islower():
@@ -200,24 +221,25 @@ class Reader:
         lines = layout(text, on_pages, n_pages)
         labels = self.labels(lines)
         own = [j for j, x in enumerate(labels) if x != FURNITURE]
-        good, out, carried = self.good, {}, None
+        good, fine, out, carried = self.good, self.fine, {}, None
         for k, j in enumerate(own):
             i, s, _, _, shape = lines[j]
             tokens = s.split()
-            fixes, cut, joined_at = {}, False, None
+            fixes, cut = {}, False
             last = tokens[-1]
+            if carried is None and last[-1] not in HYPHENS and (shape == FORMULA or fine.issuperset(tokens)):
+                out[j] = (i, s, labels[j], False, fixes)
+                continue
             follow = lines[own[k + 1]][1].split()[0] if k + 1 < len(own) else None
             head = tail = None
             if last[-1] in HYPHENS and len(last) > 1 and shape != FORMULA:
                 head = last.rstrip(HYPHENS).strip(STRIP).lower()
                 tail = follow.strip(STRIP).lower() if follow else None
                 cut = bool(head) and (head[-1].isalpha() or ODD.search(head) is not None or head[-1] in "5€¢@|!01") and self.split(head, tail)
-            for t, token in enumerate(tokens):
+            for t, token in [(t, x) for t, x in enumerate(tokens) if x not in fine or t == 0 or x is last]:
                 if t == 0 and carried is not None:
                     part, whole = token.strip(STRIP).lower(), carried
-                    if part and whole not in good and (fixed := self.fix(whole)) and not whole.startswith(fixed[: len(whole) - len(part)]):
-                        pass
-                    elif part and whole not in good and fixed:
+                    if part and whole not in good and (fixed := self.fix(whole)) and whole.startswith(fixed[: len(whole) - len(part)]):
                         fixes[0] = token
                     continue
                 if t == len(tokens) - 1 and head is not None:
@@ -241,13 +263,12 @@ class Reader:
                     elif ODD.search(head):
                         fixes[t] = token
                     continue
-                low = token.lower()
-                if low in good:
-                    continue
-                if shape == FORMULA:
+                if token in fine or shape == FORMULA:
                     continue
                 if fixed := self.word(token):
                     fixes[t] = fixed
+                elif len(fine) < 2_000_000:
+                    fine.add(token)
             carried = None
             if cut and tail:
                 carried = head.split("-")[-1] + tail.split("-")[0]
