@@ -58,9 +58,9 @@ def quotas(sizes: DataFrame, targets: DataFrame) -> DataFrame:
     t = targets.where("source is not null").select("source", source_key(F.col("source")).alias("key"), F.greatest(F.coalesce("target_share", F.lit(0.0)), F.lit(0.0)).alias("share"),
                                                    F.greatest(F.coalesce("max_repeats", F.lit(0)), F.lit(0)).alias("max_repeats"))
     have = sizes.groupBy("key").agg(F.sum("tokens").alias("available"), F.count_if(F.col("tokens") > 0).alias("records"))
-    total = have.agg(F.coalesce(F.sum("available"), F.lit(0)).alias("total"))
-    return (t.crossJoin(F.broadcast(total)).join(have, "key", "left").withColumns({"available": F.coalesce("available", F.lit(0)), "records": F.coalesce("records", F.lit(0))})
-            .withColumn("quota", F.floor(F.col("share") * F.col("total")).cast("bigint")))  # total is one row
+    total = have.agg(F.sum("available")).first()[0] or 0
+    return (t.withColumn("total", F.lit(total).cast("bigint")).join(have, "key", "left").withColumns({"available": F.coalesce("available", F.lit(0)), "records": F.coalesce("records", F.lit(0))})
+            .withColumn("quota", F.floor(F.col("share") * F.col("total")).cast("bigint")))
 
 
 def mixed(sizes: DataFrame, plan: DataFrame, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
@@ -115,9 +115,9 @@ def shares(documents: DataFrame, targets: DataFrame, path: str = TOKENIZER) -> D
     plan = materialize(quotas(sizes, targets))
     got = mixed(sizes, plan).groupBy("source").agg(F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("uses"), F.max("repeat").alias("most_repeats"))
     made = materialize(plan.join(got, "source", "left").withColumns({"tokens": F.coalesce("tokens", F.lit(0)), "uses": F.coalesce("uses", F.lit(0))}))
-    whole = made.agg(F.greatest(F.sum("tokens"), F.lit(1)).alias("mix"))
+    whole = made.agg(F.sum("tokens")).first()[0] or 1
     exhausted = F.col("uses") == F.col("records") * F.col("max_repeats")
-    return made.crossJoin(F.broadcast(whole)).select("source", F.col("share").alias("target_share"), (F.col("tokens") / F.col("mix")).alias("actual_share"), "tokens", "quota", "uses",
+    return made.select("source", F.col("share").alias("target_share"), (F.col("tokens") / F.lit(whole)).alias("actual_share"), "tokens", "quota", "uses",
                                                      F.coalesce("most_repeats", F.lit(0)).alias("most_repeats"), (~(exhausted & (F.col("tokens") < F.col("quota")))).alias("reached"))
 
 
