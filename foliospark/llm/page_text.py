@@ -100,13 +100,18 @@ def prepared(ocr: DataFrame, pages: DataFrame) -> DataFrame:
     return rows.join(at, "cache_seq")
 
 
+def fresh() -> dict:
+    """Counts of cells (repetition, place, shape), of moves, and of words inside lines, at line ends and in repeated lines."""
+    return {"c": [0] * 200, "t": [0] * 4} | {k: Counter() for k in "mef"}
+
+
 def page_pass(rows: DataFrame, counting: bool = False) -> DataFrame:
     """One pass over the texts. Rows with cache_seq: lang, kind, stats of a page.
 
     With counting, also rows without cache_seq: partial counts `n` per `what` (see count_page), to be summed.
     """
     def make():
-        counts = {k: Counter() for k in "ctmef"}
+        counts = fresh()
 
         def each(seq, text, n_pages, on):
             own = own_lines(text, on, n_pages)
@@ -117,16 +122,14 @@ def page_pass(rows: DataFrame, counting: bool = False) -> DataFrame:
             return [(seq, lang, ("list" if stats[8] >= stats[9] else "table") if plain else kind_of(own), stats, None, None)]
 
         def flush(end: bool):
-            if not end and sum(map(len, counts.values())) < 500_000:
+            if not end and sum(len(counts[k]) for k in "mef") < 500_000:
                 return []
-            summed: Counter = Counter()
-            for k, c in counts.items():
-                for what, n in c.items():
-                    if k in "ct":
-                        summed[k + what] += n
-                    elif (word := what.strip(STRIP)) and not (k == "f" and word[0].isdigit()):
+            summed = Counter({f"c{i // 40}{i // 8 % 5}{i % 8}": n for i, n in enumerate(counts["c"]) if n} | {f"t{i // 2}{i % 2}": n for i, n in enumerate(counts["t"]) if n})
+            for k in "mef":
+                for what, n in counts[k].items():
+                    if (word := what.strip(STRIP)) and not (k == "f" and word[0].isdigit()):
                         summed[k + word] += n
-                c.clear()
+            counts.update(fresh())
             return [(None, None, None, None, what, n) for what, n in summed.items()]
 
         each.flush = flush
@@ -175,29 +178,37 @@ def repetition_of(on: int, n_pages: int) -> int:
 def layout(text: str, on_pages, n_pages: int) -> list[tuple[int, str, int, int, int]]:
     """(line index, stripped line, repetition, place, shape) of the lines that aren't blank. place: 0 first, 1 near the top, 2 inside, 3 near the end, 4 last."""
     lines = [(i, s) for i, x in enumerate(text.split("\n")) if (s := x.strip())]
-    widths = sorted(len(s) for _, s in lines)
+    widths = sorted([len(s) for _, s in lines])
     width = widths[len(widths) * 2 // 3] if widths else 0
     m = len(lines) - 1
     k = len(on_pages)
-    return [(i, s, repetition_of(on_pages[i] if i < k else 0, n_pages), 0 if j == 0 else 4 if j == m else 1 if j <= 2 else 3 if j == m - 1 else 2, shape_of(s, width)) for j, (i, s) in enumerate(lines)]
+    out = []
+    for j, (i, s) in enumerate(lines):
+        on = on_pages[i] if i < k else 0
+        out.append((i, s, repetition_of(on, n_pages) if on > 1 else 0, 0 if j == 0 else 4 if j == m else 1 if j <= 2 else 3 if j == m - 1 else 2, shape_of(s, width)))
+    return out
 
 
-def count_page(text: str, on_pages, n_pages: int, counts: dict[str, Counter]) -> None:
-    """Adds the page's counts: 'c' repetition, place and shape of its lines; 't' repeated after repeated or not; words inside lines ('m'), at line ends ('e') and in repeated lines ('f')."""
-    before = "0"
-    cells, moves, mid, edge, sure_words = (counts[k] for k in "ctmef")
+def count_page(text: str, on_pages, n_pages: int, counts: dict) -> None:
+    """Adds the page's counts to those of fresh(). Sure furniture is what is repeated for sure or a number alone."""
+    before = 0
+    cells, moves = counts["c"], counts["t"]
+    mid: list[str] = []
+    edge: list[str] = []
     for _, s, rep, place, shape in layout(text, on_pages, n_pages):
-        cells[f"{rep}{place}{shape}"] += 1
-        sure = "1" if rep == 4 or shape == NUMBER_ALONE else "0"
-        moves[before + sure] += 1
-        before = sure
+        cells[rep * 40 + place * 8 + shape] += 1
         tokens = s.split()
-        if sure == "1":
-            sure_words.update(tokens)
+        if rep == 4 or shape == NUMBER_ALONE:
+            moves[before * 2 + 1] += 1
+            before = 1
+            counts["f"].update(tokens)
         else:
-            mid.update(tokens[1:-1])
-            edge[tokens[0]] += 1
-            edge[tokens[-1]] += 1
+            moves[before * 2] += 1
+            before = 0
+            mid += tokens[1:-1]
+            edge += (tokens[0], tokens[-1])
+    counts["m"].update(mid)
+    counts["e"].update(edge)
 
 
 def page_statistics(rows: DataFrame) -> DataFrame:

@@ -31,7 +31,7 @@ FOLD_FROM_CHARS = "ce€¢d" + "tf7" + "s5$" + "a@" + "o0" + "gq9" + "il!|1rnmuh
 FOLD_TO_CHARS = "ccccc" + "ttt" + "sss" + "aa" + "oo" + "ggg"
 
 #: Tokens of digits, dates and version numbers become one sign.
-NUMBER = r"(?<![\p{L}\p{N}@€¢|!])[lOoI|]*\p{N}[\p{N}lOoI|.:/-]*(?![\p{L}@€¢])"
+NUMBER = r"(?=[\p{N}lOoI|])(?<![\p{L}\p{N}@€¢|!])[lOoI|]*\p{N}[\p{N}lOoI|.:/-]*(?![\p{L}@€¢])"
 BARE_PAGE = r"^(p[a@ao]?[gq]?[ec€¢]?|p[gq]|seite|página|página)?[#ivxlcdmo|!1]*((of|0f|o[ft]|/)[#ivxlcdmo|!1]*)?$"
 
 
