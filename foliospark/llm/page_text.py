@@ -26,7 +26,7 @@ MARKED = re.compile(r"(?:[•\-*–·▪◦]\s|\(?\d{1,3}[.)]\s|\[\d{1,4}\]\s|\(
 LETTERS = re.compile(r"[A-Za-zÀ-ɏ]+")
 ENTRIES = re.compile(r"^[\w-]+(?:,\s*\d+)+$")
 GAPS = re.compile(r"\t|\s{2,}|\s\|\s?|^\|")
-ASCII_LETTERS, DIGITS = b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ \t", b"0123456789"
+ASCII_LETTERS, DIGITS, ONLY_LETTERS = b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ \t", b"0123456789", b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
 def marked(s: str) -> bool:
@@ -56,28 +56,31 @@ def statistics(own: list[str]) -> tuple[str, list[float]]:
     if not own:
         return "und", [0.0] * len(STATISTICS)
     body = " ".join(own)
-    tokens = body.split()
+    tokens = body.lower().split()
     n = len(tokens)
-    lowered = body.lower().split()
-    en = sum(map(FUNCTION_SETS["en"].__contains__, lowered)) / n
-    lang, common = ("en", en) if en >= 0.2 else language(lowered)
+    common = FUNCTION_SETS["en"]
+    lang, share = "en", len([t for t in tokens if t in common]) / n
+    if share < 0.2:
+        lang, share = language(tokens)
     chars = len(body) - n + 1
     rest = body.encode("utf-8", "replace").translate(None, ASCII_LETTERS)
     symbols = len(rest.translate(None, DIGITS))
     digits = len(rest) - symbols
     k = len(own)
+    gaps = len([s for s in own if spaced(s)]) if "  " in body or "\t" in body or "|" in body else 0
+    listed = len([s for s in own if (not s[0].isalpha() or s[-1].isdigit() or s[1:2] == ")" or s[:4].lower() == "step") and marked(s)])
     return lang, [
-        math.log1p(n), min(20.0, chars / n), symbols / max(1, chars), sum(s[-1] in ".?!:;" for s in own) / k, common, digits / max(1, chars), min(25.0, n / k),
-        sum(len(t) == 1 for t in tokens) / n, sum(map(marked, own)) / k, sum(map(spaced, own)) / k,
+        math.log1p(n), min(20.0, chars / n), symbols / max(1, chars), len([s for s in own if s[-1] in ".?!:;"]) / k, share, digits / max(1, chars), min(25.0, n / k),
+        len([t for t in tokens if len(t) == 1]) / n, listed / k, gaps / k,
     ]
 
 
 def kind_of(own: list[str]) -> str:
     """What text that isn't prose looks like: columns are a table, marked or indexed lines a list, anything else junk."""
     k = max(1, len(own))
-    wordy = [s for s in own if len(LETTERS.sub("", s)) < 0.75 * len(s) and sum(map(len, LETTERS.findall(s))) >= 3]
+    wordy = [s for s in own if 3 <= len(s) - len(s.encode("utf-8", "replace").translate(None, ONLY_LETTERS)) > 0.25 * len(s)]
     listed = sum(1 for s in own if marked(s) and not ENTRIES.match(s))
-    columns = sum(1 for s in own if len(GAPS.split(s)) >= 2 and len(s) / max(1, len(s.split())) >= 2.5)
+    columns = sum(1 for s in own if spaced(s) and len(GAPS.split(s)) >= 2 and len(s) / max(1, len(s.split())) >= 2.5)
     commas = [s.split(",") for s in own]
     cells = Counter(len(c) for c in commas if len(c) >= 3 and all(len(x.split()) <= 2 and (i == 0 or x[:1] == " ") for i, x in enumerate(c)))
     index = sum(1 for s in own if ENTRIES.match(s) and (v := [int(x) for x in s.split(",")[1:] if x.strip().isdigit()]) and v == sorted(v))
