@@ -45,7 +45,7 @@ def _numbers(text: str) -> str:
 
 def last_sentence(value: str) -> str:
     """The value's last sentence or line, numbers as '#', a list of equal items as one; '' for one of more than 80 characters."""
-    s = _numbers(SENTENCE.split(value[-400:].strip())[-1])
+    s = _numbers(SENTENCE.split(value[-200:].strip())[-1])
     s = re.sub(r"(\S+)(?:, \1)+", r"\1", s)
     return s if len(s) <= 80 else ""
 
@@ -86,8 +86,9 @@ def features(kind: str, text: str, state: str, usual: frozenset, at_limit: bool)
     two = " ".join(tokens[-2:])
     plain = [f"k{kind}", f"c{kind}{c}", f"s{kind}{state}", f"n{note}{c}", f"w{kind[:2]}{word}", f"2{kind[:2]}{two}", f"4{close if not tail else tail[-4:]}", f"l{at_limit}{c}", f"m{state}{c}", f"cc{c}"]
     if kind[:3] != "in:":
-        plain.append(f"u{last_sentence(text) in usual}{kind}")
-        plain.append(f"us{last_sentence(text + '…') in usual or last_sentence(text + '...') in usual}{'m' in state}")
+        last = last_sentence(text)
+        plain.append(f"u{last in usual}{kind}")
+        plain.append(f"us{last + '…' in usual or last + '...' in usual}{'m' in state}")
     return [zlib.crc32(x.encode("utf-8", "replace")) % WIDTH for x in plain]
 
 
