@@ -552,7 +552,6 @@ def handle_permutation(spark, d):
     return O.global_positions(ids, ["h", "page_id"], "place").select("page_id", "place")
 
 
-@F.udf("struct<action: string, trailing: string, ok: boolean>", useArrow=True)
 def _first_object(text):
     found, rest = X.first_json_object(text)
     action = json.loads(found).get("action") if found else None
@@ -563,7 +562,8 @@ def _first_object(text):
 def json_first_object(spark, d):
     """output_id, action, trailing, ok: the first JSON object of every reply, read tolerantly."""
     m = t(spark, d, "model_outputs").where("output_id is not null").select("output_id", "raw_response").distinct()
-    return m.select("output_id", _first_object("raw_response").alias("o")).select("output_id", "o.*")
+    first = F.udf(_first_object, "struct<action: string, trailing: string, ok: boolean>", useArrow=True)
+    return m.select("output_id", first("raw_response").alias("o")).select("output_id", "o.*")
 
 
 # The star schema, for the general joins and groupings of the library.
