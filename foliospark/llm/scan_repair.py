@@ -50,7 +50,7 @@ def lexicon(counts: DataFrame) -> tuple[dict[str, int], dict[str, float]]:
     lower = materialize(words.where("where = 'm'").groupBy(F.lower("word").alias("word")).agg(F.sum("n").alias("n")))
     total = lower.agg(F.sum("n")).first()[0] or 0
     known = lower.where(F.col("n") >= max(LEAST_COUNT, total * LEAST_SHARE))
-    near = F.udf(variants, "array<string>")
+    near = F.udf(lambda w: variants(w), "array<string>")
     beaten = (known.select(F.col("word").alias("read"), F.col("n").alias("n_read"), F.explode(near("word")).alias("word")).join(known, "word")
               .where(F.col("n") >= F.col("n_read") * DOMINANCE).select(F.col("read").alias("word")).distinct())
     good = {r[0]: r[1] for r in known.join(beaten, "word", "left_anti").collect()}
