@@ -1,7 +1,8 @@
 """Rankers: exact cosine, late interaction, BM25 and reciprocal-rank fusion, with fixed tie rules.
 
 Query sets are met with the corpus in blocks of bounded size: a block is broadcast, every task keeps its k best per
-query, and only these are shuffled. The corpus is never shuffled nor paired as rows.
+query, and only these are shuffled. The corpus is never shuffled nor paired as rows, and a task scores at most about
+CELLS (query, row) cells at once, however large block and Arrow batch are.
 """
 
 from __future__ import annotations
@@ -10,6 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.text import tokenize
@@ -17,6 +19,10 @@ from ..session import materialize
 
 #: Query vectors (rows x width) sent to the tasks at once.
 BLOCK_NUMBERS = 4_000_000
+#: (query, term) rows of sparse queries sent to the tasks at once.
+BLOCK_TERMS = 50_000
+#: Scores a task holds at once, besides the k best per query.
+CELLS = 2_000_000
 K1, B, RRF_K = 1.2, 0.75, 60
 #: Scores are compared to this many digits; equal ones rank by id.
 DIGITS = 9
@@ -50,15 +56,54 @@ def _union(parts: list[DataFrame]) -> DataFrame:
     return out
 
 
+class Best:
+    """The k best scores of each of n queries, ties by the smaller id; NaN is no score."""
+
+    def __init__(self, n: int, k: int):
+        self.n, self.k, self.held = n, k, 0
+        self.floor = np.full(n, -np.inf)
+        self.parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+
+    def add(self, scores: np.ndarray, ids: np.ndarray, hit: np.ndarray | bool = True) -> None:
+        """scores: n rows, a column per id; cells without a hit are left out."""
+        q, c = np.nonzero((scores >= self.floor[:, None]) & hit)
+        self.parts.append((q, scores[q, c], ids[c]))
+        self.held += len(q)
+        if self.held > 2 * self.n * self.k + CELLS // 4:
+            self._cut()
+
+    def _cut(self) -> None:
+        q, s, i = (np.concatenate(x) for x in zip(*self.parts))
+        at = np.lexsort((i, -s, q))
+        q, s, i = q[at], s[at], i[at]
+        place = np.arange(len(q)) - np.searchsorted(q, q)
+        last = place == self.k - 1
+        self.floor[q[last]] = s[last]
+        keep = place < self.k
+        self.parts, self.held = [(q[keep], s[keep], i[keep])], int(keep.sum())
+
+    def batch(self, qids) -> Iterator[pa.RecordBatch]:
+        if self.parts:
+            self._cut()
+            q, s, i = self.parts[0]
+            yield pa.RecordBatch.from_arrays([pa.array(qids).take(pa.array(q)), pa.array(i), pa.array(s)], names=["qid", "id", "score"])
+
+
+def _slices(n: int, per: int) -> Iterator[slice]:
+    """Cuts n rows so that each part meets `per` query rows in about CELLS cells."""
+    step = max(1, CELLS // max(1, per))
+    return (slice(i, i + step) for i in range(0, n, step))
+
+
 def dense_topk(queries: DataFrame, corpus: DataFrame, k: int) -> DataFrame:
     """qid, id, score, rank by cosine; ties by id (the input order). queries: qid bigint, vec; corpus: id bigint, vec.
 
-    Null vectors and vectors of another width than the widest are left out; a zero vector scores 0. No query or no
-    corpus row gives no row.
+    Null ids and vectors and vectors of another width than the widest are left out; a zero vector scores 0, a
+    vector with a number that isn't finite ranks nowhere. No query or no corpus row gives no row.
     """
     width = _width(corpus)
     ok = (F.size("vec") == width) & F.forall("vec", lambda x: x.isNotNull())
-    queries, corpus = queries.where(ok), corpus.where(ok)
+    queries, corpus = queries.where(ok & F.col("qid").isNotNull()), corpus.where(ok & F.col("id").isNotNull())
     schema = "qid bigint, id bigint, score double"
     found = []
     for block in query_blocks(queries, width):
@@ -68,15 +113,12 @@ def dense_topk(queries: DataFrame, corpus: DataFrame, k: int) -> DataFrame:
 
         def run(batches, shared=shared):
             qids, q = shared.value
-            best_s, best_i = np.full((len(qids), 0), 0.0), np.full((len(qids), 0), 0)
+            best = Best(len(qids), k)
             for batch in batches:
-                ids = batch.column(0).to_numpy()
-                s = np.round(q @ _unit(_matrix(batch.column(1), width)).T, DIGITS)
-                best_s, best_i = np.hstack([best_s, s]), np.hstack([best_i, np.broadcast_to(ids, s.shape)])
-                at = np.lexsort((best_i, -best_s), axis=1)[:, :k]
-                best_s, best_i = np.take_along_axis(best_s, at, 1), np.take_along_axis(best_i, at, 1)
-            n = best_s.shape[1]
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(qids, n)), pa.array(best_i.ravel()), pa.array(best_s.ravel())], names=["qid", "id", "score"])
+                ids, rows = batch.column(0).to_numpy(), _unit(_matrix(batch.column(1), width))
+                for at in _slices(len(ids), len(qids)):
+                    best.add(np.round(q @ rows[at].T, DIGITS), ids[at])
+            yield from best.batch(qids)
 
         found.append(corpus.select("id", "vec").mapInArrow(run, schema))
     if not found:
@@ -91,12 +133,17 @@ def ranked(scores: DataFrame, group: str, k: int, item: str) -> DataFrame:
 
 
 def gold_ranks(queries: DataFrame, corpus: DataFrame) -> DataFrame:
-    """qid, gold_id, gold_rank: the gold row's place in the whole corpus, null if the corpus lacks it. queries: qid, vec, gold_id."""
+    """qid, gold_id, gold_rank: the gold row's place in the whole corpus, null if the corpus lacks it. queries: qid, vec, gold_id.
+
+    Null ids and vectors and those of another width than the widest count as missing.
+    """
     width = _width(corpus)
+    fits = lambda c: (F.size(c) == width) & F.forall(c, lambda x: x.isNotNull())
+    corpus = corpus.where(fits("vec") & F.col("id").isNotNull())
     gold = corpus.select(F.col("id").alias("gold_id"), F.col("vec").alias("gold_vec"))
     known = materialize(queries.join(gold, "gold_id", "left"))
     found = []
-    for block in query_blocks(known.where("gold_vec is not null"), width * 2):
+    for block in query_blocks(known.where(F.col("gold_vec").isNotNull() & fits("vec") & F.col("qid").isNotNull()), width * 2):
         got = block.select("qid", "vec", "gold_id", "gold_vec").toArrow()
         q, g = _unit(_matrix(got.column("vec"), width)), _unit(_matrix(got.column("gold_vec"), width))
         shared = corpus.sparkSession.sparkContext.broadcast((got.column("qid").to_numpy(), q, got.column("gold_id").to_numpy(), np.round((q * g).sum(1), DIGITS)))
@@ -105,8 +152,10 @@ def gold_ranks(queries: DataFrame, corpus: DataFrame) -> DataFrame:
             qids, q, gold, score = shared.value
             above = np.zeros(len(qids), dtype=np.int64)
             for batch in batches:
-                s = np.round(q @ _unit(_matrix(batch.column(1), width)).T, DIGITS)
-                above += ((s > score[:, None]) | ((s == score[:, None]) & (batch.column(0).to_numpy() < gold[:, None]))).sum(1)
+                ids, rows = batch.column(0).to_numpy(), _unit(_matrix(batch.column(1), width))
+                for at in _slices(len(ids), len(qids)):
+                    s = np.round(q @ rows[at].T, DIGITS)
+                    above += ((s > score[:, None]) | ((s == score[:, None]) & (ids[at] < gold[:, None]))).sum(1)
             yield pa.RecordBatch.from_arrays([pa.array(qids), pa.array(above)], names=["qid", "above"])
 
         found.append(corpus.select("id", "vec").mapInArrow(run, "qid bigint, above bigint"))
@@ -117,35 +166,42 @@ def gold_ranks(queries: DataFrame, corpus: DataFrame) -> DataFrame:
 
 
 def maxsim_topk(queries: DataFrame, pages: DataFrame, k: int) -> DataFrame:
-    """qid, id, score, rank by late interaction: for each query vector its best page vector, summed. queries: qid, vecs; pages: id, vecs (array<array<float>>)."""
-    width = (pages.agg(F.max(F.size(F.get("vecs", F.lit(0))))).first()[0]) or 0
-    per = max(1, (queries.agg(F.max(F.size("vecs"))).first()[0]) or 1)
+    """qid, id, score, rank by late interaction: for each query vector its best page vector, summed. queries: qid, vecs; pages: id, vecs (array<array<float>>).
+
+    Rows with a null id, no vector, or a null number or another width than the widest in one are left out.
+    """
+    width = (pages.agg(F.max(F.array_max(F.transform("vecs", lambda v: F.size(v))))).first()[0]) or 0
+    ok = (F.size("vecs") > 0) & F.forall("vecs", lambda v: (F.size(v) == width) & F.forall(v, lambda x: x.isNotNull()))
+    queries, pages = queries.where(ok & F.col("qid").isNotNull()), pages.where(ok & F.col("id").isNotNull())
+    per = (queries.agg(F.max(F.size("vecs"))).first()[0]) or 1
     found = []
     for block in query_blocks(queries, width * per):
         got = block.select("qid", "vecs").toArrow()
-        vecs = got.column("vecs").to_pylist()
-        shared = pages.sparkSession.sparkContext.broadcast((got.column("qid").to_pylist(), np.array([v for m in vecs for v in m], dtype=np.float64).reshape(-1, width), np.cumsum([0] + [len(m) for m in vecs])))
+        vecs = got.column("vecs").combine_chunks()
+        shared = pages.sparkSession.sparkContext.broadcast((got.column("qid").to_numpy(), _matrix(vecs.flatten(), width), np.diff(vecs.offsets.to_numpy())))
 
         def run(batches, shared=shared):
-            qids, q, cuts = shared.value
+            qids, q, many = shared.value
+            starts = np.cumsum(many) - many
+            best = Best(len(qids), k)
             for batch in batches:
-                rows = []
-                for pid, m in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                    best = (q @ np.array(m, dtype=np.float64).T).max(1)
-                    rows += [(qid, pid, round(float(best[a:b].sum()), DIGITS)) for qid, a, b in zip(qids, cuts, cuts[1:])]
-                top: dict = {}
-                for r in sorted(rows, key=lambda r: (-r[2], r[1])):
-                    if len(top.setdefault(r[0], [])) < k:
-                        top[r[0]].append(r)
-                flat = [r for v in top.values() for r in v]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*flat)], names=["qid", "id", "score"])
+                ids, vecs = batch.column(0).to_numpy(), batch.column(1)
+                rows, first = _matrix(vecs.flatten(), width), vecs.offsets.to_numpy() - vecs.offsets[0].as_py()
+                longest = int(np.diff(first).max(initial=1))
+                for at in _slices(len(ids), len(q) * longest):
+                    cuts = first[at.start : at.stop + 1]  # where the slice's pages begin, and where the last one ends
+                    s = np.maximum.reduceat(q @ rows[cuts[0] : cuts[-1]].T, cuts[:-1] - cuts[0], axis=1)
+                    best.add(np.round(np.add.reduceat(s, starts, axis=0), DIGITS), ids[at])
+            yield from best.batch(qids)
 
         found.append(pages.select("id", "vecs").mapInArrow(run, "qid bigint, id bigint, score double"))
+    if not found:
+        return queries.select("qid", F.col("qid").alias("id"), F.lit(0.0).alias("score"), F.lit(0).alias("rank")).where("false")
     return ranked(_union(found), "qid", k, "id")
 
 
 def term_counts(pages: DataFrame) -> DataFrame:
-    """page_id, length, tf map: one row a page, no shuffle. pages: page_id, text."""
+    """page_id, length, tokens: one row a page, no shuffle. pages: page_id, text."""
     tokens = tokenize(F.col("text"))
     return pages.select("page_id", tokens.alias("tokens")).select("page_id", F.size("tokens").alias("length"), "tokens")
 
@@ -166,25 +222,56 @@ def idf(df, n):
 def bm25_topk(queries: DataFrame, pages: DataFrame, k: int, k1: float = K1, b: float = B) -> DataFrame:
     """query_id, page_id, score, rank; ties by page id. Pages without a query term score 0 and fill up the list.
 
-    Only the pages' query terms leave the scan. queries: query_id, text; pages: page_id, text, one row a page. An
-    empty query ranks all pages at 0; empty pages have length 0.
+    queries: query_id, text; pages: page_id, text, one row a page. An empty query ranks all pages at 0; empty pages
+    have length 0. Null ids are left out. Terms are counted in one pass over the texts without a shuffle; frequencies are
+    summed for the queries' terms only, and no (query, page) pair leaves its task unless it is among the task's k best.
     """
+    queries, pages = queries.where("query_id is not null"), pages.where("page_id is not null")
     wanted = materialize(queries.select("query_id", F.explode(tokenize(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qtf")))
-    terms = materialize(wanted.select("term").distinct())
-    stats = corpus_stats(pages).first()
-    counts = term_counts(pages).select("page_id", "length", F.explode("tokens").alias("term"))
-    hit = counts.join(terms, "term", "left_semi").groupBy("page_id", "length", "term").agg(F.count(F.lit(1)).alias("tf"))
-    hit = materialize(hit)
-    df = hit.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    n, mean = stats["n_pages"], stats["mean_length"] or 1.0
-    weight = idf(F.col("df"), F.lit(n)) * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.lit(mean)))
-    scored = wanted.join(hit.join(df, "term"), "term").select("query_id", "page_id", (F.col("qtf") * weight).alias("x"))
-    scored = scored.groupBy("query_id", "page_id").agg(F.round(F.sum("x"), DIGITS).alias("score"))
-    best = materialize(ranked(scored, "query_id", k, "page_id"))
-    few = queries.select("query_id").join(best.groupBy("query_id").agg(F.count(F.lit(1)).alias("have")), "query_id", "left").where(F.coalesce("have", F.lit(0)) < k)
-    first = [r[0] for r in pages.select("page_id").orderBy("page_id").limit(2 * k).collect()]  # no list needs more to fill it
+    counted = materialize(term_counts(pages))
+    stats = counted.agg(F.count(F.lit(1)).alias("n"), F.avg("length").cast("float").cast("double").alias("mean")).first()
+    n, mean = stats["n"], stats["mean"] or 1.0
+    found = counted.select(F.explode(F.array_distinct("tokens")).alias("term")).join(wanted.select("term").distinct(), "term", "left_semi")
+    df = found.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    weighted = materialize(wanted.join(df, "term").select("query_id", "term", (F.col("qtf") * idf(F.col("df"), F.lit(n))).alias("weight")))
+    schema = f"qid {queries.schema['query_id'].dataType.simpleString()}, id string, score double"
+    parts = -(-weighted.count() // BLOCK_TERMS)
+    scores = []
+    for part in range(parts):
+        block = weighted.where(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == part).toArrow()  # about BLOCK_TERMS rows
+        qids, terms = block.column("query_id").combine_chunks().dictionary_encode(), block.column("term").combine_chunks().dictionary_encode()
+        order = np.argsort(terms.indices.to_numpy(), kind="stable")
+        many = np.bincount(terms.indices.to_numpy(), minlength=len(terms.dictionary))
+        shared = pages.sparkSession.sparkContext.broadcast((qids.dictionary, terms.dictionary, many, qids.indices.to_numpy()[order], block.column("weight").to_numpy()[order]))
+
+        def run(batches, shared=shared):
+            qids, vocabulary, many, owner, weight = shared.value
+            starts, nq = np.cumsum(many) - many, len(qids)
+            best = Best(nq, k)
+            for batch in batches:
+                ids, lengths, tokens = np.array(batch.column(0).to_pylist(), dtype=str), batch.column(1).to_numpy(), batch.column(2)
+                term = pc.index_in(tokens.flatten(), value_set=vocabulary)
+                page = np.repeat(np.arange(len(ids)), np.diff(tokens.offsets.to_numpy()))
+                known = term.is_valid().to_numpy(zero_copy_only=False)
+                cell, tf = np.unique(page[known] * len(many) + term.drop_null().to_numpy(), return_counts=True)
+                page, term = np.divmod(cell, len(many))
+                x = tf * (k1 + 1) / (tf + k1 * (1 - b + b * lengths[page] / mean))
+                for at in _slices(len(ids), max(nq, len(owner))):
+                    lo, hi = np.searchsorted(page, (at.start, at.stop))
+                    m, times = min(at.stop, len(ids)) - at.start, many[term[lo:hi]]
+                    entry = np.repeat(starts[term[lo:hi]] - np.cumsum(times) + times, times) + np.arange(times.sum())  # the queries of each hit
+                    to = owner[entry] * m + np.repeat(page[lo:hi] - at.start, times)
+                    s = np.bincount(to, weight[entry] * np.repeat(x[lo:hi], times), nq * m).reshape(nq, m)
+                    best.add(np.round(s, DIGITS), ids[at], s > 0)
+            yield from best.batch(qids)
+
+        scores.append(counted.mapInArrow(run, schema))
+    first = [r[0] for r in counted.select("page_id").orderBy("page_id").limit(2 * k).collect()]  # no list needs more to fill it
+    best = (_union(scores) if scores else queries.select(F.col("query_id").alias("qid"), F.lit("").alias("id"), F.lit(0.0).alias("score")).where("false"))
+    best = materialize(ranked(best.select(F.col("qid").alias("query_id"), F.col("id").alias("page_id"), "score"), "query_id", k, "page_id"))
     if not first:
         return best
+    few = queries.select("query_id").join(best.groupBy("query_id").agg(F.count(F.lit(1)).alias("have")), "query_id", "left").where(F.coalesce("have", F.lit(0)) < k)
     fill = few.select("query_id", F.explode(F.array(*[F.lit(p) for p in first])).alias("page_id")).join(best, ["query_id", "page_id"], "left_anti")
     both = best.drop("rank").unionByName(fill.withColumn("score", F.lit(0.0)))
     return ranked(both, "query_id", k, "page_id")

@@ -53,6 +53,59 @@ def test_bm25_pads_and_ties(spark):
     assert got == {1: [("p1", True), ("p4", True), ("p2", False)], 2: [("p1", False), ("p2", False), ("p3", False)], 3: [("p1", False), ("p2", False), ("p3", False)]}
 
 
+def test_best_keeps_k_under_ties_in_small_buffers(monkeypatch):
+    monkeypatch.setattr(R, "CELLS", 40)
+    rng = np.random.default_rng(4)
+    scores, ids = rng.integers(0, 4, (6, 90)).astype(float), np.array([f"p{i:03}" for i in rng.permutation(90)])
+    scores[2] = np.nan
+    hit = rng.random((6, 90)) < 0.9
+    hit[3] = False
+    best = R.Best(6, 5)
+    for at in R._slices(90, 6):
+        best.add(scores[:, at], ids[at], hit[:, at])
+    got = {(q, i, s) for b in best.batch(np.arange(6)) for q, i, s in zip(*(c.to_pylist() for c in b.columns))}
+    want = {(q, i, s) for q in range(6) for s, i in sorted(((s, i) for s, i, h in zip(scores[q], ids, hit[q]) if h and s == s), key=lambda x: (-x[0], x[1]))[:5]}
+    assert got == want and {q for q, _, _ in got} == {0, 1, 4, 5}
+
+
+def test_bm25_equals_brute_force(spark, monkeypatch):
+    rng = random.Random(2)
+    words = [f"w{i}" for i in range(30)]
+    texts = {f"p{i:02}": " ".join(rng.choices(words, weights=range(1, 31), k=rng.randint(0, 40))) for i in range(50)}
+    asked = {i: " ".join(rng.choices(words + ["unseen"], k=rng.randint(1, 5))) for i in range(12)}
+    monkeypatch.setattr(R, "BLOCK_TERMS", 9)  # several blocks
+    pages = spark.createDataFrame([*texts.items(), (None, "w1 w2")], "page_id string, text string").withColumn("score", F.lit(1)).repartition(3)
+    queries = spark.createDataFrame([*asked.items(), (None, "w1")], "query_id bigint, text string").withColumn("page_id", F.lit("x"))
+    got = {(r.query_id, r["rank"]): (r.page_id, r.score) for r in R.bm25_topk(queries, pages, 4).collect()}
+    tokens = {p: t.split() for p, t in texts.items()}
+    mean = float(np.float32(sum(map(len, tokens.values())) / len(tokens)))
+    want = {}
+    for q, text in asked.items():
+        def score(p):
+            total = 0.0
+            for w in text.split():
+                df, tf = sum(w in t for t in tokens.values()), tokens[p].count(w)
+                total += math.log(1 + (50 - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(tokens[p]) / mean))
+            return round(total, 9)
+        for k, p in enumerate(sorted(tokens, key=lambda p: (-score(p), p))[:4]):
+            want[q, k + 1] = (p, score(p))
+    assert got.keys() == want.keys() and all(got[x][0] == want[x][0] and abs(got[x][1] - want[x][1]) < 1e-6 for x in want)
+    assert R.bm25_topk(queries, pages.where("false"), 4).count() == 0 and R.bm25_topk(queries.where("false"), pages, 4).count() == 0
+
+
+def test_maxsim_equals_brute_force(spark):
+    rng = np.random.default_rng(3)
+    many = {i: rng.normal(size=(1 + i % 4, 6)).astype("float32") for i in range(30)}
+    many[8] = many[4]
+    rows = [(i, [[float(x) for x in v] for v in m]) for i, m in many.items()] + [(90, None), (91, []), (92, [[1.0] * 6, [1.0]]), (93, [[None] + [1.0] * 5]), (None, [[1.0] * 6])]
+    pages = spark.createDataFrame(rows, "id bigint, vecs array<array<float>>").repartition(3)
+    got = {(r.qid, r.id, r["rank"]) for r in R.maxsim_topk(pages.where("id < 7 or id > 90").withColumnRenamed("id", "qid"), pages, 3).collect()}
+    score = lambda q, i: round(float((many[q].astype("float64") @ many[i].astype("float64").T).max(1).sum()), 9)
+    assert got == {(q, i, k + 1) for q in range(7) for k, i in enumerate(sorted(many, key=lambda i: (-score(q, i), i))[:3])}
+    assert R.maxsim_topk(pages.where("false").withColumnRenamed("id", "qid"), pages, 3).count() == 0
+    assert R.maxsim_topk(pages.withColumnRenamed("id", "qid"), pages.where("false"), 3).count() == 0
+
+
 def test_rrf_order(spark):
     rows = [("q", p, i + 1) for ranking in ("abc", "bcd") for i, p in enumerate(ranking)]
     got = R.rrf(spark.createDataFrame(rows, "query_id string, page_id string, rank int"), 4).orderBy("rank").collect()
