@@ -40,6 +40,31 @@ def spaced(s: str) -> bool:
     return "  " in s or "\t" in s or " |" in s or s[0] == "|"
 
 
+def rule(s: str) -> bool:
+    """A line drawn between the rows of a table."""
+    return len(s) > 4 and not any(map(str.isalnum, s))
+
+
+def cells(s: str) -> int:
+    """Cells of a row of columns, by gaps and bars, else by commas; 1 for running text."""
+    return len([x for x in GAPS.split(s) if x.strip()]) if spaced(s) else s.count(",") + 1
+
+
+def heads_table(lines: list, j: int) -> bool:
+    """Whether line j of layout() is a rule, or names the columns, of the table whose next row has as many cells."""
+    below = [x[1] for x in lines[j + 1 : j + 3]]
+    if rule(lines[j][1]):
+        return bool(j and below) and cells(lines[j - 1][1]) == cells(below[0]) > 1
+    below = [s for s in below if not rule(s)]
+    return bool(below) and cells(lines[j][1]) == cells(below[0]) > 1
+
+
+def in_columns(lines: list, j: int) -> bool:
+    """Whether line j of layout() has as many cells as the row above or below it, more than one."""
+    n = cells(lines[j][1])
+    return n > 1 and any(x[4] != NUMBER_ALONE and cells(x[1]) == n for x in lines[max(0, j - 1) : j + 2])
+
+
 def own_lines(text: str, on_pages, n_pages: int, min_pages: int = 2, min_share: float = 0.1) -> list[str]:
     """Stripped lines that aren't blank, repeated through the document or a bare page number."""
     need = max(min_pages, min_share * n_pages)

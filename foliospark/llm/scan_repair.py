@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..session import materialize
 from .common import CONFUSIONS, map_rows
-from .page_text import CAPITALS, EQUATION, FORMULA, HEADING, NUMBER_ALONE, STRIP, layout, page_pass, prepared
+from .page_text import CAPITALS, EQUATION, FORMULA, HEADING, NUMBER_ALONE, STRIP, heads_table, in_columns, layout, page_pass, prepared, rule
 from .text_quality import distances, outliers
 
 #: Words rarer than this share of all words, or seen less than LEAST_COUNT times, are unknown.
@@ -30,6 +30,7 @@ DOMINANCE = 40
 HYPHENS = "-‐­¬"
 FURNITURE, BODY, BREAK = 0, 1, 2
 ODD = re.compile(r"[^\W\d_]*[€¢@|][^\W\d_]+|[^\W\d_]+[€¢@|!$][^\W\d_]+|[^\W\d_]+[€¢@|][^\W\d_]*|![^\W\d_]{2,}")
+SECTION = re.compile(r"\d{1,2}(?:\.\d{1,2})+\.?\s+[^\W\d_]")
 LETTER_IN_NUMBER = re.compile(r"^(?=.*\d)(?=.*[lOI|])[\dlOI|.,]+%?$")
 
 
@@ -122,7 +123,7 @@ class Reader:
         scores = []
         for j, (_, s, rep, place, shape) in enumerate(lines):
             if shape == NUMBER_ALONE:
-                scores.append(12.0)
+                scores.append(12.0 if s[0] != "p" or not in_columns(lines, j) else -12.0)  # a row of a table may be named "page"
                 continue
             if shape in (EQUATION, FORMULA) and rep < 3:
                 scores.append(-12.0)
@@ -130,6 +131,9 @@ class Reader:
             if rep == 0 and j and s[0].islower() and shape != HEADING and lines[j - 1][4] != HEADING:
                 scores.append(-12.0)
                 continue
+            if rep <= 1 and ((shape == CAPITALS or "|" in s or s[0] in "-=+_" and rule(s)) and heads_table(lines, j) or s[0].isdigit() and SECTION.match(s)):
+                scores.append(-12.0)  # a table's head and a numbered heading belong to the page
+                continue
             score = r[rep] + p[place] + sh[shape] + max(-9.0, min(9.0, sum(map(odds, s.split()))))
             if shape == HEADING and rep <= 1:
                 score -= 5.0

@@ -2,6 +2,7 @@ import datetime as dt
 import math
 import random
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from foliospark.llm import mixing, packing, reading_level, repeated_lines, scan_repair, text_quality, tokens, top_n, truncation
@@ -96,6 +97,16 @@ def test_page_helpers():
     assert kind_of(["Word | Count | Share", "page | 12 | 0.25", "table | 3 | 0.5"]) == "table" and kind_of(["1) go", "2) stay", "3) run"]) == "list"
 
 
+def test_p1_table_heads_are_the_page_s_own():
+    odds = dict.fromkeys(["Word", "Count", "Share", "Page", "page", "layout", "Annual", "Digest"], 4.0)
+    parts = {0: np.array([-1.0, -1, -1, 1, 1]), 1: np.zeros(5), 2: np.zeros(8)}
+    reader = scan_repair.Reader({}, odds, {"parts": parts, "move": np.zeros((2, 2))})
+    furniture = lambda text, on: [s for _, s, label, _, _ in reader.page(text, on, 40) if label == scan_repair.FURNITURE]
+    table = ["Word | Count | Share", "-----+-----+-----", "figure | 12 | 0.25", "page | - | 33", "2.1 Page layout", "Page 3"]
+    assert furniture("\n".join(table), [0] * 6) == ["Page 3"]
+    assert furniture("Annual Digest | Print | Save\nfigure | 12 | 0.25", [20, 0]) == ["Annual Digest | Print | Save"]  # repeated: furniture even above a table
+
+
 def test_p3_against_brute_force(spark, monkeypatch):
     rng = random.Random(4)
     scores = [0.0, -0.0, 1.5, 1.5, 2.0, -3.25, 1e308, -1e-300, float("nan"), float("inf"), None]
