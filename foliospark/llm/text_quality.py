@@ -1,8 +1,11 @@
 """Problem 2: natural prose against lists, tables and junk, by robust Mahalanobis distance.
 
 Mean and covariance of prose are fitted per language on all rows by concentration steps: start at the medians,
-keep the rows nearest to them, fit again. Each step is one aggregation of sums and products (66 numbers per
-language); no text leaves its task.
+keep the rows nearest to them, fit again; then by reweighting steps: fit again on all rows that the distance so far
+calls prose, so that the rarer styles of prose count too. Each step is one aggregation of sums and products (66
+numbers per language); no text leaves its task.
+
+A row is no prose if the statistics that deviate away from prose contribute more than CUTOFF to its distance.
 """
 
 from __future__ import annotations
@@ -20,15 +23,34 @@ from .page_text import FLOOR, STATISTICS, page_statistics, prepared
 D = len(STATISTICS)
 #: Share of a language's rows taken as surely prose in each concentration step, and the number of steps.
 CORE, STEPS = 0.5, 3
+#: Fits on all rows that the last fit calls prose.
+REWEIGHTINGS = 2
 #: Rows below this are too few to fit a language; they are measured against the largest language.
 MIN_ROWS = 30
-#: A row is no prose beyond this squared distance (0.999 of chi-squared with 10 degrees of freedom), if the statistics
-#: that set prose apart are what takes it there.
+#: A row is no prose beyond this squared distance (0.999 of chi-squared with 10 degrees of freedom), summed over the
+#: contributions of the statistics that deviate away from prose.
 CUTOFF = 29.6
-COMMON, MARKED, SPACED = STATISTICS.index("common_words"), STATISTICS.index("marked_lines"), STATISTICS.index("broken_spacing")
+#: The sign of a deviation away from prose. The other statistics differ between styles of prose: they shape the
+#: covariance, but are no evidence by themselves.
+AWAY = {"common_words": -1, "symbol_ratio": 1, "digit_ratio": 1, "marked_lines": 1, "broken_spacing": 1}
+SIGNS = np.array([AWAY.get(k, 0) for k in STATISTICS])
+
+
+def _chi_squared(x: float, degrees: int) -> float:
+    """Distribution function for an even number of degrees of freedom."""
+    return 1 - math.exp(-x / 2) * sum((x / 2) ** i / math.factorial(i) for i in range(degrees // 2))
+
+
+def _widening(core: float) -> float:
+    """By how much the covariance of the `core` nearest rows of a normal distribution is too small."""
+    low, high = 0.0, 1000.0
+    for _ in range(60):
+        middle = (low + high) / 2
+        low, high = (middle, high) if _chi_squared(middle, D) < core else (low, middle)
+    return core / _chi_squared(low, D + 2)
 
 
-def _sums(df: DataFrame) -> dict[str, tuple[np.ndarray, np.ndarray, int]]:
+def _sums(df: DataFrame, widening: float = 1.0) -> dict[str, tuple[np.ndarray, np.ndarray, int]]:
     """Mean, covariance and rows per language; at most len(FUNCTION_SETS) + 1 rows reach the driver."""
     s = [F.col("stats")[i] for i in range(D)]
     sums = [F.sum(x) for x in s] + [F.sum(s[i] * s[j]) for i in range(D) for j in range(i, D)]
@@ -38,25 +60,26 @@ def _sums(df: DataFrame) -> dict[str, tuple[np.ndarray, np.ndarray, int]]:
         mean, cov = v[:D] / n, np.zeros((D, D))
         cov[np.triu_indices(D)] = v[D:] / n
         cov = cov + np.triu(cov, 1).T - np.outer(mean, mean)
-        got[r["lang"]] = (mean, cov + np.diag(np.square(FLOOR)), n)
+        got[r["lang"]] = (mean, cov * widening + np.diag(np.square(FLOOR)), n)
     return got
 
 
 def _distance(fits: dict[str, tuple[np.ndarray, np.ndarray, int]]) -> Column:
-    """struct<d2, contributions>: contributions z_j * (S^-1 z)_j add up to the squared distance."""
+    """struct<d2, away, contributions>: contributions z_j * (S^-1 z)_j add up to the squared distance, those away from prose to `away`."""
     models = {k: (m, np.linalg.inv(c)) for k, (m, c, _) in fits.items()}
     default = max(fits, key=lambda k: fits[k][2])
 
-    @F.pandas_udf("d2 double, contributions array<double>")
+    @F.pandas_udf("d2 double, away double, contributions array<double>")
     def distance(lang: pd.Series, stats: pd.Series) -> pd.DataFrame:
         x = np.stack(stats.to_numpy()) if len(stats) else np.zeros((0, D))
-        share = np.zeros((len(x), D))
+        share, away = np.zeros((len(x), D)), np.zeros(len(x))
         for k in lang.unique():
             mean, inv = models.get(k, models[default])
             at = (lang == k).to_numpy()
             z = x[at] - mean
             share[at] = z * (z @ inv)
-        return pd.DataFrame({"d2": share.sum(1), "contributions": list(share)})
+            away[at] = np.where(z * SIGNS > 0, share[at], 0.0).sum(1)
+        return pd.DataFrame({"d2": share.sum(1), "away": away, "contributions": list(share)})
 
     return distance("lang", "stats")
 
@@ -69,32 +92,33 @@ def fit(stats: DataFrame) -> dict[str, tuple[np.ndarray, np.ndarray, int]]:
     if not fits:
         rows = _sums(known)
         return {max(rows, key=lambda k: rows[k][2]): max(rows.values(), key=lambda v: v[2])} if rows else {}
+    fitted = known.where(F.col("lang").isin(list(fits)))
     for _ in range(STEPS):
-        near = known.where(F.col("lang").isin(list(fits))).select("lang", "stats", _distance(fits)["d2"].alias("d2"))
+        near = fitted.select("lang", "stats", _distance(fits)["d2"].alias("d2"))
         cut = near.groupBy("lang").agg(F.percentile_approx("d2", CORE).alias("cut"))
         near = near.join(F.broadcast(cut), "lang").where("d2 <= cut")  # one row per language
-        fits |= {k: v for k, v in _sums(near).items() if v[2] >= MIN_ROWS // 2}
+        fits |= {k: v for k, v in _sums(near, _widening(CORE)).items() if v[2] >= MIN_ROWS // 2}
+    for _ in range(REWEIGHTINGS):
+        prose = fitted.select("lang", "stats", _distance(fits)["away"].alias("away")).where(F.col("away") <= CUTOFF)
+        fits |= {k: v for k, v in _sums(prose).items() if v[2] >= MIN_ROWS // 2}
     return fits
 
 
 def measured(rows: DataFrame) -> DataFrame:
-    """cache_seq, lang, kind, stats, d2, contributions of prepared rows."""
+    """cache_seq, lang, kind, stats, d2, away, contributions of prepared rows."""
     return distances(materialize(page_statistics(rows)))
 
 
 def distances(stats: DataFrame) -> DataFrame:
     fits = fit(stats)
     if not fits:
-        return stats.withColumns({"d2": F.lit(None).cast("double"), "contributions": F.array().cast("array<double>")})
-    return stats.select("*", _distance(fits).alias("m")).select("cache_seq", "lang", "kind", "stats", "m.d2", "m.contributions")
+        return stats.withColumns({"d2": F.lit(None).cast("double"), "away": F.lit(None).cast("double"), "contributions": F.array().cast("array<double>")})
+    return stats.select("*", _distance(fits).alias("m")).select("cache_seq", "lang", "kind", "stats", "m.d2", "m.away", "m.contributions")
 
 
 def outliers(m: DataFrame) -> DataFrame:
     """cache_seq, kind of the rows that aren't prose."""
-    s = F.col("stats")
-    fewer = s[COMMON] < 0.2
-    formal = (F.greatest(s[MARKED], s[SPACED]) > 0.5) & (s[COMMON] < 0.3)
-    return m.where((F.col("d2") > CUTOFF) & (fewer | formal)).select("cache_seq", "kind")
+    return m.where(F.col("away") > CUTOFF).select("cache_seq", "kind")
 
 
 def not_prose(ocr: DataFrame, pages: DataFrame) -> DataFrame:
@@ -106,7 +130,7 @@ def not_prose(ocr: DataFrame, pages: DataFrame) -> DataFrame:
 
 
 def report(ocr: DataFrame, pages: DataFrame) -> DataFrame:
-    """One row per measured row: each statistic, the distance and each statistic's share of it."""
+    """One row per measured row: each statistic, the distance, its part away from prose and each statistic's share of it."""
     m = measured(materialize(prepared(ocr, pages)))
     cols = [F.col("stats")[i].alias(k) for i, k in enumerate(STATISTICS)] + [F.col("contributions")[i].alias(f"{k}_contribution") for i, k in enumerate(STATISTICS)]
-    return m.select("cache_seq", "lang", "d2", *cols)
+    return m.select("cache_seq", "lang", "d2", "away", *cols)

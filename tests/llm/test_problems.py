@@ -91,6 +91,17 @@ def test_p2_contributions_add_up(spark):
     assert math.isclose(sum(r[c] for c in r.asDict() if c.endswith("_contribution")), r.d2, rel_tol=1e-6)
 
 
+def test_p2_distance_decides(spark):
+    """Symbols and digits between function words: no threshold on those words or on line shapes finds the row, its distance does."""
+    ocr, pages = scans(spark)
+    torn = "\n".join("the ##%$ 4471 of @@~^ 90817 and {}<> 5531 to" for _ in range(12))
+    ocr = ocr.unionByName(ocr.where("cache_seq = 43").withColumns({"cache_seq": F.lit(60).cast("bigint"), "page_id": F.lit("p60"), "ocr_text": F.lit(torn)}))
+    rows = {r.cache_seq: r for r in text_quality.report(ocr, pages).collect()}
+    assert rows[60].common_words >= 0.3 and rows[60].marked_lines == 0 and rows[60].broken_spacing == 0
+    assert rows[60].away > text_quality.CUTOFF > max(rows[i].away for i in range(1, 41))
+    assert {r.cache_seq for r in text_quality.not_prose(ocr, pages).collect()} == {41, 42, 43, 60}
+
+
 def test_page_helpers():
     assert statistics([]) == ("und", [0.0] * 10) and own_lines("", [], 0) == []
     assert all(PAGE_NUMBER.match(x) for x in ("Page 3", "[12]", "- 4 -", "Page lO of 12", "xiv", "3/7")) and not PAGE_NUMBER.match("Page encoders")
