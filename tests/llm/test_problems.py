@@ -175,6 +175,15 @@ def test_p6_keeps_everything(spark):
     assert packing.pack(items.where("false"), [100]).count() == 0
 
 
+def test_p6_found_packs_every_kind(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, "word another " * n) for i, n in enumerate([3, 40, 300, 5, 90] * 4)], "doc_id bigint, text string")
+    kinds = spark.createDataFrame([("small", 20), ("wide", 400), ("also_wide", 400), ("none", None), ("zero", 0)], "container_kind string, capacity_tokens int")
+    packed, pack = [], packing.pack
+    monkeypatch.setattr(packing, "pack", lambda items, capacities: packed.extend(capacities) or pack(items, capacities))
+    got = sorted(r.doc_id for r in packing.oversize_documents(docs, kinds).collect())
+    assert got == [2, 7, 12, 17] and sorted(packed) == [20, 400]
+
+
 def test_p6_crossover_keeps_items():
     rng = random.Random(8)
     sizes = [rng.randint(1, 60) for _ in range(80)]
