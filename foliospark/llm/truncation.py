@@ -37,6 +37,8 @@ STRING = re.compile(r'"(?:[^"\\]|\\.)*"')
 NUMBER = re.compile(r"\d[\d.]*\d|\d")
 SENTENCE = re.compile(r"(?:(?<=[.?!}`>])\s+|\n+)")
 
+EQUAL_ITEMS = re.compile(r"(\S{1,80})(?:, \1)+")  # longer items make no usual ending
+
 
 def _numbers(text: str) -> str:
     """Numbers as '#', those of three digits and more with their length: a handle cut short differs from a whole one."""
@@ -45,8 +47,14 @@ def _numbers(text: str) -> str:
 
 def last_sentence(value: str) -> str:
     """The value's last sentence or line, numbers as '#', a list of equal items as one; '' for one of more than 80 characters."""
-    s = _numbers(SENTENCE.split(value[-200:].strip())[-1])
-    s = re.sub(r"(\S+)(?:, \1)+", r"\1", s)
+    value, window = value.strip(), 200
+    parts = SENTENCE.split(value[-window:])
+    while len(parts) == 1 and window < len(value):  # the start lies further back
+        window *= 4
+        parts = SENTENCE.split(value[-window:])
+    s = _numbers(parts[-1])
+    if ", " in s:
+        s = EQUAL_ITEMS.sub(r"\1", s)
     return s if len(s) <= 80 else ""
 
 

@@ -157,6 +157,12 @@ def test_p4_held_out(spark):
     assert truncation.truncated(df.where("false")).count() == 0
 
 
+def test_p4_last_sentence_is_whole():
+    few, many = ("Checked it. Handles: " + ", ".join(f"page_{i:06d}" for i in range(n)) for n in (3, 400))
+    assert truncation.last_sentence(many) == truncation.last_sentence(few) == "Handles: page_#6"
+    assert truncation.last_sentence("Done. " + "x" * 5000) == "" and truncation.last_sentence("First line " * 90 + "\n- next  \n") == "- next"
+
+
 def test_p6_keeps_everything(spark):
     rng = random.Random(7)
     sizes = {str(i): rng.choice([0, 1, 5, 40, 99, 100, 101, 250, 400]) for i in range(1500)}
