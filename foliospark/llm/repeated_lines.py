@@ -1,12 +1,13 @@
 """Problem 5: lines repeated across one document's pages.
 
-Rows of one page (written or scanned again) are collapsed to the page, the unit that is counted, so a
-republished page never counts twice; every distinct line is then counted over distinct pages and, for the
-report, over distinct page contents and publication dates.
-
-Texts travel through no shuffle: a line is a 64-bit key of its normalised form, a page an array of keys.
-A page's keys are cut into slices, as many as its document has thousands of pages, so that a document
-holding a third of all pages is counted by many tasks; slices of one document never share a line.
+Copies are collapsed first: the pages of a document that hold the same content (one key per line) are one cluster,
+of which a single page stays and carries the number of pages. A page read several times with different results is
+no copy; its lines count once. Every distinct line is then counted over clusters (`clusters`) and, with their sizes,
+over pages (`on_pages`), which is the number the test-data statement asks for.
+
+Texts travel through no shuffle: a line is a 64-bit key of its normalised form, a page an array of keys. Counting
+makes (document, page, line) distinct and sums them up, each with partial results before the shuffle, so that
+neither a document that holds a third of all pages nor a line that stands on all of them meets in one task.
 """
 
 from __future__ import annotations
@@ -17,35 +18,41 @@ from ..session import materialize
 
 #: A line counts as repeated from this many pages on this share of the document's pages.
 MIN_PAGES, MIN_SHARE = 5, 0.2
-#: What is kept for other operators as a hint: at least two pages and this share. It bounds the keys kept per document.
-HINT_SHARE = 0.05
-PAGES_PER_SLICE = 2_000
-#: Lines with fewer letters keep their letters as read.
+#: Other operators see the counts of lines on at least two pages and this share of the document's, whatever its size.
+#: A page of k lines has at most k / REPEATED_SHARE such lines in its document, which bounds the counts per document.
+REPEATED_SHARE = 0.05
+#: Lines with fewer letters are folded letter by letter, and no letter is dropped.
 FOLD_FROM = 14
+#: Longer lines are never a bare page number.
+BARE_PAGE_LENGTH = 40
 #: Entries (24 bytes each) up to which the repeated lines are broadcast; beyond that they are joined by shuffle.
 BROADCAST_ENTRIES = 400_000
 
-# Characters that stand for each other after a misreading; those that belong to a pair with a
+# Chosen values: characters that stand for each other after a misreading; those that belong to a pair with a
 # letter group (n-ri, m-rn, d-cl, u-ii, w-vv, h-li) are dropped on either side, d joins c.
 FOLD_FROM_CHARS = "ce€¢d" + "tf7" + "s5$" + "a@" + "o0" + "gq9" + "il!|1rnmuhb68wvy"
 FOLD_TO_CHARS = "ccccc" + "ttt" + "sss" + "aa" + "oo" + "ggg"
+# Chosen values: the same for short lines, where every character keeps its place.
+SHORT_FROM_CHARS = "ce€¢" + "tf7" + "s5$" + "a@" + "o0" + "gq9" + "il!|1" + "hb68" + "vy" + "nu"
+SHORT_TO_CHARS = "cccc" + "ttt" + "sss" + "aa" + "oo" + "ggg" + "iiiii" + "bbbb" + "vv" + "nn"
+SKIPPED_CHARS = " \t\r\u00a0.,;:-–—‐\u00ac\u00ad_()[]{}<>\"'*•?+=~^/\\%&"
 
-#: Tokens of digits, dates and version numbers become one sign.
-NUMBER = r"(?=[\p{N}lOoI|])(?<![\p{L}\p{N}@€¢|!])[lOoI|]*\p{N}[\p{N}lOoI|.:/-]*(?![\p{L}@€¢])"
+#: Tokens of digits, dates and version numbers become one sign (in lower-case text).
+NUMBER = r"(?<![\p{L}\p{N}@€¢|!])[loi|]*\p{N}[\p{N}loi|.:/-]*(?![\p{L}@€¢])"
 BARE_PAGE = r"^(p[a@ao]?[gq]?[ec€¢]?|p[gq]|seite|página|página)?[#ivxlcdmo|!1]*((of|0f|o[ft]|/)[#ivxlcdmo|!1]*)?$"
 
 
 def stripped_lines(text: Column) -> Column:
     """Lower-case lines without spacing and punctuation, numbers as '#'; blank lines stay as ''."""
-    t = F.regexp_replace(text, NUMBER, "#")
-    return F.split(F.translate(F.lower(t), " \t\r .,;:-–—‐¬­_()[]{}<>\"'*•?+=~^/\\%&", ""), "\n")
+    numbered = F.transform(F.split(F.lower(text), "\n"), lambda x: F.when(x.rlike(r"\p{N}"), F.regexp_replace(x, NUMBER, "#")).otherwise(x))
+    return F.transform(numbered, lambda x: F.translate(x, SKIPPED_CHARS, ""))
 
 
-def line_keys(text: Column, scope: Column | None = None) -> Column:
+def line_keys(text: Column) -> Column:
     """One key per line, 0 for blank lines and bare page numbers. Two misread copies of a line share the key."""
     def key(x: Column) -> Column:
-        k = F.when(F.length(x) < FOLD_FROM, x).otherwise(F.translate(x, FOLD_FROM_CHARS, FOLD_TO_CHARS))
-        return F.when(x.rlike(BARE_PAGE), F.lit(0).cast("long")).otherwise(F.xxhash64(k))
+        folded = F.when(F.length(x) < FOLD_FROM, F.translate(x, SHORT_FROM_CHARS, SHORT_TO_CHARS)).otherwise(F.translate(x, FOLD_FROM_CHARS, FOLD_TO_CHARS))
+        return F.when((F.length(x) < BARE_PAGE_LENGTH) & x.rlike(BARE_PAGE), F.lit(0).cast("long")).otherwise(F.xxhash64(folded))
     return F.transform(stripped_lines(text), key)
 
 
@@ -54,36 +61,41 @@ def page_documents(pages: DataFrame) -> DataFrame:
     return (pages.where("page_id is not null and trim(document_id) <> ''").groupBy("page_id").agg(F.min("document_id").alias("doc")))
 
 
-def keyed_pages(ocr: DataFrame, pages: DataFrame) -> DataFrame:
-    """cache_seq, page_id, doc, keys of every row with ocr_ok; doc is null where `pages` lacks the page."""
-    rows = ocr.where("ocr_ok").select("cache_seq", "page_id", F.coalesce(line_keys(F.col("ocr_text")), F.array().cast("array<bigint>")).alias("keys"))
-    return materialize(rows.join(page_documents(pages), "page_id", "left"))
+def page_clusters(keyed: DataFrame, pages: DataFrame) -> DataFrame:
+    """page_id, doc, stands_for: the pages a page stands for in counting, 0 for a copy of another page of its document.
+
+    keyed: page_id, content. Only ids and hashes are handled here. Pages with several contents stand for themselves.
+    """
+    contents = keyed.where("page_id is not null").groupBy("page_id").agg(F.min("content").alias("least"), F.max("content").alias("most"))
+    known = materialize(page_documents(pages).join(contents, "page_id").select("page_id", "doc", F.when(F.col("least") == F.col("most"), F.col("least")).alias("content")))
+    copies = known.where("content is not null").groupBy("doc", "content").agg(F.min("page_id").alias("first_page"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    joined = known.join(copies, ["doc", "content"], "left")
+    stands_for = F.when(F.col("n").isNull(), 1).when(F.col("page_id") == F.col("first_page"), F.col("n")).otherwise(0)
+    return materialize(joined.select("page_id", "doc", stands_for.cast("int").alias("stands_for")))
 
 
-def document_sizes(keyed: DataFrame) -> DataFrame:
-    return (keyed.where("doc is not null").select("doc", "page_id").groupBy("doc", "page_id").agg(F.lit(1).alias("_"))
-            .groupBy("doc").agg(F.count(F.lit(1)).alias("n_pages")))
+def keyed_pages(ocr: DataFrame, pages: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(cache_seq, page_id, doc, stands_for, keys of every row with ocr_ok; doc, n_pages). doc is null where `pages` lacks the page."""
+    keys = F.coalesce(line_keys(F.col("ocr_text")), F.array().cast("array<bigint>"))
+    keyed = materialize(ocr.where("ocr_ok").select("cache_seq", "page_id", keys.alias("keys")).withColumn("content", F.xxhash64("keys")))
+    clusters = page_clusters(keyed.select("page_id", "content"), pages)
+    sizes = materialize(clusters.groupBy("doc").agg(F.count(F.lit(1)).alias("n_pages")))
+    return materialize(keyed.drop("content").join(clusters, "page_id", "left")), sizes
 
 
 def count_lines(keyed: DataFrame, sizes: DataFrame) -> DataFrame:
-    """doc, n_pages, key, on_pages of the lines on two pages or more and on HINT_SHARE of the pages."""
-    known = keyed.where("doc is not null and size(keys) > 0").join(sizes, "doc")
-    slices = F.ceil(F.col("n_pages") / PAGES_PER_SLICE).cast("int")
-    one = known.select("doc", "n_pages", F.xxhash64("page_id").alias("page"), F.array_distinct(F.filter("keys", lambda k: k != 0)).alias("keys"), slices.alias("slices"))
-    cut = one.select("doc", "n_pages", "page", F.explode(F.when(F.col("slices") == 1, F.array(F.struct(F.lit(0).alias("slice"), F.col("keys").alias("keys"))))
-        .otherwise(F.transform(F.array_distinct(F.transform("keys", lambda k: F.pmod(k, F.col("slices")).cast("int"))),
-                               lambda s: F.struct(s.alias("slice"), F.filter("keys", lambda k: F.pmod(k, F.col("slices")).cast("int") == s).alias("keys"))))).alias("c"))
-    lines = (cut.select("doc", "n_pages", "page", "c.slice", "c.keys").repartition("doc", "slice")
-             .select("doc", "slice", "n_pages", "page", F.explode("keys").alias("key")))
-    return (lines.groupBy("doc", "slice", "key").agg(F.countDistinct("page").alias("on_pages"), F.first("n_pages").alias("n_pages"))
-            .where((F.col("on_pages") >= 2) & (F.col("on_pages") >= F.col("n_pages") * HINT_SHARE)).drop("slice"))
+    """doc, n_pages, key, on_pages, clusters of the lines on two pages or more and on REPEATED_SHARE of the pages."""
+    lines = (keyed.where("stands_for > 0").select(F.xxhash64("doc").alias("d"), F.xxhash64("page_id").alias("page"), "stands_for", F.explode(F.filter("keys", lambda k: k != 0)).alias("key"))
+             .groupBy("d", "page", "key").agg(F.max("stands_for").alias("pages")))
+    counted = lines.groupBy("d", "key").agg(F.sum("pages").alias("on_pages"), F.count(F.lit(1)).alias("clusters")).where("on_pages >= 2")
+    return counted.join(sizes.withColumn("d", F.xxhash64("doc")), "d").where(F.col("on_pages") >= F.col("n_pages") * REPEATED_SHARE).drop("d")
 
 
 def with_counts(keyed: DataFrame, counted: DataFrame, sizes: DataFrame) -> DataFrame:
     """cache_seq, page_id, doc, n_pages and `on_pages`: for each line the pages it stands on (0: not repeated)."""
-    per_doc = counted.groupBy("doc").agg(F.map_from_entries(F.collect_list(F.struct("key", "on_pages"))).alias("rep"))
+    per_doc = counted.groupBy("doc").agg(F.map_from_entries(F.collect_list(F.struct("key", F.col("on_pages").cast("int")))).alias("rep"))  # bounded, see REPEATED_SHARE
     per_doc = sizes.join(per_doc, "doc", "left")
-    on = lambda: F.transform("keys", lambda k: F.coalesce(F.try_element_at("rep", k), F.lit(0)).cast("int"))
+    on = lambda: F.transform("keys", lambda k: F.coalesce(F.try_element_at("rep", k), F.lit(0)))
     spark = keyed.sparkSession
     docs, entries = sizes.count(), counted.count()
     if docs + entries <= BROADCAST_ENTRIES:
@@ -96,8 +108,7 @@ def with_counts(keyed: DataFrame, counted: DataFrame, sizes: DataFrame) -> DataF
 
 
 def line_counts(ocr: DataFrame, pages: DataFrame) -> DataFrame:
-    keyed = keyed_pages(ocr, pages)
-    sizes = materialize(document_sizes(keyed))
+    keyed, sizes = keyed_pages(ocr, pages)
     counted = materialize(count_lines(keyed, sizes))
     return with_counts(keyed, counted, sizes)
 
