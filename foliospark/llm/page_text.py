@@ -1,124 +1,28 @@
 """Problems 1 and 2 share one pass over the page texts: statistics of the page and counts for the line model.
 
 The pass emits, per row, the statistics of the text without its repeated lines and, per task, partial counts of
-words and line shapes; only the counts are shuffled.
+words and line shapes of all pages; only the counts are shuffled.
 """
 
 from __future__ import annotations
 
-import math
-import re
 from collections import Counter
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from ..session import materialize
-from .common import FUNCTION_SETS, language, map_rows
+from .common import FUNCTION_SETS, LEAST_SHARE
+from .page_layout import ENTRIES, EQUATION, FLOWS, FORMS, FORMULA, NUMBER_ALONE, PLACES, REPETITIONS, STRIP, Layout, as_array, mask, sums
 from .repeated_lines import line_counts
 
 STATISTICS = ("log_words", "mean_word_length", "symbol_ratio", "punctuated_lines", "common_words", "digit_ratio", "words_per_line", "single_characters", "marked_lines", "broken_spacing")
 #: Smallest standard deviation of each statistic: a statistic that never varies in prose must not decide alone.
 FLOOR = (0.5, 0.25, 0.02, 0.12, 0.05, 0.03, 1.0, 0.02, 0.08, 0.05)
-
-PAGE_NUMBER = re.compile(r"^\W*(?:p[a@][gq][ec€¢])?\W*(?:[\dlOoI|!]{1,6}|[ivxlc]{1,7})\W*(?:(?:of|0f|/)\W*[\dlOoI|!]{1,6}\W*)?$", re.I)
-EQUATION_NUMBER = re.compile(r"^\(\s*[\dlOoI|]{1,4}\s*\)$")
-MARKED = re.compile(r"(?:[•\-*–·▪◦]\s|\(?\d{1,3}[.)]\s|\[\d{1,4}\]\s|\([a-zivx]{1,4}\)\s|[a-z]\)\s|step\s+\d)", re.I)
-LETTERS = re.compile(r"[A-Za-zÀ-ɏ]+")
-ENTRIES = re.compile(r"^[\w-]+(?:,\s*\d+)+$")
-GAPS = re.compile(r"\t|\s{2,}|\s\|\s?|^\|")
-ASCII_LETTERS, DIGITS, ONLY_LETTERS = b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ \t", b"0123456789", b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
-
-
-def marked(s: str) -> bool:
-    """Bullets, numbers, references, steps, leaders and index entries."""
-    if (not s[0].isalpha() or s[1:2] == ")" or s[:4].lower() == "step") and MARKED.match(s):
-        return True
-    return "...." in s or ". . . ." in s or ("," in s and s[-1].isdigit() and bool(ENTRIES.match(s)))
-
-
-def spaced(s: str) -> bool:
-    return "  " in s or "\t" in s or " |" in s or s[0] == "|"
-
-
-def rule(s: str) -> bool:
-    """A line drawn between the rows of a table."""
-    return len(s) > 4 and not any(map(str.isalnum, s))
-
-
-def cells(s: str) -> int:
-    """Cells of a row of columns, by gaps and bars, else by commas; 1 for running text."""
-    return len([x for x in GAPS.split(s) if x.strip()]) if spaced(s) else s.count(",") + 1
-
-
-def heads_table(lines: list, j: int) -> bool:
-    """Whether line j of layout() is a rule, or names the columns, of the table whose next row has as many cells."""
-    below = [x[1] for x in lines[j + 1 : j + 3]]
-    if rule(lines[j][1]):
-        return bool(j and below) and cells(lines[j - 1][1]) == cells(below[0]) > 1
-    below = [s for s in below if not rule(s)]
-    return bool(below) and cells(lines[j][1]) == cells(below[0]) > 1
-
-
-def in_columns(lines: list, j: int) -> bool:
-    """Whether line j of layout() has as many cells as the row above or below it, more than one."""
-    n = cells(lines[j][1])
-    return n > 1 and any(x[4] != NUMBER_ALONE and cells(x[1]) == n for x in lines[max(0, j - 1) : j + 2])
-
-
-def own_lines(text: str, on_pages, n_pages: int, min_pages: int = 2, min_share: float = 0.1) -> list[str]:
-    """Stripped lines that aren't blank, repeated through the document or a bare page number."""
-    need = max(min_pages, min_share * n_pages)
-    out = []
-    for i, line in enumerate(text.split("\n")):
-        s = line.strip()
-        if s and (i >= len(on_pages) or on_pages[i] < need) and not (len(s) < 24 and PAGE_NUMBER.match(s) and not EQUATION_NUMBER.match(s)):
-            out.append(s)
-    return out
-
-
-def statistics(own: list[str]) -> tuple[str, list[float]]:
-    """Language by function words, and the statistics in the order of STATISTICS; zeros for no lines."""
-    if not own:
-        return "und", [0.0] * len(STATISTICS)
-    body = " ".join(own)
-    tokens = body.lower().split()
-    n = len(tokens)
-    common = FUNCTION_SETS["en"]
-    lang, share = "en", len([t for t in tokens if t in common]) / n
-    if share < 0.2:
-        lang, share = language(tokens)
-    chars = len(body) - n + 1
-    rest = body.encode("utf-8", "replace").translate(None, ASCII_LETTERS)
-    symbols = len(rest.translate(None, DIGITS))
-    digits = len(rest) - symbols
-    k = len(own)
-    gaps = len([s for s in own if spaced(s)]) if "  " in body or "\t" in body or "|" in body else 0
-    listed = len([s for s in own if (not s[0].isalpha() or s[-1].isdigit() or s[1:2] == ")" or s[:4].lower() == "step") and marked(s)])
-    return lang, [
-        math.log1p(n), min(20.0, chars / n), symbols / max(1, chars), len([s for s in own if s[-1] in ".?!:;"]) / k, share, digits / max(1, chars), min(25.0, n / k),
-        len([t for t in tokens if len(t) == 1]) / n, listed / k, gaps / k,
-    ]
-
-
-def kind_of(own: list[str]) -> str:
-    """What text that isn't prose looks like: columns are a table, marked or indexed lines a list, anything else junk."""
-    k = max(1, len(own))
-    wordy = [s for s in own if 3 <= len(s) - len(s.encode("utf-8", "replace").translate(None, ONLY_LETTERS)) > 0.25 * len(s)]
-    listed = sum(1 for s in own if marked(s) and not ENTRIES.match(s))
-    columns = sum(1 for s in own if spaced(s) and len(GAPS.split(s)) >= 2 and len(s) / max(1, len(s.split())) >= 2.5)
-    commas = [s.split(",") for s in own]
-    cells = Counter(len(c) for c in commas if len(c) >= 3 and all(len(x.split()) <= 2 and (i == 0 or x[:1] == " ") for i, x in enumerate(c)))
-    index = sum(1 for s in own if ENTRIES.match(s) and (v := [int(x) for x in s.split(",")[1:] if x.strip().isdigit()]) and v == sorted(v))
-    cells = sum(cells.values()), len(cells)
-    if len(wordy) < 0.35 * k and columns < 0.5 * k and cells[0] < 0.5 * k:
-        return "list" if listed >= 0.6 * k else "junk"
-    if listed >= 0.5 * k:
-        return "list"
-    if columns >= 0.5 * k:
-        return "table"
-    if cells[0] >= 0.5 * k:
-        return "list" if index >= 0.7 * k and cells[1] >= 2 else "table"
-    return "list" if index >= 0.5 * k or listed >= 0.3 * k else "junk"
+LANGUAGES = tuple(FUNCTION_SETS)
+#: Rows worked on at once, and distinct words a task counts before it hands them on.
+ROWS, WORDS = 1_000, 400_000
 
 
 def prepared(ocr: DataFrame, pages: DataFrame) -> DataFrame:
@@ -128,117 +32,165 @@ def prepared(ocr: DataFrame, pages: DataFrame) -> DataFrame:
     return rows.join(at, "cache_seq")
 
 
-def fresh() -> dict:
-    """Counts of cells (repetition, place, shape), of moves, and of words inside lines, at line ends and in repeated lines."""
-    return {"c": [0] * 200, "t": [0] * 4} | {k: Counter() for k in "mef"}
+def layouts(batches) -> Iterator[tuple[np.ndarray, Layout]]:
+    """(cache_seq, layout) of slices of Arrow batches of prepared rows."""
+    for batch in batches:
+        for i in range(0, batch.num_rows, ROWS):
+            part = batch.slice(i, ROWS)
+            yield part.column(0).to_numpy(), Layout(as_array(part.column(1)), part.column(3), part.column(2).to_numpy())
+
+
+def own_lines(page: Layout, min_pages: int = 2, min_share: float = 0.1) -> np.ndarray:
+    """Whether each line is neither repeated through the document nor a bare page number."""
+    return (page.on < np.maximum(min_pages, min_share * page.n_pages)[page.page]) & ~page.number
+
+
+def statistics(page: Layout) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Language by function words and the statistics of each page, in the order of STATISTICS (zeros for no lines of its own); which lines are own.
+
+    The language is the one whose function words are the largest share of the tokens, single letters aside; English
+    if its share is a fifth; und below LEAST_SHARE.
+    """
+    own, m = own_lines(page), page.pages
+    of = page.page[own]
+    k = np.bincount(of, minlength=m).astype(float)
+    mine = own[page.owner]
+    token, at = page.token[mine], page.page[page.owner[mine]]
+    n = np.bincount(at, minlength=m).astype(float)
+    low = [w.lower() for w in page.words]
+    single = np.array([len(w) == 1 for w in low], bool)
+    n1, k1 = np.maximum(1, n), np.maximum(1, k)
+    share = np.stack([sums(np.array([w in FUNCTION_SETS[name] and len(w) > 1 for w in low], bool)[token], at, m) / n1 for name in LANGUAGES], 1) if m else np.zeros((0, len(LANGUAGES)))
+    english = sums(np.array([w in FUNCTION_SETS["en"] for w in low], bool)[token], at, m) / n1
+    best = share.argmax(1)
+    common = np.where(english >= 0.2, english, share.max(1, initial=0.0))
+    lang = ["en" if e >= 0.2 else LANGUAGES[b] if s >= LEAST_SHARE else "und" for e, b, s in zip(english, best, common)]
+    size, letters, digits, blanks = (x[own] for x in page.classes)
+    chars = sums(page.length[own], of, m) + k - n
+    symbols = sums(size - letters - digits - blanks, of, m)
+    stops, marked = page.ends(".?!:;"), page.marked
+    out = np.stack([
+        np.log1p(n), np.minimum(20.0, chars / n1), symbols / np.maximum(1, chars), sums(stops[own], of, m) / k1, common, sums(digits, of, m) / np.maximum(1, chars),
+        np.minimum(25.0, n / k1), sums(single[token], at, m) / n1, sums(marked[own], of, m) / k1, sums(page.spaced[own], of, m) / k1,
+    ], 1)
+    out[k == 0] = 0
+    return ["und" if not x else y for x, y in zip(k, lang)], out, own
+
+
+def kinds(page: Layout, stats: np.ndarray, own: np.ndarray) -> list[str]:
+    """What each page looks like, should it be no prose: columns are a table, marked or indexed lines a list, anything else junk."""
+    plain = (stats[:, 4] >= 0.24) & (stats[:, 8] <= 0.3) & (stats[:, 9] <= 0.3)
+    out = np.where(stats[:, 8] >= stats[:, 9], "list", "table").astype(object)
+    at = np.flatnonzero(own & ~plain[page.page])
+    of, m = page.page[at], page.pages
+    k = np.maximum(1, np.bincount(of, minlength=m))
+    count = lambda x: sums(x, of, m)
+    letters, length = page.classes[1][at], page.length[at]
+    wordy = count((letters >= 3) & (letters > 0.25 * length))
+    entries = page.entries[at]
+    listed = count(page.marked[at] & ~entries)
+    columns = count(page.spaced[at] & (length >= 2.5 * page.tokens[at]))
+    rows, index = np.zeros(len(at), bool), np.zeros(len(at), bool)
+    widths = np.zeros(len(at), np.int64)
+    commas = np.flatnonzero(page.commas[at] >= 1)
+    for i, s in zip(commas.tolist(), page.text.take(pa.array(at[commas])).to_pylist()):
+        c = s.split(",")
+        widths[i] = len(c)
+        rows[i] = len(c) >= 3 and all(len(x.split()) <= 2 and (j == 0 or x[:1] == " ") for j, x in enumerate(c))
+        if entries[i]:
+            v = [int(x) for x in c[1:] if x.strip().isdigit()]
+            index[i] = bool(v) and v == sorted(v)
+    cells, index = count(rows), count(index)
+    kinds_of_rows = np.bincount(np.unique(np.stack([of[rows], widths[rows]], 1), axis=0)[:, 0], minlength=m) if rows.any() else np.zeros(m)
+    bare = (wordy < 0.35 * k) & (columns < 0.5 * k) & (cells < 0.5 * k)
+    named = np.select(
+        [bare & (listed >= 0.6 * k), bare, listed >= 0.5 * k, columns >= 0.5 * k, (cells >= 0.5 * k) & (index >= 0.7 * k) & (kinds_of_rows >= 2), cells >= 0.5 * k, (index >= 0.5 * k) | (listed >= 0.3 * k)],
+        ["list", "junk", "list", "table", "list", "table", "list"], "junk")
+    return np.where(plain, out, named).tolist()
+
+
+# Counts for the line model. A cell is a line's repetition, place, form and flow.
+
+CELLS = REPETITIONS * PLACES * FORMS * FLOWS
+BREAKS = (EQUATION, 2, 3, FORMULA, 8)  # forms that break the running text: equations, capitals, headings, formulas, heads
+FURNITURE, BODY, BREAK = 0, 1, 2
+
+
+def cell_of(page: Layout, form: np.ndarray, flow: np.ndarray) -> np.ndarray:
+    return ((page.repetition * PLACES + page.place) * FORMS + form) * FLOWS + flow
+
+
+def first_states(page: Layout, form: np.ndarray) -> np.ndarray:
+    """What a line surely or most simply is: repeated for sure or a number alone, of a breaking form, or body."""
+    return np.where((page.repetition == 4) | (form == NUMBER_ALONE), FURNITURE, np.where(np.isin(form, BREAKS), BREAK, BODY))
+
+
+class Counts:
+    """Sums over a task's pages: cells, moves between first states, words inside body lines (m), at their ends (e), in breaks (h) and in sure furniture (f)."""
+
+    def __init__(self):
+        self.clear()
+
+    def clear(self) -> None:
+        self.cells, self.moves, self.words = np.zeros(CELLS, np.int64), np.zeros((3, 3), np.int64), {k: Counter() for k in "mehf"}
+
+    def add(self, page: Layout) -> None:
+        form, flow = page.context()
+        self.cells += np.bincount(cell_of(page, form, flow), minlength=CELLS)
+        state = first_states(page, form)
+        inner = page.page[1:] == page.page[:-1]
+        np.add.at(self.moves, (state[:-1][inner], state[1:][inner]), 1)
+        state = state[page.owner]
+        at = np.arange(len(page.token))
+        edge = (at == page.token_start[page.owner]) | (at == page.last_token[page.owner])
+        for k, where in (("f", state == FURNITURE), ("h", state == BREAK), ("m", (state == BODY) & ~edge), ("e", (state == BODY) & edge)):
+            n = np.bincount(page.token[where], minlength=len(page.words))
+            counter = self.words[k]
+            for i in np.flatnonzero(n).tolist():
+                counter[page.words[i]] += int(n[i])
+
+    def rows(self) -> list[tuple[str, int]]:
+        out = Counter({f"c{i}": int(self.cells[i]) for i in np.flatnonzero(self.cells)} | {f"t{i}{j}": int(self.moves[i, j]) for i in range(3) for j in range(3) if self.moves[i, j]})
+        for k in "mehf":
+            for token, n in self.words[k].items():
+                if (word := token.strip(STRIP)) and not (k == "f" and word[0].isdigit()):
+                    out[k + word] += n
+        self.clear()
+        return list(out.items())
+
+
+PASSED = "cache_seq bigint, lang string, kind string, stats array<double>, what string, n bigint"
+_SCHEMA = pa.schema([("cache_seq", pa.int64()), ("lang", pa.string()), ("kind", pa.string()), ("stats", pa.list_(pa.float64())), ("what", pa.string()), ("n", pa.int64())])
 
 
 def page_pass(rows: DataFrame, counting: bool = False) -> DataFrame:
     """One pass over the texts. Rows with cache_seq: lang, kind, stats of a page.
 
-    With counting, also rows without cache_seq: partial counts `n` per `what` (see count_page), to be summed.
+    With counting, also rows without cache_seq: partial counts `n` per `what` (see Counts), to be summed.
     """
-    def make():
-        counts = fresh()
-
-        def each(seq, text, n_pages, on):
-            own = own_lines(text, on, n_pages)
-            lang, stats = statistics(own)
-            plain = stats[4] >= 0.24 and stats[8] <= 0.3 and stats[9] <= 0.3
-            if counting and stats[4] >= 0.2:
-                count_page(text, on, n_pages, counts)
-            return [(seq, lang, ("list" if stats[8] >= stats[9] else "table") if plain else kind_of(own), stats, None, None)]
-
-        def flush(end: bool):
-            if not end and sum(len(counts[k]) for k in "mef") < 500_000:
-                return []
-            summed = Counter({f"c{i // 40}{i // 8 % 5}{i % 8}": n for i, n in enumerate(counts["c"]) if n} | {f"t{i // 2}{i % 2}": n for i, n in enumerate(counts["t"]) if n})
-            for k in "mef":
-                for what, n in counts[k].items():
-                    if (word := what.strip(STRIP)) and not (k == "f" and word[0].isdigit()):
-                        summed[k + word] += n
-            counts.update(fresh())
-            return [(None, None, None, None, what, n) for what, n in summed.items()]
-
-        each.flush = flush
-        return each
-
-    return map_rows(rows.select("cache_seq", "text", "n_pages", "on_pages"), "cache_seq bigint, lang string, kind string, stats array<double>, what string, n bigint", make)
-
-
-# Shapes of a line.
-NUMBER_ALONE, EQUATION, CAPITALS, HEADING, FORMULA, LONG, SENTENCE_END, OTHER = range(8)
-SMALL = frozenset("of and the a an in for with to on by or de la et und der die".split())
-STRIP = ".,;:()[]{}\"'?!“”‘’"
-
-
-def shape_of(s: str, width: int) -> int:
-    n, first = len(s), s[0]
-    if n < 24:
-        if EQUATION_NUMBER.match(s):
-            return EQUATION
-        if PAGE_NUMBER.match(s):
-            return NUMBER_ALONE
-    if n < 60 and "=" in s:
-        return FORMULA
-    last = s[-1]
-    if not first.islower() and last not in ".,;:-":
-        parts = s.split(None, 2)
-        if len(parts) > 1 and parts[1][0].isupper() or first.isdigit():  # else too few capitals follow
-            words = [w for w in s.split() if w[0].isalpha()]
-            if len(words) >= 2 and words[0][0].isupper() and sum(w[0].isupper() for w in words) >= 0.7 * len(words):
-                return CAPITALS
-    if n > 0.7 * width:
-        return LONG
-    if last in ".?!":
-        return SENTENCE_END
-    return HEADING if not first.islower() and 1 <= sum(w[0].isalpha() for w in s.split()) <= 6 else OTHER
-
-
-def repetition_of(on: int, n_pages: int) -> int:
-    """0 unrepeated, 1 below a tenth of the pages, 2 below a fifth, 3 a fifth of a short document, 4 repeated for sure."""
-    if on < 2:
-        return 0
-    share = on / max(1, n_pages)
-    return 4 if on >= 5 and share >= 0.2 else 3 if share >= 0.2 else 2 if share >= 0.1 else 1
-
-
-def layout(text: str, on_pages, n_pages: int) -> list[tuple[int, str, int, int, int]]:
-    """(line index, stripped line, repetition, place, shape) of the lines that aren't blank. place: 0 first, 1 near the top, 2 inside, 3 near the end, 4 last."""
-    lines = [(i, s) for i, x in enumerate(text.split("\n")) if (s := x.strip())]
-    widths = sorted([len(s) for _, s in lines])
-    width = widths[len(widths) * 2 // 3] if widths else 0
-    m = len(lines) - 1
-    k = len(on_pages)
-    out = []
-    for j, (i, s) in enumerate(lines):
-        on = on_pages[i] if i < k else 0
-        out.append((i, s, repetition_of(on, n_pages) if on > 1 else 0, 0 if j == 0 else 4 if j == m else 1 if j <= 2 else 3 if j == m - 1 else 2, shape_of(s, width)))
-    return out
-
-
-def count_page(text: str, on_pages, n_pages: int, counts: dict) -> None:
-    """Adds the page's counts to those of fresh(). Sure furniture is what is repeated for sure or a number alone."""
-    before = 0
-    cells, moves = counts["c"], counts["t"]
-    mid: list[str] = []
-    edge: list[str] = []
-    for _, s, rep, place, shape in layout(text, on_pages, n_pages):
-        cells[rep * 40 + place * 8 + shape] += 1
-        tokens = s.split()
-        if rep == 4 or shape == NUMBER_ALONE:
-            moves[before * 2 + 1] += 1
-            before = 1
-            counts["f"].update(tokens)
-        else:
-            moves[before * 2] += 1
-            before = 0
-            mid += tokens[1:-1]
-            edge += (tokens[0], tokens[-1])
-    counts["m"].update(mid)
-    counts["e"].update(edge)
+    def run(batches):
+        counts = Counts()
+
+        def counted():
+            found = counts.rows()
+            none = [None] * len(found)
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip((none, none, none, none, [x[0] for x in found], [x[1] for x in found]), _SCHEMA)], schema=_SCHEMA)
+
+        for seq, page in layouts(batches):
+            lang, stats, own = statistics(page)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, stats.size + 1, stats.shape[1]), pa.int32()), pa.array(stats.ravel()))
+            none = pa.nulls(len(seq), pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array(seq), pa.array(lang, pa.string()), pa.array(kinds(page, stats, own), pa.string()), lists, none, pa.nulls(len(seq), pa.int64())], schema=_SCHEMA)
+            if counting:
+                counts.add(page)
+                if sum(map(len, counts.words.values())) > WORDS:
+                    yield counted()
+        if counting:
+            yield counted()
+
+    return rows.select("cache_seq", "text", "n_pages", "on_pages").mapInArrow(run, PASSED)
 
 
 def page_statistics(rows: DataFrame) -> DataFrame:
     """cache_seq, lang, kind, stats."""
-    return page_pass(rows).where("cache_seq is not null").drop("what", "n")
+    return page_pass(rows).drop("what", "n")

@@ -25,8 +25,10 @@ D = len(STATISTICS)
 CORE, STEPS = 0.5, 3
 #: Fits on all rows that the last fit calls prose.
 REWEIGHTINGS = 2
-#: Rows below this are too few to fit a language; they are measured against the largest language.
-MIN_ROWS = 30
+#: The fit of all languages together counts as so many rows in the fit of each one, so a language of a few pages is
+#: close to the common fit and a large one has its own. Text of no known language is measured by the common fit.
+PRIOR_ROWS = 30
+COMMON = ""
 #: A row is no prose beyond this squared distance (0.999 of chi-squared with 10 degrees of freedom), summed over the
 #: contributions of the statistics that deviate away from prose.
 CUTOFF = 29.6
@@ -50,31 +52,40 @@ def _widening(core: float) -> float:
     return core / _chi_squared(low, D + 2)
 
 
-def _sums(df: DataFrame, widening: float = 1.0) -> dict[str, tuple[np.ndarray, np.ndarray, int]]:
-    """Mean, covariance and rows per language; at most len(FUNCTION_SETS) + 1 rows reach the driver."""
+Fits = dict[str, tuple[np.ndarray, np.ndarray]]
+
+
+def _sums(df: DataFrame, widening: float = 1.0) -> Fits:
+    """Mean and covariance per language and of all; at most len(FUNCTION_SETS) rows reach the driver. {} for no rows."""
     s = [F.col("stats")[i] for i in range(D)]
     sums = [F.sum(x) for x in s] + [F.sum(s[i] * s[j]) for i in range(D) for j in range(i, D)]
-    got = {}
-    for r in df.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.array(*sums).alias("sums")).collect():
-        n, v = r["n"], np.array(r["sums"])
+    got = {r["lang"]: (r["n"], np.array(r["sums"])) for r in df.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.array(*sums).alias("sums")).collect()}
+    if not got:
+        return {}
+
+    def moments(n, v):
         mean, cov = v[:D] / n, np.zeros((D, D))
         cov[np.triu_indices(D)] = v[D:] / n
-        cov = cov + np.triu(cov, 1).T - np.outer(mean, mean)
-        got[r["lang"]] = (mean, cov * widening + np.diag(np.square(FLOOR)), n)
-    return got
+        return mean, cov + np.triu(cov, 1).T - np.outer(mean, mean)
 
+    mean, cov = moments(sum(n for n, _ in got.values()), sum(v for _, v in got.values()))
+    fits = {COMMON: (mean, cov)}
+    for k, (n, v) in got.items():
+        m, c = moments(n, v)
+        fits[k] = ((n * m + PRIOR_ROWS * mean) / (n + PRIOR_ROWS), (n * c + PRIOR_ROWS * cov) / (n + PRIOR_ROWS))
+    return {k: (m, c * widening + np.diag(np.square(FLOOR))) for k, (m, c) in fits.items()}
 
-def _distance(fits: dict[str, tuple[np.ndarray, np.ndarray, int]]) -> Column:
+
+def _distance(fits: Fits) -> Column:
     """struct<d2, away, contributions>: contributions z_j * (S^-1 z)_j add up to the squared distance, those away from prose to `away`."""
-    models = {k: (m, np.linalg.inv(c)) for k, (m, c, _) in fits.items()}
-    default = max(fits, key=lambda k: fits[k][2])
+    models = {k: (m, np.linalg.inv(c)) for k, (m, c) in fits.items()}
 
     @F.pandas_udf("d2 double, away double, contributions array<double>")
     def distance(lang: pd.Series, stats: pd.Series) -> pd.DataFrame:
         x = np.stack(stats.to_numpy()) if len(stats) else np.zeros((0, D))
         share, away = np.zeros((len(x), D)), np.zeros(len(x))
         for k in lang.unique():
-            mean, inv = models.get(k, models[default])
+            mean, inv = models.get(k, models[COMMON])
             at = (lang == k).to_numpy()
             z = x[at] - mean
             share[at] = z * (z @ inv)
@@ -84,23 +95,22 @@ def _distance(fits: dict[str, tuple[np.ndarray, np.ndarray, int]]) -> Column:
     return distance("lang", "stats")
 
 
-def fit(stats: DataFrame) -> dict[str, tuple[np.ndarray, np.ndarray, int]]:
-    """Robust mean and covariance of each language's prose; {} for no rows."""
-    known = stats.where(F.col("lang").isin(list(FUNCTION_SETS)))
-    q = known.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), *[F.percentile_approx(F.col("stats")[i], 0.5).alias(f"m{i}") for i in range(D)]).where(F.col("n") >= MIN_ROWS).collect()
-    fits = {r["lang"]: (np.array([r[f"m{i}"] for i in range(D)]), np.diag(np.square(FLOOR) * 4), r["n"]) for r in q}
-    if not fits:
-        rows = _sums(known)
-        return {max(rows, key=lambda k: rows[k][2]): max(rows.values(), key=lambda v: v[2])} if rows else {}
-    fitted = known.where(F.col("lang").isin(list(fits)))
+def fit(stats: DataFrame) -> Fits:
+    """Robust mean and covariance of each language's prose and of all; {} for no rows in a known language."""
+    known = stats.where(F.col("lang").isin(list(FUNCTION_SETS))).select("lang", "stats")
+    medians = [F.percentile_approx(F.col("stats")[i], 0.5) for i in range(D)]
+    q = known.groupingSets([[F.col("lang")], []], "lang").agg(F.coalesce("lang", F.lit(COMMON)).alias("k"), F.count(F.lit(1)).alias("n"), F.array(*medians).alias("m")).where("n > 0").collect()
+    if not q:
+        return {}
+    common = next(np.array(r["m"]) for r in q if r["k"] == COMMON)
+    fits = {r["k"]: ((r["n"] * np.array(r["m"]) + PRIOR_ROWS * common) / (r["n"] + PRIOR_ROWS), np.diag(np.square(FLOOR) * 4)) for r in q}
     for _ in range(STEPS):
-        near = fitted.select("lang", "stats", _distance(fits)["d2"].alias("d2"))
-        cut = near.groupBy("lang").agg(F.percentile_approx("d2", CORE).alias("cut"))
-        near = near.join(F.broadcast(cut), "lang").where("d2 <= cut")  # one row per language
-        fits |= {k: v for k, v in _sums(near, _widening(CORE)).items() if v[2] >= MIN_ROWS // 2}
+        near = known.select("lang", "stats", _distance(fits)["d2"].alias("d2"))
+        cuts = {r[0]: r[1] for r in near.groupBy("lang").agg(F.percentile_approx("d2", CORE)).collect()}  # a row per language
+        cut = F.coalesce(*[F.when(F.col("lang") == k, F.lit(c)) for k, c in cuts.items()])
+        fits |= _sums(near.where(F.col("d2") <= cut), _widening(CORE))
     for _ in range(REWEIGHTINGS):
-        prose = fitted.select("lang", "stats", _distance(fits)["away"].alias("away")).where(F.col("away") <= CUTOFF)
-        fits |= {k: v for k, v in _sums(prose).items() if v[2] >= MIN_ROWS // 2}
+        fits |= _sums(known.select("lang", "stats", _distance(fits)["away"].alias("away")).where(F.col("away") <= CUTOFF))
     return fits
 
 
