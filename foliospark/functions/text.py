@@ -70,13 +70,14 @@ def retry_after_seconds(value: Column, now: Column) -> Column:
     return F.greatest(F.lit(0.0), F.coalesce(value.try_cast("double"), (F.unix_timestamp(date) - F.unix_timestamp(now)).cast("double")))
 
 
-def first_json_object(text: str | None, keep: int = 1000) -> tuple[str | None, str]:
-    """(the text's first JSON object or None, what follows it up to `keep` characters). A broken first object is None."""
+def first_json_object(text: str | None, keep: int = 1000) -> tuple[str | None, str, bool]:
+    """(the action named by the text's first JSON object, what follows the object up to `keep` characters, whether there is one). A broken first object is none."""
     start = (text or "").find("{")
     if start < 0:
-        return None, ""
+        return None, "", False
     try:
         found, end = json.JSONDecoder().raw_decode(text, start)
     except ValueError:
-        return None, ""
-    return (json.dumps(found, sort_keys=True) if isinstance(found, dict) else None), text[end:].strip().removesuffix("```").strip()[:keep]
+        return None, "", False
+    action = found.get("action")
+    return (str(action) if action is not None else None), text[end:].strip().removesuffix("```").strip()[:keep], True

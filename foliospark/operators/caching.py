@@ -18,16 +18,22 @@ def commonest(df: DataFrame, column: str) -> str | None:
     return top[0][0] if top else None
 
 
-def cache_state(cache: DataFrame, manifest: DataFrame, config: str | None, identity: Column | None = None) -> DataFrame:
-    """page_id, state of every cached or listed page: reused, stale (other configuration), failed, orphan (not in the manifest) or pending (no row).
+def cache_state(cache: DataFrame, manifest: DataFrame, config: str | None, images: DataFrame | None = None) -> DataFrame:
+    """page_id, state of every cached or listed page: reused, stale (other configuration or another image), failed, orphan (not in the manifest) or pending (no row).
 
-    manifest and cache may repeat pages: the manifest counts a page once, of the cache the last row holds.
+    images: page_id, image_sha256 of the pages' images as they are now, one row a page; a page it lacks keeps its
+    image. manifest and cache may repeat pages: the manifest counts a page once, of the cache the last row holds.
     """
-    rows = latest_rows(cache).select("page_id", F.coalesce("ocr_ok", F.lit(False)).alias("ok"), F.col("ocr_config_sha256").alias("config"), F.lit(True).alias("cached"))
+    rows = latest_rows(cache).select("page_id", F.coalesce("ocr_ok", F.lit(False)).alias("ok"), F.col("ocr_config_sha256").alias("config"), F.col("image_sha256").alias("image"), F.lit(True).alias("cached"))
     listed = manifest.where("page_id is not null").select("page_id").distinct().withColumn("listed", F.lit(True))
+    joined = listed.join(rows, "page_id", "full_outer")
+    changed = F.lit(False)
+    if images is not None:
+        joined = joined.join(images.select("page_id", F.col("image_sha256").alias("now")), "page_id", "left")
+        changed = F.col("now").isNotNull() & ~F.coalesce(F.col("image") == F.col("now"), F.lit(False))
     state = (F.when(F.col("listed").isNull(), "orphan").when(F.col("cached").isNull(), "pending")
-             .when(F.coalesce(F.col("config") != F.lit(config), F.lit(True)), "stale").when(~F.col("ok"), "failed").otherwise("reused"))
-    return listed.join(rows, "page_id", "full_outer").select("page_id", state.alias("state"))
+             .when(F.coalesce(F.col("config") != F.lit(config), F.lit(True)) | changed, "stale").when(~F.col("ok"), "failed").otherwise("reused"))
+    return joined.select("page_id", state.alias("state"))
 
 
 def upsert(state: DataFrame, batch: DataFrame, key: str, seq: str) -> DataFrame:

@@ -9,6 +9,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 
+def ranges(df: DataFrame, column: str, rows: int = 500_000) -> Column:
+    """A bucket for running(): the range of all rows' values of the column, in which about `rows` rows lie.
+
+    The ranges follow from counts (approximate percentiles), so a busy day is cut like a busy year.
+    """
+    n = df.count() // rows
+    if not n:
+        return F.lit(0)
+    cuts = df.agg(F.percentile_approx(F.col(column).cast("timestamp").cast("double"), [i / (n + 1) for i in range(1, n + 1)], 10_000)).first()[0]
+    return F.aggregate(F.array(*[F.lit(c) for c in cuts]), F.lit(0), lambda k, c: k + (F.col(column).cast("double") >= c).cast("int"))
+
+
 def running(df: DataFrame, keys: list[str], bucket: Column, order: list[Column], totals: dict[str, Column]) -> DataFrame:
     """df with, per name in totals, the sum of its expression over the group's rows up to and with this one.
 

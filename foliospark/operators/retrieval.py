@@ -12,7 +12,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.text import tokenize
 from ..session import materialize
@@ -45,8 +45,10 @@ def query_blocks(queries: DataFrame, width: int) -> Iterator[DataFrame]:
         yield queries.where(F.pmod(F.xxhash64("qid"), F.lit(parts)) == i)
 
 
-def _width(vectors: DataFrame) -> int:
-    return (vectors.agg(F.max(F.size("vec"))).first()[0]) or 0
+def _width(vectors: DataFrame, of: Column | None = None) -> int:
+    """The commonest width; of equally common ones the largest."""
+    top = vectors.select((F.size("vec") if of is None else of).alias("w")).where("w > 0").groupBy("w").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), F.desc("w")).limit(1).collect()
+    return top[0][0] if top else 0
 
 
 def _union(parts: list[DataFrame]) -> DataFrame:
@@ -98,7 +100,7 @@ def _slices(n: int, per: int) -> Iterator[slice]:
 def dense_topk(queries: DataFrame, corpus: DataFrame, k: int) -> DataFrame:
     """qid, id, score, rank by cosine; ties by id (the input order). queries: qid bigint, vec; corpus: id bigint, vec.
 
-    Null ids and vectors and vectors of another width than the widest are left out; a zero vector scores 0, a
+    Null ids and vectors and vectors of another width than the commonest are left out (validation lists them); a zero vector scores 0, a
     vector with a number that isn't finite ranks nowhere. No query or no corpus row gives no row.
     """
     width = _width(corpus)
@@ -135,7 +137,7 @@ def ranked(scores: DataFrame, group: str, k: int, item: str) -> DataFrame:
 def gold_ranks(queries: DataFrame, corpus: DataFrame) -> DataFrame:
     """qid, gold_id, gold_rank: the gold row's place in the whole corpus, null if the corpus lacks it. queries: qid, vec, gold_id.
 
-    Null ids and vectors and those of another width than the widest count as missing.
+    Null ids and vectors and those of another width than the commonest count as missing.
     """
     width = _width(corpus)
     fits = lambda c: (F.size(c) == width) & F.forall(c, lambda x: x.isNotNull())
@@ -168,9 +170,9 @@ def gold_ranks(queries: DataFrame, corpus: DataFrame) -> DataFrame:
 def maxsim_topk(queries: DataFrame, pages: DataFrame, k: int) -> DataFrame:
     """qid, id, score, rank by late interaction: for each query vector its best page vector, summed. queries: qid, vecs; pages: id, vecs (array<array<float>>).
 
-    Rows with a null id, no vector, or a null number or another width than the widest in one are left out.
+    Rows with a null id, no vector, or a null number or another width than the commonest in one are left out.
     """
-    width = (pages.agg(F.max(F.array_max(F.transform("vecs", lambda v: F.size(v))))).first()[0]) or 0
+    width = _width(pages, F.coalesce(F.size(F.get("vecs", F.lit(0))), F.lit(0)))
     ok = (F.size("vecs") > 0) & F.forall("vecs", lambda v: (F.size(v) == width) & F.forall(v, lambda x: x.isNotNull()))
     queries, pages = queries.where(ok & F.col("qid").isNotNull()), pages.where(ok & F.col("id").isNotNull())
     per = (queries.agg(F.max(F.size("vecs"))).first()[0]) or 1

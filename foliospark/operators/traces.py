@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
-from .ordering import first_wins, positions, running
+from .ordering import first_wins, positions, ranges, running
 
 HANDLE = r"(page_[0-9]+)"
 ORDER = ["logged_at", "output_id"]
@@ -16,10 +16,6 @@ def turns(outputs: DataFrame) -> DataFrame:
     return first_wins(known, ["output_id"], F.col("logged_at"))
 
 
-def day(column: str = "logged_at") -> Column:
-    return F.to_date(column)
-
-
 def request_audit(rows: DataFrame, *by: str) -> DataFrame:
     """Logical turns (distinct query, phase and step), events, physical attempts, retries, accepted and rejected replies."""
     a = F.col("request_attempts")
@@ -40,18 +36,18 @@ def seen_as_of(rows: DataFrame) -> DataFrame:
     """query_id, output_id, n_seen: distinct handles named up to and with the turn."""
     first = handles_seen(rows).groupBy("query_id", "handle").agg(F.min(F.struct(*ORDER)).alias("f")).groupBy("query_id", "f.output_id").agg(F.count(F.lit(1)).alias("new"))
     with_new = rows.select("query_id", *ORDER).join(first, ["query_id", "output_id"], "left").withColumn("new", F.coalesce("new", F.lit(0)))
-    return running(with_new, ["query_id"], day(), [F.col(c) for c in ORDER], {"n_seen": F.col("new")}).select("query_id", "output_id", "n_seen")
+    return running(with_new, ["query_id"], ranges(rows, "logged_at"), [F.col(c) for c in ORDER], {"n_seen": F.col("new")}).select("query_id", "output_id", "n_seen")
 
 
 def usage_so_far(rows: DataFrame) -> DataFrame:
     """query_id, output_id, step_no, tokens_so_far, accepted_so_far."""
     totals = {"step_no": F.lit(1), "tokens_so_far": F.coalesce("output_tokens", F.lit(0)), "accepted_so_far": F.coalesce(F.col("response_accepted").cast("int"), F.lit(0))}
     narrow = rows.select("query_id", *ORDER, "output_tokens", "response_accepted")
-    return running(narrow, ["query_id"], day(), [F.col(c) for c in ORDER], totals).select("query_id", "output_id", *totals)
+    return running(narrow, ["query_id"], ranges(rows, "logged_at"), [F.col(c) for c in ORDER], totals).select("query_id", "output_id", *totals)
 
 
 def numbered(rows: DataFrame) -> DataFrame:
-    return positions(rows, ["query_id"], day(), [F.col(c) for c in ORDER])
+    return positions(rows, ["query_id"], ranges(rows, "logged_at"), [F.col(c) for c in ORDER])
 
 
 def submission_checks(predictions: DataFrame, mapping: DataFrame) -> DataFrame:

@@ -2,34 +2,24 @@
 
 from __future__ import annotations
 
-import json
-
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..functions import text as X, vectors as V
 from ..operators import caching, evaluation as E, ordering as O, retrieval as R, traces as T, validation as C
 from ..session import materialize, table as t
 from ..streaming.cache_stream import stream_latest
-
-_SQL: dict[str, str] = {}
-_QUERIES: dict = {}
-
-
-def query(sql: str | None = None):
-    def register(f):
-        _QUERIES[f.__name__] = f
-        if sql:
-            _SQL[f.__name__] = sql
-        return f
-
-    return register
-
+from .registry import QUERIES as _QUERIES, SQL as _SQL, query
 
 def queries() -> dict:
+    from . import protocol  # noqa: F401  (registers its queries)
+
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    from . import protocol  # noqa: F401
+
     return dict(_SQL)
 
 
@@ -144,7 +134,7 @@ case when grouping(level) = 0 then coalesce(cast(level as varchar), '') when gro
 
 
 def _scored(spark, d, **more) -> DataFrame:
-    return E.scored_queries(t(spark, d, "annotations"), E.latest_submissions(t(spark, d, "predictions")), t(spark, d, "handle_mapping"), t(spark, d, "pages"), **more)
+    return E.scored_queries(t(spark, d, "annotations"), materialize(E.latest_submissions(t(spark, d, "predictions"))), t(spark, d, "handle_mapping"), t(spark, d, "pages"), **more)
 
 
 @query(REPORT + " from scored group by grouping sets ((run_name), (run_name, level), (run_name, topic_id))")
@@ -325,16 +315,17 @@ def ocr_cache_validation(spark, d):
 
 STATE = """
 with conf as (select ocr_config_sha256 as c from ocr_cache where ocr_config_sha256 is not null group by 1 order by count(*) desc, 1 limit 1),
-cached as (select page_id, r.ok as ok, r.config as config from (select page_id, max_by(struct_pack(ok := coalesce(ocr_ok, false), config := ocr_config_sha256), cache_seq) as r from ocr_cache where page_id is not null group by page_id)),
+cached as (select page_id, r.ok as ok, r.config as config, r.image as image, newest from (select page_id, max_by(image_sha256, cached_at) filter (image_sha256 is not null) as newest, max_by(struct_pack(ok := coalesce(ocr_ok, false), config := ocr_config_sha256, image := image_sha256), cache_seq) as r from ocr_cache where page_id is not null group by page_id)),
 listed as (select distinct page_id from pages where page_id is not null),
-state as (select coalesce(l.page_id, k.page_id) as page_id, case when l.page_id is null then 'orphan' when k.page_id is null then 'pending' when coalesce(k.config != (select c from conf), true) then 'stale' when not k.ok then 'failed' else 'reused' end as state
+state as (select coalesce(l.page_id, k.page_id) as page_id, case when l.page_id is null then 'orphan' when k.page_id is null then 'pending' when coalesce(k.config != (select c from conf), true) or coalesce(k.image != newest, newest is not null) then 'stale' when not k.ok then 'failed' else 'reused' end as state
           from listed l full join cached k on l.page_id = k.page_id)
 """
 
 
 def _state(spark, d) -> DataFrame:
     cache = t(spark, d, "ocr_cache")
-    return caching.cache_state(cache, t(spark, d, "pages"), caching.commonest(cache, "ocr_config_sha256"))
+    images = cache.where("page_id is not null and image_sha256 is not null").groupBy("page_id").agg(F.max_by("image_sha256", "cached_at").alias("image_sha256"))  # the image seen last
+    return caching.cache_state(cache, t(spark, d, "pages"), caching.commonest(cache, "ocr_config_sha256"), images)
 
 
 def _in_state(*names: str):
@@ -358,12 +349,13 @@ def pending_documents(spark, d):
     return pages.join(lost.select("page_id"), "page_id", "left_semi").groupBy("document_id").agg(F.count(F.lit(1)).alias("n_missing"), F.min("page_index").alias("first_missing"))
 
 
-@query("select document_id, count(*) as n_files, sum(text_chars)::bigint as total_chars, bit_xor(('0x' || substr(sha256(concat_ws(chr(10), page_id, coalesce(image_sha256, ''), coalesce(ocr_config_sha256, ''))), 1, 15))::bigint) as identity from ocr_cache where page_id is not null group by document_id")
+@query("select document_id, count(*) as n_files, sum(text_chars)::bigint as total_chars, concat_ws('-', count(*), sum(('0x' || substr(h, 1, 15))::bigint), sum(('0x' || substr(h, 16, 15))::bigint)) as identity from (select *, sha256(concat_ws(chr(10), page_id, coalesce(image_sha256, ''), coalesce(ocr_config_sha256, ''))) as h from ocr_cache where page_id is not null) group by document_id")
 def collection_identity(spark, d):
-    """Files, size and a hash that doesn't depend on the rows' order, so no list of a document's pages is built."""
+    """Files, size and an identity: two independent sums of hashes, in which repeated records count each time. No list of a document's pages is built."""
     c = t(spark, d, "ocr_cache").where("page_id is not null")
-    h = F.conv(F.substring(X.fingerprint(F.col("page_id"), F.col("image_sha256"), F.col("ocr_config_sha256")), 1, 15), 16, 10).cast("bigint")
-    return c.groupBy("document_id").agg(F.count(F.lit(1)).alias("n_files"), F.sum("text_chars").alias("total_chars"), F.bit_xor(h).alias("identity"))
+    c = c.withColumn("h", X.fingerprint(F.col("page_id"), F.col("image_sha256"), F.col("ocr_config_sha256")))
+    part = lambda at: F.sum(F.conv(F.substring("h", at, 15), 16, 10).cast("decimal(20,0)")).cast("string")
+    return c.groupBy("document_id").agg(F.count(F.lit(1)).alias("n_files"), F.sum("text_chars").alias("total_chars"), F.concat_ws("-", F.count(F.lit(1)), part(1), part(16)).alias("identity"))
 
 
 @query("select page_id, max(cache_seq) as cache_seq, max_by(coalesce(text_words, -1), cache_seq) as words from ocr_cache where page_id is not null group by page_id")
@@ -552,18 +544,22 @@ def handle_permutation(spark, d):
     return O.global_positions(ids, ["h", "page_id"], "place").select("page_id", "place")
 
 
-def _first_object(text):
-    found, rest = X.first_json_object(text)
-    action = json.loads(found).get("action") if found else None
-    return (str(action) if action is not None else None), rest, found is not None
-
-
 @query()
 def json_first_object(spark, d):
-    """output_id, action, trailing, ok: the first JSON object of every reply, read tolerantly."""
+    """output_id, action, trailing, ok: the first JSON object of every reply, read tolerantly.
+
+    Replies that are one plain object, with or without words before it, are read by Spark; only the others (more after
+    the object, or a broken one) go through Python, in Arrow batches.
+    """
     m = t(spark, d, "model_outputs").where("output_id is not null").select("output_id", "raw_response").distinct()
-    first = F.udf(_first_object, "struct<action: string, trailing: string, ok: boolean>", useArrow=True)
-    return m.select("output_id", first("raw_response").alias("o")).select("output_id", "o.*")
+    m = m.withColumn("o", F.regexp_extract(F.coalesce("raw_response", F.lit("")), r"(?s)(\{.*)", 1)).withColumn("plain", (F.col("o") != "") & F.try_parse_json("o").isNotNull())
+    plain = m.where("plain").select("output_id", F.get_json_object("o", "$.action").alias("action"), F.lit("").alias("trailing"), F.lit(True).alias("ok"))
+
+    @F.pandas_udf("action string, trailing string, ok boolean")
+    def first(text: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([X.first_json_object(x) for x in text], columns=["action", "trailing", "ok"])
+
+    return plain.unionByName(m.where("not plain").select("output_id", first("raw_response").alias("o")).select("output_id", "o.*"))
 
 
 # The star schema, for the general joins and groupings of the library.
@@ -576,10 +572,10 @@ def revenue_by_nation(spark, d):
     return j.groupBy("n_name").agg(F.sum("n").alias("n_orders"), F.round(F.sum("r"), 2).alias("revenue"))
 
 
-@query("select l_returnflag, l_linestatus, count(*) as n, round(sum(l_quantity), 2) as quantity, round(avg(l_discount), 6) as discount from lineitem group by grouping sets ((l_returnflag, l_linestatus), (l_returnflag), ())")
+@query("select l_returnflag, l_linestatus, count(*) as n, round(sum(l_quantity), 2) as quantity, round(sum(cast(l_discount as decimal(12, 2)))::double / count(l_discount), 9) as discount from lineitem group by grouping sets ((l_returnflag, l_linestatus), (l_returnflag), ())")
 def line_report(spark, d):
     g = t(spark, d, "lineitem").groupingSets([[F.col("l_returnflag"), F.col("l_linestatus")], [F.col("l_returnflag")], []], "l_returnflag", "l_linestatus")
-    return g.agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("l_quantity"), 2).alias("quantity"), F.round(F.avg("l_discount"), 6).alias("discount"))
+    return g.agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("l_quantity"), 2).alias("quantity"), F.round(F.sum(F.col("l_discount").cast("decimal(12,2)")).cast("double") / F.count("l_discount"), 9).alias("discount"))
 
 
 @query("select user_id, event_type, count(*) as n, round(sum(value), 4) as total, max(ts) as last_ts from events group by user_id, event_type")

@@ -34,3 +34,10 @@ def read_images(spark: SparkSession, path: str) -> DataFrame:
     png = F.hex(F.substring(head, 1, 8)) == "89504E470D0A1A0A"
     files = spark.read.format("binaryFile").load(path)
     return files.select("path", png.alias("is_png"), F.when(png, number(17)).alias("width"), F.when(png, number(21)).alias("height"))
+
+
+def image_violations(images: DataFrame, manifest: DataFrame) -> DataFrame:
+    """path, problem of listed images that are missing, no PNG or of another size. images: read_images(); manifest: path, width, height."""
+    j = manifest.where("path is not null").join(images.select("path", "is_png", F.col("width").alias("w"), F.col("height").alias("h")), "path", "left")
+    problem = F.when(F.col("is_png").isNull(), "missing").when(~F.col("is_png"), "no PNG").when(~F.coalesce((F.col("w") == F.col("width")) & (F.col("h") == F.col("height")), F.lit(False)), "other size")
+    return j.select("path", problem.alias("problem")).where("problem is not null")

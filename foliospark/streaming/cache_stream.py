@@ -2,36 +2,49 @@
 
 from __future__ import annotations
 
-import os
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..operators.caching import upsert
 from ..operators.ordering import last_wins
 from ..session import shared_dir
 
 
-def stream_latest(spark: SparkSession, sf_dir: str, name: str = "ocr_cache", key: str = "page_id", seq: str = "cache_seq") -> DataFrame:
-    """page_id, cache_seq, ocr_ok of the last row per page after all files were streamed.
+def _exists(spark: SparkSession, path: str) -> bool:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+
 
-    A batch keeps only its own last row per key and is written to a folder of its number; a batch that runs again
-    overwrites that folder. The state is the last row over all folders.
+def upsert_stream(stream: DataFrame, root: str, key: str, seq: str) -> DataFrame:
+    """The last row per key after all that the stream has so far was taken up; `root` keeps state and progress between calls.
+
+    Every batch merges its own last rows with the state of the batch before into a table of its own number, so a batch that
+    runs again writes the same table again; tables older than the previous one are no longer read.
     """
-    path = f"{sf_dir}/{name}.parquet"
-    schema = spark.read.parquet(path).schema
-    reader = spark.readStream.schema(schema)
-    stream = reader.parquet(path) if os.path.isdir(path) else reader.option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
-    root = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
+    spark, schema = stream.sparkSession, stream.schema
+
+    def state(number: int) -> DataFrame:
+        path = f"{root}/state/{number:09d}"
+        return spark.read.schema(schema).parquet(path) if number >= 0 and _exists(spark, path) else spark.createDataFrame([], schema)
 
-    def keep(batch: DataFrame, number: int) -> None:
-        last_wins(batch.where(F.col(key).isNotNull()).select(key, seq, "ocr_ok"), [key], F.col(seq)).write.mode("overwrite").parquet(f"{root}/state/batch={number}")
+    def merge(batch: DataFrame, number: int) -> None:
+        new = last_wins(batch.where(F.col(key).isNotNull()), [key], F.col(seq))
+        upsert(state(number - 1), new, key, seq).write.mode("overwrite").parquet(f"{root}/state/{number:09d}")
 
-    query = stream.writeStream.foreachBatch(keep).option("checkpointLocation", f"{root}/log").trigger(availableNow=True).start()
-    query.awaitTermination()
-    return last_wins(spark.read.parquet(f"{root}/state").select(key, seq, "ocr_ok"), [key], F.col(seq))
+    run = stream.writeStream.foreachBatch(merge).option("checkpointLocation", f"{root}/log").trigger(availableNow=True).start()
+    run.awaitTermination()
+    number = -1
+    while _exists(spark, f"{root}/state/{number + 1:09d}"):
+        number += 1
+    return state(number)
 
 
-def late_turns(outputs: DataFrame, watermark: str = "1 hour", window: str = "1 day") -> DataFrame:
-    """Turns per day and provider of a stream of model outputs; turns later than the watermark are dropped by Spark."""
-    return (outputs.withWatermark("logged_at", watermark).groupBy(F.window("logged_at", window), "provider")
-            .agg(F.count(F.lit(1)).alias("turns"), F.sum("output_tokens").alias("tokens")))
+def stream_latest(spark: SparkSession, sf_dir: str, name: str = "ocr_cache", key: str = "page_id", seq: str = "cache_seq") -> DataFrame:
+    """page_id, cache_seq, ocr_ok of the last row per page. The state of a table lies under the shared folder: a later call takes up only new files."""
+    path = f"{sf_dir}/{name}.parquet"
+    schema = spark.read.parquet(path).schema
+    jpath = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    folder = jpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(jpath).isDirectory()
+    reader = spark.readStream.schema(schema)
+    stream = reader.parquet(path) if folder else reader.option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
+    root = f"{shared_dir(spark)}/stream/{spark.sparkContext.applicationId}/{abs(hash(path)):x}"
+    return upsert_stream(stream.select(key, seq, "ocr_ok"), root, key, seq)
