@@ -14,13 +14,15 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..operators.ordering import running
 from ..session import materialize
 from .common import map_rows
 from .tokens import TOKENIZER, with_tokens
 
 #: Blocks of the whole mix: at least this many, and more where a block would pass MOST_TOKENS.
 BLOCKS, MOST_TOKENS = 4096, 4_000_000
-SHARDS, SEED = 8, 20_26
+#: Tokens of an output shard, and shards at least.
+SHARD_TOKENS, LEAST_SHARDS, SEED = 32_000_000, 8, 20_26
 
 
 def source_key(source: Column) -> Column:
@@ -63,11 +65,17 @@ def quotas(sizes: DataFrame, targets: DataFrame) -> DataFrame:
             .withColumn("quota", F.floor(F.col("share") * F.col("total")).cast("bigint")))
 
 
-def mixed(sizes: DataFrame, plan: DataFrame, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
+def shards_of(plan: DataFrame) -> int:
+    """The number of shards grows with the mix, so that no shard outgrows a task."""
+    return max(LEAST_SHARDS, -(-(plan.agg(F.sum("quota")).first()[0] or 0) // SHARD_TOKENS))
+
+
+def mixed(sizes: DataFrame, plan: DataFrame, shards: int | None = None, seed: int = SEED) -> DataFrame:
     """shard, source, doc_id, repeat, tokens, order_key of every use of a record.
 
     A source that can't reach its quota gives all records max_repeats times. plan has one row per source and is broadcast.
     """
+    shards = shards or shards_of(plan)
     per = F.greatest(F.least(F.ceil(F.col("total") / BLOCKS), F.lit(MOST_TOKENS)), F.lit(1))
     p = plan.where("quota > 0 and available > 0 and max_repeats > 0").withColumns({
         "repeats": F.least(F.col("max_repeats"), F.ceil(F.col("quota") / F.col("available"))).cast("int"), "blocks": F.ceil(F.col("available") / per).cast("int")})
@@ -76,8 +84,10 @@ def mixed(sizes: DataFrame, plan: DataFrame, shards: int = SHARDS, seed: int = S
     dice = F.xxhash64("doc_id", "repeat", F.lit(seed))
     uses = uses.select("source", "doc_id", "repeat", "tokens", "quota", F.pmod(dice, F.col("blocks")).cast("int").alias("block"), F.xxhash64(F.lit(seed + 1), "doc_id", "repeat").alias("order_key"))
     blocks = materialize(uses.groupBy("source", "repeat", "block").agg(F.sum("tokens").alias("tokens"), F.first("quota").alias("quota")))
-    order = Window.partitionBy("source").orderBy("repeat", F.xxhash64(F.lit(seed + 2), "source", "repeat", "block"), "block")  # rows are blocks, not records
-    upto = blocks.withColumns({"upto": F.sum("tokens").over(order), "position": F.row_number().over(order) - 1})
+    dealt = blocks.withColumn("dice", F.xxhash64(F.lit(seed + 2), "source", "repeat", "block"))
+    # a source's blocks in order of repeat and dice, in 256 steps per repeat: a running total is no task's whole work
+    upto = running(dealt, ["source"], F.col("repeat") * 256 + F.shiftright("dice", 56).cast("int") + 128, [F.col("repeat"), F.col("dice"), F.col("block")], {"upto": F.col("tokens"), "position": F.lit(1)})
+    upto = upto.withColumn("position", F.col("position") - 1)
     used = materialize(upto.where(F.col("upto") - F.col("tokens") < F.col("quota"))
                        .select("source", "repeat", "block", "position", F.least(F.col("tokens"), F.col("quota") - (F.col("upto") - F.col("tokens"))).alias("room"), (F.col("upto") > F.col("quota")).alias("last")))
     counts = sorted((r[0], r[1]) for r in used.groupBy("source").agg(F.count(F.lit(1))).collect())  # one number per source
@@ -100,10 +110,12 @@ def mixed(sizes: DataFrame, plan: DataFrame, shards: int = SHARDS, seed: int = S
     return whole.unionByName(tail).select("shard", "source", "doc_id", "repeat", "tokens", "order_key")
 
 
-def mix(documents: DataFrame, targets: DataFrame, shards: int = SHARDS, seed: int = SEED, path: str = TOKENIZER) -> DataFrame:
+def mix(documents: DataFrame, targets: DataFrame, shards: int | None = None, seed: int = SEED, path: str = TOKENIZER) -> DataFrame:
     """The mixed records, each shard in its shuffled order within its partition."""
     sizes = _sizes(documents, path)
-    return mixed(sizes, materialize(quotas(sizes, targets)), shards, seed).repartition("shard").sortWithinPartitions("shard", "order_key")
+    plan = materialize(quotas(sizes, targets))
+    shards = shards or shards_of(plan)
+    return mixed(sizes, plan, shards, seed).repartition(shards, "shard").sortWithinPartitions("shard", "order_key")
 
 
 def shares(documents: DataFrame, targets: DataFrame, path: str = TOKENIZER) -> DataFrame:

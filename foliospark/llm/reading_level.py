@@ -1,33 +1,37 @@
 """Problem 8: reading level by a latent difficulty model of Rasch's kind for word counts.
 
 A word occurs in a document of n words and level t about n * exp(b + d * t) times: d is how much more often the
-word comes in harder texts, b its ease at the scale's middle. Levels and words are estimated in turn. Given the
-levels, each word's two parameters follow from its counts per level step (a table of WIDTH x STEPS numbers, summed
-over all documents); given the words, each document's level is its most likely step. Labelled documents
-hold the scale: their mean label is part of their likelihood while the model is fitted, and none when levels are
-reported. Words are hashed to WIDTH numbers, so the model's size doesn't grow with the corpus.
-
-Only sentences count: a list of hard words in an easy text, headings, tables and traces don't.
+word comes in harder texts, b its ease at the scale's middle. Levels and words are estimated in turn, both as Spark
+jobs. Given the levels, the counts of each word per level step are summed over all documents, and each word's two
+parameters follow from its own sums, in the task that holds them. Given the words, a document's likelihood at any
+level follows from two sums over its words, of b and of d. Every word has parameters of its own: those of the
+VOCABULARY most frequent words are sent to the tasks, the others are joined to the documents that hold them.
+
+Labelled documents hold the scale: their mean label is part of their likelihood while the model is fitted, and none
+when levels are reported. Only sentences count: a list of hard words in an easy text, headings, tables and traces don't.
 """
 
 from __future__ import annotations
 
 import re
-import zlib
 from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from ..session import materialize
 from .common import FUNCTION_SETS, map_rows
 
-WIDTH = 1 << 14
+#: Words sent to the tasks at once: the most frequent ones.
+VOCABULARY = 1 << 18
 GRID = np.arange(0.5, 5.51, 0.25)
 ROUNDS = 3
-#: Weight of a label against the words while fitting, spread of the levels, and the ridge on a word's slope.
+#: Spread of the labels about the level, of the levels, and the ridge on a word's slope.
 LABEL_SD, LEVEL_SD, SLOPE_SD = 0.35, 1.5, 1.0
+#: Weight of a labelled document's words beside its label while fitting: words of one text aren't independent.
+WORDS_WEIGHT = 0.02
 #: Documents from this level on are as demanding as those labelled 4 or 5.
 DEMANDING = 3.5
 #: A document is prose if sentences hold this share of its letters, English from this share of English function words in them.
@@ -35,7 +39,6 @@ PROSE_SHARE, ENGLISH_SHARE = 0.55, 0.05
 
 SENTENCE = re.compile(r"(?<=[.!?])[\"')]?\s+(?=[\"'(]?[^\Wa-z\d_])|\n\s*\n")
 TOKEN = re.compile(r"[^\W\d_][^\W\d_'’-]*[^\W\d_]|[aAI]\b")
-TRACE = re.compile(r"^\s*(?:[{\[<|>$#]|\w+\s*[:=(]\s*[{\[\"'\d]|[\w.]+\()")
 
 
 def read(text: str) -> tuple[float, str, list[str]]:
@@ -63,50 +66,52 @@ def read(text: str) -> tuple[float, str, list[str]]:
 
 
 def counted(documents: DataFrame) -> DataFrame:
-    """doc_id, share, lang, n, ids, counts of every document with text."""
+    """doc_id, share, lang, n, words, counts of every document with text."""
     def make():
-        number: dict[str, int] = {}
-
         def each(doc_id, text):
             share, lang, words = read(text)
-            ids: Counter = Counter()
-            for w, n in Counter(words).items():
-                i = number.get(w)
-                if i is None:
-                    i = zlib.crc32(w.encode()) % WIDTH
-                    if len(number) < 1_000_000:
-                        number[w] = i
-                ids[i] += n
-            return [(doc_id, share, lang, len(words), list(ids.keys()), list(ids.values()))]
+            found = Counter(words)
+            return [(doc_id, share, lang, len(words), list(found), list(found.values()))]
 
         return each
 
     rows = documents.where("doc_id is not null and text rlike '\\\\S'").select("doc_id", "text")
-    return map_rows(rows, "doc_id bigint, share double, lang string, n int, ids array<int>, counts array<int>", make)
+    return map_rows(rows, "doc_id bigint, share double, lang string, n int, words array<string>, counts array<int>", make)
 
 
-def _words(held: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """b and d of every word from documents with a level step `k`."""
-    def run(batches):
-        table, steps = np.zeros((WIDTH, len(GRID))), np.zeros(len(GRID))
+STEPS = len(GRID)
+_SUMS = [f"x{i}" for i in range(STEPS)]
+
+
+def _words(held: DataFrame) -> DataFrame:
+    """word, weight, b, d of every word, from documents with a level step `k`. A task's sums per word come as one row."""
+    exposed = np.zeros(STEPS)
+    for k, n in held.groupBy("k").agg(F.sum("n")).collect():  # a row per step
+        exposed[k] = n
+
+    def count(batches):
+        for batch in batches:
+            k, words, counts = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1), batch.column(2)
+            coded = words.flatten().dictionary_encode()
+            at = coded.indices.to_numpy() * STEPS + np.repeat(k, np.diff(words.offsets.to_numpy()))
+            table = np.bincount(at, np.sqrt(counts.flatten().to_numpy()), len(coded.dictionary) * STEPS).reshape(-1, STEPS)
+            yield pa.RecordBatch.from_arrays([coded.dictionary, *map(pa.array, table.T)], names=["word", *_SUMS])
+
+    summed = held.select("k", "words", "counts").mapInArrow(count, "word string, " + ", ".join(f"{x} double" for x in _SUMS)).groupBy("word").agg(*[F.sum(x).alias(x) for x in _SUMS])
+
+    def fitted(batches):
         for batch in batches:
-            k, n, ids, counts = (batch.column(i) for i in range(4))
-            k = k.to_numpy(zero_copy_only=False)
-            lengths = np.diff(ids.offsets.to_numpy())
-            np.add.at(table, (ids.flatten().to_numpy(), np.repeat(k, lengths)), np.sqrt(counts.flatten().to_numpy()))
-            np.add.at(steps, k, n.to_numpy(zero_copy_only=False))
-        at = np.nonzero(table)
-        yield pa.RecordBatch.from_arrays([pa.array(np.append(at[0], np.full(len(GRID), -1)), pa.int32()), pa.array(np.append(at[1], np.arange(len(GRID))), pa.int32()),
-                                          pa.array(np.append(table[at], steps), pa.float64())], names=["word", "k", "x"])
-
-    summed = held.select("k", "n", "ids", "counts").mapInArrow(run, "word int, k int, x double").groupBy("word", "k").agg(F.sum("x").alias("x")).toArrow()  # WIDTH x STEPS rows at most
-    word, k, x = (summed.column(i).to_numpy() for i in range(3))
-    seen = np.zeros((WIDTH, len(GRID)))
-    seen[word[word >= 0], k[word >= 0]] = x[word >= 0]
-    exposed = np.zeros(len(GRID))
-    exposed[k[word < 0]] = x[word < 0]
+            seen = np.stack([batch.column(1 + i).to_numpy() for i in range(STEPS)], 1)
+            b, d = difficulty(seen, exposed)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(seen.sum(1)), pa.array(b), pa.array(d)], names=["word", "weight", "b", "d"])
+
+    return materialize(summed.mapInArrow(fitted, "word string, weight double, b double, d double"))
+
+
+def difficulty(seen: np.ndarray, exposed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """b and d of each word by Newton steps, from its counts per level step and the words read at each step."""
     t = GRID - 3
-    b, d = np.log((seen.sum(1) + 0.1) / (exposed.sum() + 1)), np.zeros(WIDTH)
+    b, d = np.log((seen.sum(1) + 0.1) / (exposed.sum() + 1)), np.zeros(len(seen))
     for _ in range(25):
         rate = exposed * np.exp(np.clip(b[:, None] + d[:, None] * t, -40, 5))
         r = seen - rate
@@ -118,36 +123,56 @@ def _words(held: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return b, np.clip(d, -4, 4)
 
 
-def _levels(docs: DataFrame, b: np.ndarray, d: np.ndarray, anchored: bool) -> DataFrame:
-    """docs with `k`, the most likely step, and `level`, the mean over the steps' likelihoods."""
-    table = (b[:, None] + d[:, None] * (GRID - 3)).astype(np.float32)
-    mass = np.exp(table.astype(np.float64)).sum(0)
-    prior = -((GRID - 3) ** 2) / (2 * LEVEL_SD**2)
-    shared = docs.sparkSession.sparkContext.broadcast((table, mass, prior))
+def _totals(docs: DataFrame, words: DataFrame) -> DataFrame:
+    """docs with weight, sum_b, sum_d: the sums of each document over its words."""
+    frequent = words.orderBy(F.desc("weight"), "word").limit(VOCABULARY).toArrow()
+    shared = docs.sparkSession.sparkContext.broadcast(tuple(frequent.column(c).combine_chunks() if c == "word" else frequent.column(c).to_numpy() for c in ("word", "b", "d")))
+
+    def run(batches):
+        vocabulary, b, d = shared.value
+        for batch in batches:
+            lists = batch.column(2)
+            n, flat = np.diff(lists.offsets.to_numpy()), lists.flatten()
+            at = np.repeat(np.arange(len(n)), n)
+            weight = np.sqrt(batch.column(3).flatten().to_numpy())
+            index = pc.fill_null(pc.index_in(flat, value_set=vocabulary), -1).to_numpy()
+            known = index >= 0
+            sums = [np.bincount(at[known], (weight * x)[known], len(n)) for x in (np.where(known, 1.0, 0.0), np.where(known, b[index], 0.0), np.where(known, d[index], 0.0))] if len(b) else [np.zeros(len(n))] * 3
+            rare = np.flatnonzero(~known)
+            starts = np.concatenate(([0], np.cumsum(np.bincount(at[rare], minlength=len(n)))))
+            rest = [pa.ListArray.from_arrays(pa.array(starts, pa.int32()), x) for x in (flat.take(pa.array(rare)), pa.array(weight[rare]))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *map(pa.array, sums), *rest, batch.column(4)], names=["doc_id", "n", "weight", "sum_b", "sum_d", "rare", "rare_weights", "label"])
+
+    out = docs.select("doc_id", "n", "words", "counts", "label").mapInArrow(run, "doc_id bigint, n int, weight double, sum_b double, sum_d double, rare array<string>, rare_weights array<double>, label double")
+    if words.count() <= VOCABULARY:  # no word is left
+        return out.drop("rare", "rare_weights")
+    out = materialize(out)
+    long = out.select("doc_id", F.explode(F.arrays_zip("rare", "rare_weights")).alias("x")).select("doc_id", F.col("x.rare").alias("word"), F.col("x.rare_weights").alias("w"))
+    more = long.join(words.select("word", "b", "d"), "word").groupBy("doc_id").agg(F.sum("w").alias("w"), F.sum(F.col("w") * F.col("b")).alias("wb"), F.sum(F.col("w") * F.col("d")).alias("wd"))
+    plus = lambda a, b: (F.col(a) + F.coalesce(b, F.lit(0.0))).alias(a)
+    return out.join(more, "doc_id", "left").select("doc_id", "n", plus("weight", "w"), plus("sum_b", "wb"), plus("sum_d", "wd"), "label")
+
+
+def _levels(docs: DataFrame, words: DataFrame, anchored: bool) -> DataFrame:
+    """doc_id, k (the most likely step), level (the mean over the steps' likelihoods), fit (the log likelihood at k). doc_id is distinct."""
+    t = GRID - 3
+    mass = words.agg(F.array(*[F.sum(F.exp(F.col("b") + F.col("d") * float(x))) for x in t])).first()[0]
+    mass = np.log(np.maximum(np.array([x or 0.0 for x in mass]), 1e-30))
+    prior = -(t**2) / (2 * LEVEL_SD**2)
 
     def run(batches):
-        table, mass, prior = shared.value
         for batch in batches:
-            ids, counts = batch.column(2), batch.column(3)
-            offsets = ids.offsets.to_numpy()
-            lengths = np.diff(offsets)
-            weights = np.sqrt(counts.flatten().to_numpy())
-            words = ids.flatten().to_numpy()
-            at = np.repeat(np.arange(len(lengths)), lengths)
-            ll = np.zeros((len(lengths), len(GRID)))
-            for k in range(len(GRID)):
-                ll[:, k] = np.bincount(at, weights * table[words, k], len(lengths))
-            total = np.bincount(at, weights, len(lengths))
-            ll = ll - total[:, None] * np.log(mass) + prior
-            label = batch.column(4).to_numpy(zero_copy_only=False).astype(float)
+            weight, sum_b, sum_d = (batch.column(i).to_numpy()[:, None] for i in (1, 2, 3))
+            ll = sum_b + sum_d * t - weight * mass + prior
             if anchored:
+                label = batch.column(4).to_numpy(zero_copy_only=False).astype(float)
                 known = ~np.isnan(label)
-                ll[known] = ll[known] * 0.02 - (label[known][:, None] - GRID) ** 2 / (2 * LABEL_SD**2)
+                ll[known] = ll[known] * WORDS_WEIGHT - (label[known][:, None] - GRID) ** 2 / (2 * LABEL_SD**2)
             p = np.exp(ll - ll.max(1, keepdims=True))
             p /= p.sum(1, keepdims=True)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), ids, counts, batch.column(4), pa.array(ll.argmax(1), pa.int32()), pa.array(p @ GRID, pa.float64())], names=["doc_id", "n", "ids", "counts", "label", "k", "level"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ll.argmax(1), pa.int32()), pa.array(p @ GRID, pa.float64()), pa.array(ll.max(1))], names=["doc_id", "k", "level", "fit"])
 
-    return docs.select("doc_id", "n", "ids", "counts", "label").mapInArrow(run, "doc_id bigint, n int, ids array<int>, counts array<int>, label double, k int, level double")
+    return _totals(docs, words).select("doc_id", "weight", "sum_b", "sum_d", "label").mapInArrow(run, "doc_id bigint, k int, level double, fit double")
 
 
 def reading_levels(documents: DataFrame, labels: DataFrame) -> DataFrame:
@@ -162,11 +187,11 @@ def reading_levels(documents: DataFrame, labels: DataFrame) -> DataFrame:
     first = docs.where("label is not null")
     if first.isEmpty():
         return docs.select("doc_id", F.col("label").alias("level")).where("false")
-    step = F.greatest(F.lit(0), F.least(F.lit(len(GRID) - 1), F.round((F.col("label") - float(GRID[0])) / 0.25))).cast("int")
-    b, d = _words(first.withColumn("k", step))
+    step = F.greatest(F.lit(0), F.least(F.lit(STEPS - 1), F.round((F.col("label") - float(GRID[0])) / 0.25))).cast("int")
+    words = _words(first.withColumn("k", step))
     for _ in range(ROUNDS - 1):
-        b, d = _words(_levels(docs, b, d, True))
-    return _levels(docs, b, d, False).select("doc_id", "level")
+        words = _words(docs.join(_levels(docs, words, True).select("doc_id", "k"), "doc_id"))
+    return _levels(docs, words, False).select("doc_id", "level")
 
 
 def demanding(documents: DataFrame, labels: DataFrame) -> DataFrame:

@@ -15,8 +15,11 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..session import materialize
 
 BITS = 6
-#: Copies of a group's cutoff, so that a group holding a third of all rows is joined by that many tasks.
-SALTS = 16
+#: A group is hot if it holds more than a HOT_PARTS-th of all rows; so there are fewer than HOT_PARTS of them. Its cutoff
+#: has SALTS copies, so that its rows are joined by that many tasks.
+HOT_PARTS, SALTS = 200, 16
+#: Cutoffs up to this number are broadcast (under 200 bytes each); beyond it they are joined by shuffle.
+BROADCAST_CUTOFFS = 100_000
 CHUNK = 7
 TOP = 1 << (8 * CHUNK)
 
@@ -47,11 +50,14 @@ def top_n(items: DataFrame, group: str, item: str, score: str, n: int) -> DataFr
             .groupBy(F.col(group).alias("__group"), F.col(item).alias("__item")).agg((F.max(s) + F.lit(0.0)).alias("__score")))
     best = materialize(best.select("*", F.concat(F.array(score_code(F.col("__score"))), identifier_code(F.col("__item"))).alias("__code")))
     groups = best.groupBy("__group").agg(F.count(F.lit(1)).alias("rows"), F.min(F.col("__code")[0]).alias("lo"), F.max(F.col("__code")[0]).alias("hi"))
+    groups = materialize(groups)
+    total = groups.agg(F.sum("rows")).first()[0] or 0
+    hot = [r[0] for r in groups.where(F.col("rows") > max(n, total // HOT_PARTS)).select("__group").collect()]  # fewer than HOT_PARTS
     open_ = materialize(groups.where(F.col("rows") > n).select("__group", F.array().cast("array<bigint>").alias("head"), "lo", "hi", F.lit(n).cast("bigint").alias("need")))
     cutoffs = []
     rows = best.select("__group", "__code")
     while not open_.isEmpty():
-        rows = materialize(_inside(rows, open_))
+        rows = materialize(_inside(rows, open_, hot))
         chosen = materialize(_refine(rows))
         cutoffs.append(chosen.where("exact").select("__group", "cutoff"))
         open_ = chosen.where("not exact").select("__group", "head", "lo", "hi", "need")
@@ -61,27 +67,34 @@ def top_n(items: DataFrame, group: str, item: str, score: str, n: int) -> DataFr
     bound = cutoffs[0]
     for c in cutoffs[1:]:
         bound = bound.unionByName(c)
-    kept = _salted(best, materialize(bound), "left").where(F.col("cutoff").isNull() | (F.col("__code") >= F.col("cutoff")))
+    kept = _salted(best, materialize(bound), "left", hot).where(F.col("cutoff").isNull() | (F.col("__code") >= F.col("cutoff")))
     return kept.select(F.col("__group").alias(group), F.col("__item").alias(item), F.col("__score").alias(score))
 
 
-def _salted(rows: DataFrame, per_group: DataFrame, how: str) -> DataFrame:
-    salted = per_group.withColumn("__salt", F.explode(F.array(*[F.lit(i) for i in range(SALTS)])))
-    return rows.withColumn("__salt", F.pmod(F.xxhash64("__code"), F.lit(SALTS)).cast("int")).join(salted, ["__group", "__salt"], how).drop("__salt")
+def _salted(rows: DataFrame, per_group: DataFrame, how: str, hot: list) -> DataFrame:
+    """rows joined with their group's row of per_group; that of a hot group is found under SALTS salts."""
+    if per_group.count() <= BROADCAST_CUTOFFS:
+        return rows.join(F.broadcast(per_group), "__group", how)
+    is_hot = F.col("__group").isin(hot) if hot else F.lit(False)
+    salted = per_group.withColumn("__salt", F.explode(F.when(is_hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))))
+    own = F.when(is_hot, F.pmod(F.xxhash64("__code"), F.lit(SALTS)).cast("int")).otherwise(0)
+    return rows.withColumn("__salt", own).join(salted.hint("merge"), ["__group", "__salt"], how).drop("__salt")
 
 
-def _inside(rows: DataFrame, open_: DataFrame) -> DataFrame:
+def _inside(rows: DataFrame, open_: DataFrame, hot: list) -> DataFrame:
     """Rows of undecided groups within the group's range, with the value at the code's position in question."""
     at = F.get("__code", F.size("head"))
-    joined = _salted(rows, open_, "inner")
+    joined = _salted(rows, open_, "inner", hot)
     return joined.where((F.slice("__code", F.lit(1), F.size("head")) == F.col("head")) & (at >= F.col("lo")) & (at <= F.col("hi"))).withColumn("at", at)
 
 
 def _refine(rows: DataFrame) -> DataFrame:
     """One row per group: an exact cutoff, or the narrower range in which the n-th row lies."""
-    lo, hi = F.col("lo").cast("decimal(38,0)"), F.col("hi").cast("decimal(38,0)")
-    width = F.ceil((hi - lo + 1) / F.lit(1 << BITS))
-    cut = F.when(F.col("lo") == F.col("hi"), F.lit(0)).otherwise(F.floor((F.col("at").cast("decimal(38,0)") - lo) / width)).cast("int")
+    # ranges wider than a bigint are measured in steps of two
+    span = F.try_subtract("hi", "lo")
+    fine = F.expr(f"(at - lo) div ((hi - lo) div {1 << BITS} + 1)")
+    coarse = F.expr(f"(shiftright(at, 1) - shiftright(lo, 1)) div ((shiftright(hi, 1) - shiftright(lo, 1)) div {1 << BITS} + 1)")
+    cut = F.when(F.col("lo") == F.col("hi"), F.lit(0)).when(span.isNotNull(), fine).otherwise(coarse).cast("int")
     counted = (rows.withColumn("cut", cut).groupBy("__group", "cut")
                .agg(F.count(F.lit(1)).alias("rows"), F.min("at").alias("least"), F.max("at").alias("most"), F.first("head").alias("head"), F.first("need").alias("need")))
     above = Window.partitionBy("__group").orderBy(F.desc("cut"))  # at most 2^BITS rows a group

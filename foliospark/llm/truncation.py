@@ -28,6 +28,8 @@ WIDTH = 1 << 15
 #: An ending is usual from this many values and this share of them; a length is a limit from this share of a provider's values.
 USUAL_COUNT, USUAL_SHARE = 12, 0.001
 LIMIT_COUNT, LIMIT_SHARE, LIMIT_PEAK = 4, 0.004, 4
+#: Characters of an end that the features see, and of the longest usual ending (longer ones are compared by no list).
+TAIL, ENDING = 90, 80
 THRESHOLD = 0.5
 FIELDS = ("raw_response", "reasoning_content")
 
@@ -46,7 +48,7 @@ def _numbers(text: str) -> str:
 
 
 def last_sentence(value: str) -> str:
-    """The value's last sentence or line, numbers as '#', a list of equal items as one; '' for one of more than 80 characters."""
+    """The value's last sentence or line, numbers as '#', a list of equal items as one; '' for one of more than ENDING characters."""
     value, window = value.strip(), 200
     parts = SENTENCE.split(value[-window:])
     while len(parts) == 1 and window < len(value):  # the start lies further back
@@ -55,7 +57,7 @@ def last_sentence(value: str) -> str:
     s = _numbers(parts[-1])
     if ", " in s:
         s = EQUAL_ITEMS.sub(r"\1", s)
-    return s if len(s) <= 80 else ""
+    return s if len(s) <= ENDING else ""
 
 
 def ends(value: str) -> list[tuple[str, str, str]]:
@@ -84,12 +86,12 @@ def ends(value: str) -> list[tuple[str, str, str]]:
 
 
 def features(kind: str, text: str, state: str, usual: frozenset, at_limit: bool) -> list[int]:
-    tail = text[-90:]
+    tail = text[-TAIL:]
     tokens = _numbers(tail).split()
     word = tokens[-1] if tokens else ""
     close = tail[-1:]
     c = "a" if close.isalpha() else "9" if close.isdigit() else close
-    line = text[text.rfind("\n") + 1 :][:90]
+    line = text[text.rfind("\n") + 1 :][:TAIL]
     note = line[:2] == "- "
     two = " ".join(tokens[-2:])
     plain = [f"k{kind}", f"c{kind}{c}", f"s{kind}{state}", f"n{note}{c}", f"w{kind[:2]}{word}", f"2{kind[:2]}{two}", f"4{close if not tail else tail[-4:]}", f"l{at_limit}{c}", f"m{state}{c}", f"cc{c}"]
@@ -116,8 +118,11 @@ def intact(value: str, usual: frozenset) -> bool:
     return (t[-1] in ".?!)`" or t[0] == "<" and t[-1] == ">") and not MARK.search(t) or last_sentence(t) in usual
 
 
-def cut(value: str, rng: random.Random) -> tuple[str, str | None] | None:
-    """The value with text lost, and the kind of the end that shows it (None: the value's own); None if nothing fits."""
+def cut(value: str, rng: random.Random, lengths: tuple[int, ...] = ()) -> tuple[str, str | None] | None:
+    """The value with text lost, and the kind of the end that shows it (None: the value's own); None if nothing fits.
+
+    lengths: those at which the provider's values pile up; a longer value is cut at one of them every other time.
+    """
     inner = [m for m in PAIR.finditer(value) if m[2] and len(m[2]) >= 30]
     tail = rng.choice(("", "", "", "…", "...", " ", "  ", "\n"))
     if inner and rng.random() < 0.4:
@@ -126,6 +131,8 @@ def cut(value: str, rng: random.Random) -> tuple[str, str | None] | None:
         if text[-1] in ".?! ":
             return None
         return value[: m.start(2)] + text + (tail if tail in ("…", "...") else "") + value[m.end(2) :], "in:" + m[1]
+    if (lengths := [n for n in lengths if n < len(value)]) and rng.random() < 0.5:
+        return value[: rng.choice(lengths)], None
     text = value[: rng.randint(int(len(value) * 0.2) + 1, max(int(len(value) * 0.2) + 2, len(value) - 4))]
     return None if not text.strip() or text.rstrip()[-1] in ".?!})`>" else (text + tail, None)
 
@@ -155,6 +162,9 @@ def _usual(values: DataFrame, n: int) -> frozenset:
 
 def _weights(values: DataFrame, n: int, usual, limits) -> np.ndarray:
     share = min(1.0, SAMPLE / max(1, n))
+    of: dict = {}
+    for provider, field, length in sorted(limits):
+        of[provider, field] = (*of.get((provider, field), ()), length)
     sample = values.where(F.pmod(F.xxhash64("output_id", "field"), F.lit(1_000_000)) < int(share * 1_000_000)).repartition(PARTS, "output_id")
 
     def run(batches):
@@ -163,15 +173,15 @@ def _weights(values: DataFrame, n: int, usual, limits) -> np.ndarray:
             for oid, provider, field, value in zip(*(batch.column(i).to_pylist() for i in range(4))):
                 if not intact(value, usual):
                     continue
-                rng = random.Random(oid * 2 + (field == FIELDS[1]))
+                rng, at = random.Random(oid * 2 + (field == FIELDS[1])), of.get((provider, field), ())
                 for kind, text, state in ends(value):
-                    rows.append(features(kind, text, state, usual, (provider, field, len(value)) in limits)), label.append(0.0)
+                    rows.append(features(kind, text, state, usual, len(value) in at)), label.append(0.0)
                 for _ in range(2):
-                    if not (made := cut(value, rng)):
+                    if not (made := cut(value, rng, at)):
                         continue
                     shown = [x for x in ends(made[0]) if x[0] == made[1] or made[1] is None]
                     kind, text, state = shown[-1] if shown else ends(made[0])[-1]
-                    rows.append(features(kind, text, state, usual, rng.random() < 0.3)), label.append(1.0)
+                    rows.append(features(kind, text, state, usual, len(made[0]) in at)), label.append(1.0)
         w = fit(rows, np.array(label))
         at = np.flatnonzero(w)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(w[at], pa.float64()), pa.array(np.full(len(at), len(label)), pa.int64())], names=["i", "w", "n"])
