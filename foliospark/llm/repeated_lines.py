@@ -133,12 +133,12 @@ def without_repeated_lines(ocr: DataFrame, pages: DataFrame) -> DataFrame:
 
 
 def repeated_line_report(ocr: DataFrame, pages: DataFrame) -> DataFrame:
-    """doc, line, n_pages, on_pages, contents, dates: each repeated line with the distinct page contents and dates it stands on."""
-    at = line_counts(ocr, pages)
-    cases = at.where(F.exists("on_pages", lambda x: x >= MIN_PAGES)).select("cache_seq", "doc", "page_id", "n_pages", F.posexplode("on_pages").alias("pos", "on_pages"))
-    cases = cases.where((F.col("on_pages") >= MIN_PAGES) & (F.col("on_pages") >= F.col("n_pages") * F.lit(MIN_SHARE)))
-    texts = ocr.where("ocr_ok").select("cache_seq", F.xxhash64("ocr_text").alias("content"), F.to_date("cached_at").alias("date"), F.split("ocr_text", "\n").alias("lines"))
-    stripped = F.translate(F.lower(F.regexp_replace("line", NUMBER, "#")), " \t\r.", "")
-    long = cases.join(texts, "cache_seq").withColumn("line", F.get("lines", F.col("pos"))).withColumn("key", line_keys(F.col("line"))[0])
-    return (long.groupBy("doc", "key").agg(F.max(stripped).alias("line"), F.max("n_pages").alias("n_pages"), F.max("on_pages").alias("on_pages"),
-            F.countDistinct("content").alias("contents"), F.countDistinct("date").alias("dates")).drop("key"))
+    """doc, line, n_pages, on_pages, clusters, dates: each repeated line with the distinct clusters of pages and the dates it stands on."""
+    keyed, sizes = keyed_pages(ocr, pages)
+    counted = materialize(count_lines(keyed, sizes).where((F.col("on_pages") >= MIN_PAGES) & (F.col("on_pages") >= F.col("n_pages") * F.lit(MIN_SHARE))))
+    at = with_counts(keyed, counted, sizes).select("cache_seq", "doc", F.posexplode("on_pages").alias("pos", "on")).where("on > 0").drop("on")
+    texts = ocr.where("ocr_ok").select("cache_seq", F.to_date("cached_at").alias("date"), F.split("ocr_text", "\n").alias("lines"))
+    stripped = F.translate(F.lower(F.regexp_replace("line", r"\p{N}+", "#")), " \t\r.", "")
+    long = at.join(texts, "cache_seq").withColumn("line", F.get("lines", F.col("pos"))).withColumn("key", line_keys(F.col("line"))[0])
+    lines = long.groupBy("doc", "key").agg(F.max(stripped).alias("line"), F.countDistinct("date").alias("dates"))
+    return counted.join(lines, ["doc", "key"]).select("doc", "line", "n_pages", "on_pages", "clusters", "dates")

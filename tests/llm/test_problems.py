@@ -3,10 +3,12 @@ import math
 import random
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from foliospark.llm import mixing, packing, reading_level, repeated_lines, scan_repair, text_quality, tokens, top_n, truncation
-from foliospark.llm.page_text import PAGE_NUMBER, kind_of, own_lines, statistics
+from foliospark.llm.page_layout import HEAD, IN_COLUMNS, INTERRUPTS, NUMBER_ALONE, RUNS_ON, Layout
+from foliospark.llm.page_text import kinds, own_lines, statistics
 
 WORDS = "page record reader summary table answer query section ranking window corpus margin budget signal pattern figure layout method".split()
 VERBS = "removes follows covers reports separates updates".split()
@@ -56,7 +58,7 @@ def test_p5_against_brute_force(spark):
     assert clean[3].removed == 1 and "Annual" not in clean[3].text and clean[3].text.endswith("Page 3")
     assert repeated_lines.repeated_lines(ocr.where("false"), pages).count() == 0 and repeated_lines.repeated_lines(ocr, pages.where("false")).count() == 0
     report = repeated_lines.repeated_line_report(ocr, pages).collect()
-    assert len(report) == 1 and report[0].on_pages == 40 and report[0].contents == 40
+    assert len(report) == 1 and report[0].on_pages == 40 and report[0].clusters == 40 and report[0].dates == 1
 
 
 def test_p5_keys_ignore_what_may_differ(spark):
@@ -66,13 +68,32 @@ def test_p5_keys_ignore_what_may_differ(spark):
     assert len(set(r[:4])) == 1 and r[0] != 0 and r[4] not in (0, r[0]) and set(r[5:]) == {0}
 
 
-def test_p5_slices_agree(spark, monkeypatch):
+def test_p5_join_by_shuffle_agrees(spark, monkeypatch):
     ocr, pages = scans(spark)
-    monkeypatch.setattr(repeated_lines, "PAGES_PER_SLICE", 5)
     monkeypatch.setattr(repeated_lines, "BROADCAST_ENTRIES", 0)
     assert repeated_lines.repeated_lines(ocr, pages).count() == 40
 
 
+def test_p5_copies_and_second_readings(spark):
+    """A page published six times is one cluster on six pages; a page read twice counts once for lines of both readings."""
+    same, rows = "A shared notice of the paper\nonly on the copied page here", []
+    for i in range(1, 7):
+        rows.append((i, f"p{i}", same))
+    rows += [(7, "p7", "A shared notice of the paper\nfirst reading of this page"), (8, "p7", "A shared notice of the paper\nother words in the second"), (9, "p7", "A shared notice of the paper\nfirst reading of this page")]
+    rows += [(20 + i, f"q{i}", f"Some {WORDS[i]} of its own {WORDS[i + 8]}\nA notice on four pages only" if i < 4 else f"Plain {WORDS[i]} text {WORDS[i + 8]} stands here") for i in range(8)]
+    ocr = spark.createDataFrame([(a, b, True, c, dt.datetime(2026, 1, 1)) for a, b, c in rows], "cache_seq bigint, page_id string, ocr_ok boolean, ocr_text string, cached_at timestamp")
+    pages = spark.createDataFrame([(p, "d") for p in sorted({r[1] for r in rows})], "page_id string, document_id string")
+    got = {tuple(r) for r in repeated_lines.repeated_lines(ocr, pages).collect()}
+    assert got == {(i, 1) for i in range(1, 10)} | {(i, 2) for i in range(1, 7)}
+    counted = {r.on_pages: r.clusters for r in repeated_lines.count_lines(*repeated_lines.keyed_pages(ocr, pages)).collect()}
+    assert counted == {7: 2, 6: 1, 4: 4}
+
+
+def test_p5_short_lines_with_a_misread_character(spark):
+    r = spark.createDataFrame([("Draft copy\nDraft c0py\nDraft cupy\nDrafts cop",)], "t string").select(repeated_lines.line_keys(F.col("t")).alias("k")).first().k
+    assert r[0] == r[1] and len({r[0], r[2], r[3]}) == 3
+
+
 def test_p2_and_p1(spark):
     ocr, pages = scans(spark)
     assert {tuple(r) for r in text_quality.not_prose(ocr, pages).collect()} == {(41, "table"), (42, "list"), (43, "junk")}
@@ -102,20 +123,72 @@ def test_p2_distance_decides(spark):
     assert {r.cache_seq for r in text_quality.not_prose(ocr, pages).collect()} == {41, 42, 43, 60}
 
 
-def test_page_helpers():
-    assert statistics([]) == ("und", [0.0] * 10) and own_lines("", [], 0) == []
-    assert all(PAGE_NUMBER.match(x) for x in ("Page 3", "[12]", "- 4 -", "Page lO of 12", "xiv", "3/7")) and not PAGE_NUMBER.match("Page encoders")
-    assert kind_of(["Word | Count | Share", "page | 12 | 0.25", "table | 3 | 0.5"]) == "table" and kind_of(["1) go", "2) stay", "3) run"]) == "list"
+def page_of(*texts, on=None, n_pages=40):
+    lists = on or [[0] * (t.count("\n") + 1) for t in texts]
+    return Layout(pa.array(texts, pa.string()), pa.array(lists, pa.list_(pa.int32())), np.full(len(texts), n_pages))
 
 
-def test_p1_table_heads_are_the_page_s_own():
-    odds = dict.fromkeys(["Word", "Count", "Share", "Page", "page", "layout", "Annual", "Digest"], 4.0)
-    parts = {0: np.array([-1.0, -1, -1, 1, 1]), 1: np.zeros(5), 2: np.zeros(8)}
-    reader = scan_repair.Reader({}, odds, {"parts": parts, "move": np.zeros((2, 2))})
-    furniture = lambda text, on: [s for _, s, label, _, _ in reader.page(text, on, 40) if label == scan_repair.FURNITURE]
+def test_page_helpers():
+    empty = page_of("\n \n")
+    lang, stats, own = statistics(empty)
+    assert lang == ["und"] and not stats.any() and not len(own) and kinds(empty, stats, own) == ["junk"]
+    numbers = ["Page 3", "[12]", "- 4 -", "Page lO of 12", "xiv", "3/7", "Page encoders", "(7)"]
+    assert own_lines(page_of("\n".join(numbers))).tolist() == [False] * 6 + [True] * 2
+    two = page_of("Word | Count | Share\npage | 12 | 0.25\ntable | 3 | 0.5", "1) go\n2) stay\n3) run")
+    assert kinds(two, *statistics(two)[1:]) == ["table", "list"]
+
+
+def test_statistics_against_plain_python():
+    rng = random.Random(3)
+    texts = ["\n".join(wrapped(rng)) for _ in range(5)] + ["• ein Wort\n  der die das | x\n\n99% more", "  é à  \r\nle la les et", "xy z"]
+    page = page_of(*texts)
+    _, stats, own = statistics(page)
+    for text, row in zip(texts, stats):
+        lines = [x.strip() for x in text.split("\n") if x.strip()]
+        tokens, body = " ".join(lines).split(), " ".join(lines)
+        want = [math.log1p(len(tokens)), min(20.0, (len(body) - len(tokens) + 1) / len(tokens))]
+        assert np.allclose(row[:2], want) and np.isclose(row[6], min(25.0, len(tokens) / len(lines))) and np.isclose(row[3], sum(x[-1] in ".?!:;" for x in lines) / len(lines))
+        other = [b for b in body.encode() if not chr(b).isascii() or not (chr(b).isalnum() or chr(b) in " \t")]
+        assert np.isclose(row[2], len(other) / (len(body) - len(tokens) + 1))
+
+
+def test_p1_forms_of_lines():
     table = ["Word | Count | Share", "-----+-----+-----", "figure | 12 | 0.25", "page | - | 33", "2.1 Page layout", "Page 3"]
-    assert furniture("\n".join(table), [0] * 6) == ["Page 3"]
-    assert furniture("Annual Digest | Print | Save\nfigure | 12 | 0.25", [20, 0]) == ["Annual Digest | Print | Save"]  # repeated: furniture even above a table
+    form, _ = page_of("\n".join(table)).context()
+    assert form[[0, 1, 4]].tolist() == [HEAD] * 3 and form[3] == IN_COLUMNS and form[5] == NUMBER_ALONE
+    form, _ = page_of("Annual Digest | Print | Save\nfigure | 12 | 0.25", on=[[20, 0]]).context()
+    assert form[0] != HEAD  # repeated: no head even above a table
+    _, flow = page_of("The text goes on\nRunning Header\nin the next line.\nAnother one").context()
+    assert flow.tolist()[1:3] == [INTERRUPTS, RUNS_ON]
+
+
+def test_p1_viterbi_against_all_paths():
+    import itertools
+
+    rng = np.random.default_rng(2)
+    moves, start = np.log(rng.dirichlet(np.ones(3), 3)), np.array([0, 4, 4, 5, 11])
+    score = rng.normal(size=(11, 3))
+    got = scan_repair.viterbi(score, moves, start)
+    for a, b in zip(start[:-1], start[1:]):
+        worth = lambda path: sum(score[a + i, s] for i, s in enumerate(path)) + sum(moves[x, y] for x, y in zip(path, path[1:]))  # noqa: E731, B023
+        assert tuple(got[a:b]) == max(itertools.product(range(3), repeat=int(b - a)), key=worth)
+    assert len(scan_repair.viterbi(np.zeros((0, 3)), moves, np.array([0]))) == 0
+
+
+def test_p1_rare_true_words_stay(spark):
+    """However large the corpus: a word is a misreading only beside one that is DOMINANCE times as frequent."""
+    words = spark.createDataFrame([("the", 5_000_000), ("tbe", 40_000), ("form", 900_000), ("farm", 300_000), ("rare", 900), ("rarc", 30), ("marginal", 50_000), ("cavern", 40), ("cavem", 30)], "word string, n bigint")
+    asked = spark.createDataFrame([(w,) for w in ("tbe", "form", "farm", "rarc", "cavem", "tbc", "tlic", "rnarg1nal", "unseen", "farm-tbe", "x")], "word string")
+    got = {r.word: r.fixed for r in scan_repair.corrections(asked, words).collect()}
+    assert got == {"tbe": "the", "rarc": "rare", "tbc": "tbe", "rnarg1nal": "marginal", "farm-tbe": "farm-the"} | ({"tlic": "the"} if len("tlic") >= scan_repair.TWO_CHANGES_FROM else {})
+
+
+def test_p1_vocabulary_bound_changes_nothing(spark, monkeypatch):
+    ocr, pages = scans(spark)
+    kinds_of = lambda: {tuple(r) for r in scan_repair.scan_lines(ocr, pages).where("kind <> 'furniture'").collect()}
+    whole = kinds_of()
+    monkeypatch.setattr(scan_repair, "VOCABULARY", 5)
+    assert kinds_of() == whole == {(8, 5, "hyphen"), (7, 4, "misread")}
 
 
 def test_p3_against_brute_force(spark, monkeypatch):
@@ -125,6 +198,7 @@ def test_p3_against_brute_force(spark, monkeypatch):
     rows = [(rng.choice(["g", "g", "g", "h", None]), rng.choice(items), rng.choice(scores)) for _ in range(900)] + [("one", "x", 1.0), ("none", "x", None)]
     df = spark.createDataFrame(rows, "query_id string, page_handle string, score double").withColumn("lo", F.lit(1))
     monkeypatch.setattr(top_n, "BITS", 2)
+    monkeypatch.setattr(top_n, "BROADCAST_CUTOFFS", 0)
     best = {}
     for g, i, s in rows:
         if g is not None and i is not None and s is not None and math.isfinite(s):
@@ -206,6 +280,7 @@ def test_p7_shares_and_repeats(spark):
     got = {r.source: r for r in mixing.shares(docs, targets).collect()}
     assert abs(got["big_one"].tokens - got["big_one"].quota) < 70 and abs(got["small"].tokens - got["small"].quota) < 70 and got["small"].most_repeats == 2
     assert {s for s, r in got.items() if not r.reached} == {"gone", "other"} and got["gone"].tokens == 0
+    assert mixing.shards_of(docs.selectExpr("16000000L * doc_id as quota").where("doc_id < 200")) == 9950
     mixed = mixing.mix(docs, targets).collect()
     assert len({(r.doc_id, r.repeat) for r in mixed}) == len(mixed) and {r.shard for r in mixed} == set(range(8))
 
@@ -232,6 +307,17 @@ def test_p8_orders_levels(spark):
     assert reading_level.reading_levels(docs, labels.where("false")).count() == 0 and reading_level.reading_levels(docs.where("false"), labels).count() == 0
 
 
+def test_p8_rare_words_count_the_same(spark, monkeypatch):
+    rng = random.Random(11)
+    docs = spark.createDataFrame([(i, " ".join(sentence(rng) for _ in range(4 + i % 5))) for i in range(60)], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, "r", 1 + i % 5) for i in range(40)], "doc_id bigint, annotator string, level int")
+    levels = lambda: {r.doc_id: r.level for r in reading_level.reading_levels(docs, labels).collect()}
+    whole = levels()
+    monkeypatch.setattr(reading_level, "VOCABULARY", 6)
+    few = levels()
+    assert len(whole) == 60 and whole.keys() == few.keys() and all(math.isclose(whole[k], few[k], rel_tol=1e-9) for k in whole)
+
+
 def test_token_counts_of_long_texts():
     text = "word, another word. " * 20_000
     assert tokens.count_tokens(text) == len(tokens.encoder(tokens.TOKENIZER).encode_ordinary(text))
