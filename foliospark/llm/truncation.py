@@ -33,7 +33,8 @@ TAIL, ENDING = 90, 80
 THRESHOLD = 0.5
 FIELDS = ("raw_response", "reasoning_content")
 
-MARK = re.compile(r"\s*(?:\.\.\.|…|\[(?:\.\.\.|…|truncated|cut)\]|<truncated>|\(truncated\)|--)\s*$", re.I)
+#: What may be put after a cut; no mark is longer than MARK_LENGTH.
+MARK, MARK_LENGTH = re.compile(r"(?:\.\.\.|…|\[(?:\.\.\.|…|truncated|cut)\]|<truncated>|\(truncated\)|--)\Z", re.I), 16
 PAIR = re.compile(r"""(?:"(\w+)"\s*:\s*"((?:[^"\\]|\\.)*)")|(?:'(\w+)'\s*:\s*'((?:[^'\\]|\\.)*)')|<p>(.*?)</p>()""", re.S)
 STRING = re.compile(r'"(?:[^"\\]|\\.)*"')
 NUMBER = re.compile(r"\d[\d.]*\d|\d")
@@ -60,15 +61,28 @@ def last_sentence(value: str) -> str:
     return s if len(s) <= ENDING else ""
 
 
+def unmarked(text: str) -> tuple[str, bool]:
+    """The text without blanks and a mark at its end, and whether there is a mark."""
+    t = text.rstrip()
+    m = MARK.search(t, max(0, len(t) - MARK_LENGTH))
+    return (t[: m.start()].rstrip(), True) if m else (t, False)
+
+
+def outside_strings(text: str) -> str:
+    """The text without its quoted strings; a quote that isn't closed stays, with what follows."""
+    if '\\"' in text:
+        return STRING.sub("", text)
+    parts = text.split('"')
+    return "".join(parts[::2]) if len(parts) % 2 else "".join(parts[:-1:2]) + '"' + parts[-1]
+
+
 def ends(value: str) -> list[tuple[str, str, str]]:
     """(kind, text up to its end, state) of the value itself and of each text inside it."""
-    t = value.rstrip()
-    marked = MARK.search(t)
-    e = t[: marked.start()] if marked else t
-    state = "m" if marked else "w" if len(t) < len(value) else ""
+    e, marked = unmarked(value)
+    state = "m" if marked else "w" if value[-1:].isspace() else ""
     out = []
-    if "{" in e or "(" in e or "[" in e:
-        bare = STRING.sub("", e)
+    if "{" in e or "(" in e or "[" in e or "<p>" in e:
+        bare = outside_strings(e)
         if '"' in bare:
             state += "q"
         if bare.count("{") > bare.count("}") or bare.count("[") > bare.count("]") or bare.count("(") > bare.count(")"):
@@ -77,14 +91,27 @@ def ends(value: str) -> list[tuple[str, str, str]]:
             key = m[1] or m[3] or "p"
             text = m[2] or m[4] or m[5] or ""
             if " " in text or len(text) > 24:
-                inner = MARK.search(text)
-                out.append(("in:" + key, text[: inner.start()] if inner else text, "m" if inner else ""))
+                inner, cut_off = unmarked(text)
+                out.append(("in:" + key, inner if cut_off else text, "m" if cut_off else ""))
     if "```" in e and e.count("```") % 2:
         state += "f"
     out.append(("json" if out or e[:1] in "{[`" else "text", e, state))
     return out
 
 
+class _Numbered(dict):
+    """Numbers of features by their names, kept for those seen before."""
+
+    def __missing__(self, name: str) -> int:
+        i = zlib.crc32(name.encode("utf-8", "replace")) % WIDTH
+        if len(self) < 1_000_000:
+            self[name] = i
+        return i
+
+
+_number = _Numbered()
+
+
 def features(kind: str, text: str, state: str, usual: frozenset, at_limit: bool) -> list[int]:
     tail = text[-TAIL:]
     tokens = _numbers(tail).split()
@@ -99,7 +126,7 @@ def features(kind: str, text: str, state: str, usual: frozenset, at_limit: bool)
         last = last_sentence(text)
         plain.append(f"u{last in usual}{kind}")
         plain.append(f"us{last + '…' in usual or last + '...' in usual}{'m' in state}")
-    return [zlib.crc32(x.encode("utf-8", "replace")) % WIDTH for x in plain]
+    return [_number[x] for x in plain]
 
 
 def intact(value: str, usual: frozenset) -> bool:
@@ -112,10 +139,10 @@ def intact(value: str, usual: frozenset) -> bool:
         try:
             found = json.loads(body)
         except ValueError:
-            return t[-1] in ".?!>}" and t[0] in "{<" and '"' not in STRING.sub("", t) and t.count("{") == t.count("}")
+            return t[-1] in ".?!>}" and t[0] in "{<" and '"' not in outside_strings(t) and t.count("{") == t.count("}")
         prose = [m[2] for m in PAIR.finditer(body) if m[2] and len(m[2].split()) >= 4]
         return isinstance(found, dict) and all(x[-1] in ".?!" for x in prose) and (t[-1] in "}`" or last_sentence(t) in usual)
-    return (t[-1] in ".?!)`" or t[0] == "<" and t[-1] == ">") and not MARK.search(t) or last_sentence(t) in usual
+    return (t[-1] in ".?!)`" or t[0] == "<" and t[-1] == ">") and not unmarked(t)[1] or last_sentence(t) in usual
 
 
 def cut(value: str, rng: random.Random, lengths: tuple[int, ...] = ()) -> tuple[str, str | None] | None:
@@ -123,14 +150,14 @@ def cut(value: str, rng: random.Random, lengths: tuple[int, ...] = ()) -> tuple[
 
     lengths: those at which the provider's values pile up; a longer value is cut at one of them every other time.
     """
-    inner = [m for m in PAIR.finditer(value) if m[2] and len(m[2]) >= 30]
+    inner = [(m, i) for m in PAIR.finditer(value) for i in (2, 4, 5) if m[i] and len(m[i]) >= 30]
     tail = rng.choice(("", "", "", "…", "...", " ", "  ", "\n"))
     if inner and rng.random() < 0.4:
-        m = rng.choice(inner)
-        text = m[2][: rng.randint(8, len(m[2]) - 4)]
+        m, i = rng.choice(inner)
+        text = m[i][: rng.randint(8, len(m[i]) - 4)]
         if text[-1] in ".?! ":
             return None
-        return value[: m.start(2)] + text + (tail if tail in ("…", "...") else "") + value[m.end(2) :], "in:" + m[1]
+        return value[: m.start(i)] + text + (tail if tail in ("…", "...") else "") + value[m.end(i) :], "in:" + (m[1] or m[3] or "p")
     if (lengths := [n for n in lengths if n < len(value)]) and rng.random() < 0.5:
         return value[: rng.choice(lengths)], None
     text = value[: rng.randint(int(len(value) * 0.2) + 1, max(int(len(value) * 0.2) + 2, len(value) - 4))]
