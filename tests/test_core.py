@@ -6,8 +6,10 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from foliospark.functions import text as X, vectors as V
-from foliospark.operators import caching, evaluation as E, ordering as O, retrieval as R, traces as T, validation as C
+from foliospark.operators import caching, evaluation as E, ordering as O, protocol as P, resume, retrieval as R, traces as T, validation as C
+from foliospark.plans import protocol as queries
 from foliospark.sources import jsonl
+from foliospark.streaming import cache_stream
 
 
 def test_tokenize_and_strip(spark):
@@ -25,8 +27,9 @@ def test_backoff_and_retry_after(spark):
 
 
 def test_first_json_object():
-    assert X.first_json_object('Sure.\n```json\n{"b": 1, "a": "}"}\n``` done') == ('{"a": "}", "b": 1}', "``` done")
-    assert X.first_json_object('{"a": 1') == (None, "") and X.first_json_object(None) == (None, "") and X.first_json_object("{'a': 1}") == (None, "")
+    assert X.first_json_object('Sure.\n```json\n{"b": 1, "action": "}"}\n``` done') == ("}", "``` done", True)
+    assert X.first_json_object('{"a": 1} then {"action": "x"}') == (None, 'then {"action": "x"}', True)
+    assert {X.first_json_object(x) for x in ('{"a": 1', None, "{'a': 1}", "none", "")} == {(None, "", False)}
 
 
 def test_dense_topk_equals_brute_force(spark, monkeypatch):
@@ -34,7 +37,7 @@ def test_dense_topk_equals_brute_force(spark, monkeypatch):
     v = rng.normal(size=(60, 8)).astype("float32")
     v[7] = v[3]
     v[9] = 0
-    rows = [(i, [float(x) for x in r]) for i, r in enumerate(v)] + [(100, None), (101, [1.0])]
+    rows = [(i, [float(x) for x in r]) for i, r in enumerate(v)] + [(100, None), (101, [1.0]), (102, [1.0] * 30)]  # a malformed long vector empties nothing
     corpus = spark.createDataFrame(rows, "id bigint, vec array<float>").repartition(3)
     monkeypatch.setattr(R, "BLOCK_NUMBERS", 40)  # several blocks
     got = R.dense_topk(corpus.where("id < 12").withColumnRenamed("id", "qid"), corpus, 5).collect()
@@ -143,6 +146,8 @@ def test_running_and_trailing_equal_one_window(spark):
             seen.append(r[2])
             want[r[2]], last[r[2]] = (n, s), seen[-4:]
     assert got == want
+    ranged = O.running(df, ["k"], O.ranges(df, "logged_at", 40), order, {"n": F.lit(1), "s": F.col("x")})
+    assert {r.output_id: (r.n, r.s) for r in ranged.collect()} == want and df.select(O.ranges(df, "logged_at", 40).alias("b")).distinct().count() > 3
     tr = O.trailing(run.select("k", "output_id", "n"), ["k"], "n", 4, "last", F.col("output_id"), segment=7)
     assert {r.output_id: r["last"] for r in tr.collect()} == last
 
@@ -154,10 +159,14 @@ def test_global_positions(spark):
 
 
 def test_cache_states(spark):
-    cache = spark.createDataFrame([(1, "a", True, "c"), (2, "b", False, "c"), (3, "c", True, "old"), (4, "z", True, "c"), (5, "c2", None, "c"), (6, None, True, "c")], "cache_seq bigint, page_id string, ocr_ok boolean, ocr_config_sha256 string")
+    rows = [(1, "a", True, "c"), (2, "b", False, "c"), (3, "c", True, "old"), (4, "z", True, "c"), (5, "c2", None, "c"), (6, None, True, "c")]
+    cache = spark.createDataFrame([(*r, f"image of {r[1]}") for r in rows], "cache_seq bigint, page_id string, ocr_ok boolean, ocr_config_sha256 string, image_sha256 string")
     pages = spark.createDataFrame([("a",), ("a",), ("b",), ("c",), ("d",), (None,)], "page_id string")
     got = dict(caching.cache_state(cache, pages, caching.commonest(cache, "ocr_config_sha256")).collect())
     assert got == {"a": "reused", "b": "failed", "c": "stale", "z": "orphan", "d": "pending", "c2": "orphan"}
+    images = spark.createDataFrame([("a", "image of a"), ("b", "another"), ("z", "another")], "page_id string, image_sha256 string")
+    assert dict(caching.cache_state(cache, pages, "c", images).collect()) == got | {"b": "stale"}
+    assert dict(caching.cache_state(cache, pages, "c", images.withColumn("image_sha256", F.lit("new"))).collect())["a"] == "stale"
     assert caching.commonest(cache.where("false"), "ocr_config_sha256") is None
     state = cache.where("page_id = 'a'")
     assert caching.upsert(state, state, "page_id", "cache_seq").collect() == state.collect()
@@ -191,5 +200,104 @@ def test_jsonl_round_trip(spark, tmp_path):
     df = spark.createDataFrame([(2, None), (1, "ü")], "b int, a string")
     jsonl.write_jsonl(df, str(tmp_path / "x"), ["b"])
     back = jsonl.read_jsonl(spark, str(tmp_path / "x"), "a string, b int")
-    assert sorted(map(tuple, back.collect()), key=str) == [("ü", 1), (None, 2)] or sorted(r.b for r in back.collect()) == [1, 2]
+    assert sorted(map(tuple, back.collect()), key=str) == [("ü", 1), (None, 2)]
+    jsonl.write_jsonl(df.where("b = 1"), str(tmp_path / "x"), mode="append")
+    assert sorted(r.b for r in jsonl.read_jsonl(spark, str(tmp_path / "x"), "a string, b int").collect()) == [1, 1, 2]
+    (tmp_path / "bad.jsonl").write_text('{"b": 3}\nno object\n')
+    loose = {r.b: r._corrupt for r in jsonl.read_jsonl(spark, str(tmp_path / "bad.jsonl"), "b int", strict=False).collect()}
+    assert loose == {3: None, None: "no object"}
     assert jsonl.read_jsonl_if_present(spark, str(tmp_path / "none"), "a string").count() == 0
+
+
+def test_images_against_the_manifest(spark, tmp_path):
+    head = lambda w, h: bytes.fromhex("89504e470d0a1a0a0000000d49484452") + w.to_bytes(4, "big") + h.to_bytes(4, "big") + b"more"
+    for name, content in (("a.png", head(30, 40)), ("b.png", head(30, 40)), ("c.png", b"no image")):
+        (tmp_path / name).write_bytes(content)
+    images = jsonl.read_images(spark, str(tmp_path)).withColumn("path", F.regexp_extract("path", "[^/]+$", 0))
+    manifest = spark.createDataFrame([("a.png", 30, 40), ("b.png", 30, 41), ("c.png", 1, 1), ("d.png", 1, 1), (None, 1, 1)], "path string, width int, height int")
+    assert dict(jsonl.image_violations(images, manifest).collect()) == {"b.png": "other size", "c.png": "no PNG", "d.png": "missing"}
+
+
+def test_stream_takes_up_new_files_and_replays(spark, tmp_path):
+    schema = "page_id string, cache_seq bigint, ocr_ok boolean"
+    put = lambda n, rows: spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / "in" / n))
+    stream = lambda: spark.readStream.schema(schema).option("recursiveFileLookup", "true").parquet(str(tmp_path / "in"))
+    now = lambda: {r.page_id: r.cache_seq for r in cache_stream.upsert_stream(stream(), str(tmp_path / "out"), "page_id", "cache_seq").collect()}
+    put("1", [("a", 1, True), ("b", 2, False), ("a", 3, True), (None, 9, True)])
+    assert now() == {"a": 3, "b": 2}
+    put("2", [("b", 5, True), ("a", 2, True), ("c", 4, None)])
+    assert now() == {"a": 3, "b": 5, "c": 4} == now()  # a call without new files changes nothing
+    late = cache_stream._exists(spark, str(tmp_path / "out" / "state" / "000000001"))
+    assert late and not cache_stream._exists(spark, str(tmp_path / "out" / "state" / "000000002"))
+
+
+def test_requests(spark):
+    q = spark.createDataFrame([("a", None), ("a", "50"), ("a", "51"), ("a", "ten"), (" ", "3"), (None, "3")], "q string, k string")
+    assert [r[0] for r in q.select(P.search_error(F.col("q"), F.col("k"))).collect()] == ["", "", "top_k out of range", "top_k is no integer", "empty query", "empty query"]
+    r = spark.createDataFrame([([0.1, 0.2, 0.5, 0.6], True), ([0.1, 0.2, 0.5, 0.6], False), ([0.1, 0.2, 0.5], True), ([0.5, 0.2, 0.1, 0.6], True), ([0.0, 0.0, 1.1, 0.5], True), ([0.0, None, 1.0, 0.5], True), (None, True)], "r array<double>, seen boolean")
+    assert [x[0] for x in r.select(P.crop_error(F.col("r"), F.col("seen"))).collect()] == ["", "page not inspected", "no four numbers", "empty, reversed or too small", "outside the page", "not numeric", "no four numbers"]
+    assert [x[0] for x in spark.createDataFrame([(0, 5), (9, 5), (3, 5)], "k int, n int").select(P.clamped(F.col("k"), F.col("n"))).collect()] == [1, 5, 3]
+    t = [dt.datetime(2026, 1, 1, 0, i) for i in range(4)]
+    turns = spark.createDataFrame([("q", t[0], 1, "page_1 page_2"), ("q", t[1], 2, "page_1 page_3"), ("r", t[2], 3, "page_1")], "query_id string, logged_at timestamp, output_id bigint, raw_response string")
+    req = spark.createDataFrame([("q", t[1], 2, ["page_1"]), ("q", t[1], 4, ["page_1", "page_1"]), ("q", t[0], 5, ["page_3"]), ("q", t[1], 6, ["page_9"]), ("q", t[1], 7, []), ("q", t[1], 8, None), ("r", t[3], 9, ["page_1", "page_2"]), ("q", t[3], 10, [f"page_{i}" for i in range(11)])], "query_id string, logged_at timestamp, output_id bigint, handles array<string>")
+    mapping = spark.createDataFrame([(f"page_{i}",) for i in range(4)], "page_handle string")
+    got = {x.output_id: x.error for x in P.inspect_checks(req, P.first_seen(turns), mapping).collect()}
+    assert got == {2: "", 4: "repeated handle", 5: "handle not seen before", 6: "unknown handle", 7: "no handles", 8: "no handles", 9: "handle not seen before", 10: "too many handles"}
+
+
+def test_assessments_come_back_in_order(spark):
+    schema = f"a {P.ASSESSMENTS}, e array<string>"
+    rows = [([("p2", 20.0), ("p1", 90.0), ("p3", 10.0)], ["p1", "p2", "p3"]), ([("p1", 20.0), ("p1", 90.0)], ["p1", "p2"]), ([("p1", 20.0), ("p9", 90.0)], ["p1", "p2"]), ([("p1", 120.0)], ["p1"]), ([("p1", None)], ["p1"]), ([("p1", float("nan"))], ["p1"]), ([], ["p1"]), (None, ["p1"])]
+    df = spark.createDataFrame(rows, schema)
+    got = df.select(P.assessment_error(F.col("a"), F.col("e")).alias("x"), P.in_expected_order(F.col("a"), F.col("e")).alias("o")).collect()
+    assert [r.x for r in got] == ["", "repeated handle", "unexpected handle", "invalid score", "invalid score", "invalid score", "wrong number of assessments", "no assessments"]
+    assert [x.page_handle for x in got[0].o] == ["p1", "p2", "p3"]
+    turns = spark.createDataFrame([(True, "accepted_response"), (False, "format_error"), (None, None)], "response_accepted boolean, event_type string")
+    assert [tuple(r) for r in P.with_schema_rejections(turns, F.lit("bad")).collect()] == [(False, "schema_error"), (False, "format_error"), (None, None)]
+
+
+def test_submissions_against_what_was_seen(spark):
+    schema = "prediction_id bigint, query_id string, ranked_answers array<struct<page_handle string, evidence_page_handles array<string>>>"
+    a = lambda *hs: [(h, ["p0", "p0", "far"]) for h in hs]
+    ten = [f"p{i}" for i in range(10)]
+    answers = spark.createDataFrame([(1, "q", a(*ten)), (2, "q", a(*ten[:9])), (3, "q", a(*ten[:9], "p0")), (4, "q", a(*ten[:9], "other")), (5, "few", a("p0", "p1")), (6, "none", a()), (7, "q", None), (8, "q", a(*ten, "p1")), (9, "q", a(*ten[:9], None))], schema)
+    eligible = spark.createDataFrame([("q", p) for p in ten + ["p0"]] + [("few", "p0"), ("few", "p1")], "query_id string, page_handle string")
+    mapping = spark.createDataFrame([(p,) for p in ten], "page_handle string")
+    got = {r.prediction_id: r for r in P.submission_checks(answers, eligible, mapping, need_ten=False).collect()}
+    assert {k: r.error for k, r in got.items()} == {1: "", 2: "wrong number of answers", 3: "repeated handle", 4: "unknown handle", 5: "", 6: "no answers", 7: "wrong number of answers", 8: "too many answers", 9: "unknown handle"}
+    assert got[1].n_evidence_dropped == 10 and got[5].target == 2
+    assert {r.prediction_id for r in P.submission_checks(answers, eligible, mapping).where("error = 'too few candidates'").collect()} == {5, 6}
+
+
+def test_resume(spark):
+    rows = spark.createDataFrame([("r", "a", "x", "p1", "f", 1), ("r", "a", "x", "p1", "f", 2), ("r", "b", "other", "p2", "f", 3), ("r", "c", "x", "p9", "g", 4), ("r", "z", "x", "p1", "f", 5), ("r", None, "x", "p1", "f", 6), ("s", "a", "x", "p1", "f", 7)],
+                                 "run_name string, query_id string, query string, gold_page_id string, print string, n int")
+    contract = spark.createDataFrame([("a", "x", "p1", "f"), ("b", "x", "p2", "f"), ("c", "x", "p3", "f")], "query_id string, query string, gold_page_id string, expected string")
+    v = resume.scope_violations(rows, contract, F.col("n"), "print")
+    report = {r.run_name: r for r in resume.scope_report(rows, v).collect()}
+    r = report["r"]
+    assert (r.n_duplicate, r.n_outside, r.n_query_mismatch, r.n_gold_mismatch, r.n_fingerprint_mismatch, r.compatible) == (2, 1, 1, 1, 1, False) and r.outside_ids == "z" and r.duplicate_ids == ",a"
+    assert report["s"].compatible and report["s"].prediction_rows == 1
+    a = [(f"h{i}",) for i in range(10)]
+    subs = spark.createDataFrame([("r", "a", "submitted", a), ("r", "b", "worker_exception", a), ("r", "c", "submitted", a[:9] + a[:1]), ("r", "z", "submitted", a), ("r", "d", "submitted", a[:9] + [("unknown",)])], "run_name string, query_id string, status string, ranked_answers array<struct<page_handle string>>")
+    now = spark.createDataFrame([(q, 2, "t", "p3") for q in "abcd"], "query_id string, level int, topic_id string, answer_page_id string")
+    mapping = spark.createDataFrame([(f"h{i}", f"p{i}") for i in range(10)], "page_handle string, page_id string")
+    kept = resume.reusable_rows(subs, now, mapping, ("submitted",)).collect()
+    assert [(k.query_id, k.level, k.gold_rank, k.recall_at_3, k.recall_at_5, k.mrr_at_10) for k in kept] == [("a", 2, 4, 0.0, 1.0, 0.25)]
+    c = spark.createDataFrame([(3, "f", "f", True), (14, "f", "f", True), (1, "f", "g", True), (1, None, "f", True), (1, "f", "f", False)], "n int, a string, b string, s boolean")
+    assert [x[0] for x in c.select(resume.checkpoint_error(F.col("n"), 12, F.col("a"), F.col("b"), F.col("s"))).collect()] == ["", "too many steps", "fingerprint differs", "fingerprint differs", "no state"]
+
+
+def test_replies(spark):
+    rows = ['{"output_text": "a"}', '{"output": [{"content": [{"text": "b"}, {"text": "c"}]}]}', '{"content": [{"type": "text", "text": "d"}, {"type": "tool", "text": "no"}]}', '{"choices": [{"message": {"content": "e"}}]}', '{"content": "f"}', "none"]
+    df = spark.createDataFrame([(r,) for r in rows], "r string")
+    assert [x[0] for x in df.select(P.reply_text(F.col("r"))).collect()] == ["a", "b\nc", "d", "e", "f", None]
+    df = spark.createDataFrame([('{"choices": [{"finish_reason": "Safety"}]}',), ("blocked by the content filtering policy",), ('{"finish_reason": "stop"}',), (None,)], "r string")
+    assert [x[0] for x in df.select(P.content_filtered(F.col("r"))).collect()] == [True, True, False, False]
+    s = spark.createDataFrame([(429, "http://a/b//"), (409, "http://a/v1"), (None, None)], "s int, u string").select(P.retryable(F.col("s")).alias("r"), P.retryable(F.col("s"), (409,)).alias("e"), P.normalised_url(F.col("u"), "/v1").alias("u"), P.body_preview(F.col("u"), 4).alias("p")).collect()
+    assert [tuple(x) for x in s] == [(True, True, "http://a/b/v1", "http"), (False, True, "http://a/v1", "http"), (False, False, None, "")]
+
+
+def test_support_order_is_a_seeded_shuffle():
+    got = {q: queries.shuffled(q, ["a", "b"], 17) for q in map(str, range(40))}
+    assert {tuple(v) for v in got.values()} == {("a", "b"), ("b", "a")} and got == {q: queries.shuffled(q, ["a", "b"], 17) for q in got} and queries.shuffled("q", [], 1) == []
