@@ -19,7 +19,7 @@ BITS = 6
 #: has SALTS copies, so that its rows are joined by that many tasks.
 HOT_PARTS, SALTS = 200, 16
 #: Cutoffs up to this number are broadcast (under 200 bytes each); beyond it they are joined by shuffle.
-BROADCAST_CUTOFFS = 100_000
+BROADCAST_CUTOFFS = 20_000
 CHUNK = 7
 TOP = 1 << (8 * CHUNK)
 
