@@ -47,3 +47,20 @@ def insert_if_absent(rows: DataFrame, key: str, order: Column, existing: DataFra
 
     new = first_wins(rows.where(F.col(key).isNotNull()), [key], order)
     return new if existing is None else new.join(existing.select(key), key, "left_anti")
+
+
+def matching(existing: DataFrame, current: DataFrame, *on: str) -> DataFrame:
+    """Existing rows that the current inputs still ask for: equal in all columns of `on` (id and fingerprint)."""
+    return existing.join(current.select(*on).distinct(), list(on), "left_semi")
+
+
+def vector_states(items: DataFrame, vectors: DataFrame, limit: int) -> DataFrame:
+    """position, id, state of every item (position, id, input_hash): reuse, invalidate (other input), embed, or deferred beyond the first `limit` to embed.
+
+    vectors: id, input_hash of what is cached, one row an id. Both invalid and missing items are embedded, in the items' order.
+    """
+    known = vectors.select("id", F.col("input_hash").alias("cached_hash"), F.lit(True).alias("cached"))
+    j = items.join(known, "id", "left").withColumn("kept", F.coalesce(F.col("cached_hash") == F.col("input_hash"), F.lit(False)))
+    last = j.where(~F.col("kept")).orderBy("position").limit(limit).agg(F.max("position")).first()[0]  # the limit is the feature
+    state = F.when(F.col("kept"), "reuse").when(F.col("position") > F.lit(last), "deferred").when(F.col("cached"), "invalidate").otherwise("embed")
+    return j.select("position", "id", state.alias("state"))

@@ -44,6 +44,13 @@ def scope_report(rows: DataFrame, violations: DataFrame, n: int = 5) -> DataFram
     return out.withColumn("compatible", bad == 0)
 
 
+def require_compatible(report: DataFrame) -> None:
+    """Fails where a run's earlier results belong to other queries or another configuration; report: scope_report()."""
+    bad = report.where("not compatible").select("run_name").orderBy("run_name").limit(10).collect()
+    if bad:
+        raise ValueError(f"earlier results of another scope: {', '.join(str(r[0]) for r in bad)}")
+
+
 def reusable_rows(submissions: DataFrame, contract: DataFrame, mapping: DataFrame, statuses: tuple[str, ...]) -> DataFrame:
     """run_name, query_id, level, topic_id, gold_rank, recall_at_k, mrr_at_10 of the submissions to keep.
 

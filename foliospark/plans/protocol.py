@@ -457,3 +457,53 @@ def tokens_with_fallback(spark, d):
     """Output tokens, or the reply's words where the provider reports none."""
     words = F.size(F.split(F.trim(F.coalesce("raw_response", F.lit(""))), r"\s+"))
     return _turns(spark, d).groupBy("provider").agg(F.sum(F.coalesce(F.nullif("output_tokens", F.lit(0)), words)).alias("tokens"))
+
+
+@query("""with conf as (select ocr_config_sha256 as c from ocr_cache where ocr_config_sha256 is not null group by 1 order by count(*) desc, 1 limit 1),
+e as (select page_id, max_by(struct_pack(seq := cache_seq, f := sha256(concat_ws(chr(10), coalesce(image_sha256, ''), coalesce(ocr_config_sha256, '')))), cache_seq) as r from ocr_cache where page_id is not null group by page_id),
+n as (select page_id, sha256(concat_ws(chr(10), coalesce(max_by(image_sha256, cached_at) filter (image_sha256 is not null), ''), coalesce((select c from conf), ''))) as f from ocr_cache where page_id is not null group by page_id)
+select e.page_id, r.seq as cache_seq from e join n on n.page_id = e.page_id and n.f = r.f""")
+def fingerprint_reuse(spark, d):
+    """Cached rows whose input and configuration are still the current ones."""
+    c = t(spark, d, "ocr_cache").where("page_id is not null")
+    e = O.last_wins(c.select("page_id", "cache_seq", X.fingerprint(F.col("image_sha256"), F.col("ocr_config_sha256")).alias("fingerprint")), ["page_id"], F.col("cache_seq"))
+    now = c.groupBy("page_id").agg(F.max_by("image_sha256", F.when(F.col("image_sha256").isNotNull(), F.col("cached_at"))).alias("image"))
+    now = now.select("page_id", X.fingerprint(F.col("image"), F.lit(caching.commonest(c, "ocr_config_sha256"))).alias("fingerprint"))
+    return caching.matching(e, now, "page_id", "fingerprint").select("page_id", "cache_seq")
+
+
+@query(f"""with i as (select page_id as id, row_number() over (order by page_id) as position, h from (select page_id, sha256(coalesce(max_by(coalesce(ocr_text, ''), cache_seq), '')) as h from ocr_cache where page_id is not null group by page_id)),
+v as (select o.page_id as id, sha256(coalesce(min_by(coalesce(ocr_text, ''), cache_seq), '')) as h from ocr_cache o join handle_mapping m on m.page_id = o.page_id join embeddings e on e.vec_id = cast(substr(m.page_handle, 6) as bigint) group by o.page_id),
+j as (select i.*, v.id is not null as cached, coalesce(i.h = v.h, false) as kept from i left join v using (id)), last as (select max(position) as last from (select position from j where not kept order by position limit {LIMIT}))
+select position, id, case when kept then 'reuse' when position > (select last from last) then 'deferred' when cached then 'invalidate' else 'embed' end as state from j""")
+def embedding_cache_plan(spark, d):
+    """What a run limited to LIMIT texts does with the cached vectors: pages have a vector of their first text, the input is their last."""
+    c = t(spark, d, "ocr_cache").where("page_id is not null").select("page_id", "cache_seq", F.coalesce("ocr_text", F.lit("")).alias("text"))
+    sides = c.groupBy(F.col("page_id").alias("id")).agg(F.sha2(F.min_by("text", "cache_seq"), 256).alias("first"), F.sha2(F.max_by("text", "cache_seq"), 256).alias("input_hash"))
+    sides = materialize(O.global_positions(materialize(sides), ["id"], "position"))
+    have = t(spark, d, "embeddings").select("vec_id").join(t(spark, d, "handle_mapping").select("page_id", F.substring("page_handle", 6, 20).cast("bigint").alias("vec_id")), "vec_id")
+    vectors = sides.join(have.select(F.col("page_id").alias("id")).distinct(), "id", "left_semi").select("id", F.col("first").alias("input_hash"))
+    return caching.vector_states(sides.select("position", "id", "input_hash"), vectors, LIMIT)
+
+
+@query(SUBS + """, conf as (select action as expected from predictions where action is not null group by 1 order by count(*) desc, 1 limit 1), p as (select prediction_id, any_value(action) as action from predictions group by prediction_id),
+stored as (select run_name, query_id, status, sha256(concat_ws(chr(10), coalesce(run_name, ''), query_id, coalesce(action, ''))) as f from (select run_name, query_id, status, pid from (select run_name, query_id, r.status as status, r.pid as pid from (select run_name, query_id, max_by(struct_pack(status := status, pid := prediction_id), struct_pack(g := generated_at, p := prediction_id)) as r from known group by run_name, query_id))) s join p on p.prediction_id = s.pid)
+select run_name, query_id from stored join gold using (query_id) where status = 'submitted' and f = sha256(concat_ws(chr(10), coalesce(run_name, ''), query_id, (select expected from conf)))""")
+def resume_results(spark, d):
+    """Stored results per run and query that a further run needn't compute: submitted, with the fingerprint it would have."""
+    p = t(spark, d, "predictions")
+    known = p.where("query_id is not null and generated_at is not null")
+    last = known.groupBy("run_name", "query_id").agg(F.max_by(F.struct("status", "action"), F.struct("generated_at", "prediction_id")).alias("r")).where("r.status = 'submitted'")
+    stored = last.select("run_name", "query_id", X.fingerprint(F.col("run_name"), F.col("query_id"), F.col("r.action")).alias("fingerprint"))
+    asked = stored.select("run_name", "query_id").join(E.one_annotation(t(spark, d, "annotations")).select("query_id"), "query_id", "left_semi")
+    current = asked.withColumn("fingerprint", X.fingerprint(F.col("run_name"), F.col("query_id"), F.lit(caching.commonest(p, "action"))))
+    return caching.matching(stored, current, "run_name", "query_id", "fingerprint").select("run_name", "query_id")
+
+
+@query(TURNS + """ select output_id, step, case when response_accepted then 'accepted' when event_type = 'format_error' then 'rejected: format' when event_type = 'provider_error' then 'rejected: provider' when event_type = 'transport_failure' then 'not delivered' else 'rejected' end as outcome,
+case when response_accepted then length(raw_response) else 0 end as shown_chars, coalesce(len(request_attempts), 0) as n_attempts from turns""")
+def public_replies(spark, d):
+    """What a turn shows to others: its outcome, and its text only if it was accepted."""
+    e = F.col("event_type")
+    outcome = F.when(F.col("response_accepted"), "accepted").when(e == "format_error", "rejected: format").when(e == "provider_error", "rejected: provider").when(e == "transport_failure", "not delivered").otherwise("rejected")
+    return _turns(spark, d).select("output_id", "step", outcome.alias("outcome"), F.when(F.col("response_accepted"), F.length("raw_response")).otherwise(0).cast("bigint").alias("shown_chars"), F.coalesce(F.size("request_attempts"), F.lit(0)).cast("bigint").alias("n_attempts"))

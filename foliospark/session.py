@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -34,16 +35,36 @@ def materialize(df: DataFrame) -> DataFrame:
     path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     _written[path] = spark
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.table_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete materialised tables that no further result reads, so that a long session doesn't pile them up."""
+    for df in tables:
+        if (path := getattr(df, "table_path", None)) in _written:
+            _delete(_written.pop(path), path)
+
+
+def settled(build: Callable[[], DataFrame]) -> DataFrame:
+    """build()'s result as a table, without the tables that were materialised on the way to it."""
+    before = set(_written)
+    out = materialize(build())
+    for path in set(_written) - before - {out.table_path}:
+        _delete(_written.pop(path), path)
+    return out
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def release(spark: SparkSession) -> None:
     """Delete the tables this process materialised; call once no result depends on them."""
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
     for path in [p for p, s in _written.items() if s is spark]:
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(conf).delete(p, True)
+        _delete(spark, path)
         del _written[path]
 
 

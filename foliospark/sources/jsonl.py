@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
+from ..operators.ordering import positions
+from ..session import materialize
+
 
 def read_jsonl(spark: SparkSession, path: str, schema: StructType | str, strict: bool = True) -> DataFrame:
     """Rows of a JSONL file. strict: a line that isn't a JSON object of the schema fails the read; else it comes as nulls with its text in `_corrupt`."""
@@ -14,6 +17,14 @@ def read_jsonl(spark: SparkSession, path: str, schema: StructType | str, strict:
     return spark.read.schema(full.add("_corrupt", "string")).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt").json(path)
 
 
+def invalid_lines(spark: SparkSession, path: str) -> DataFrame:
+    """file, line_no (from 1), line of the lines that are no JSON object; blank lines are none."""
+    raw = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id"), F.col("value").alias("line"))
+    numbered = positions(materialize(raw), ["file"], F.col("block"), [F.col("block"), F.col("id")], "line_no")  # ids grow in the order of a block's lines
+    bad = (F.trim("line") != "") & ~F.coalesce(F.trim("line").startswith("{") & F.try_parse_json("line").isNotNull(), F.lit(False))
+    return numbered.where(bad).select("file", F.col("line_no").cast("bigint").alias("line_no"), "line")
+
+
 def read_jsonl_if_present(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     if p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p):

@@ -3,6 +3,7 @@ import math
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from foliospark.functions import text as X, vectors as V
@@ -204,6 +205,7 @@ def test_jsonl_round_trip(spark, tmp_path):
     jsonl.write_jsonl(df.where("b = 1"), str(tmp_path / "x"), mode="append")
     assert sorted(r.b for r in jsonl.read_jsonl(spark, str(tmp_path / "x"), "a string, b int").collect()) == [1, 1, 2]
     (tmp_path / "bad.jsonl").write_text('{"b": 3}\nno object\n')
+    assert [(r.line_no, r.line) for r in jsonl.invalid_lines(spark, str(tmp_path / "bad.jsonl")).collect()] == [(2, "no object")]
     loose = {r.b: r._corrupt for r in jsonl.read_jsonl(spark, str(tmp_path / "bad.jsonl"), "b int", strict=False).collect()}
     assert loose == {3: None, None: "no object"}
     assert jsonl.read_jsonl_if_present(spark, str(tmp_path / "none"), "a string").count() == 0
@@ -278,6 +280,9 @@ def test_resume(spark):
     r = report["r"]
     assert (r.n_duplicate, r.n_outside, r.n_query_mismatch, r.n_gold_mismatch, r.n_fingerprint_mismatch, r.compatible) == (2, 1, 1, 1, 1, False) and r.outside_ids == "z" and r.duplicate_ids == ",a"
     assert report["s"].compatible and report["s"].prediction_rows == 1
+    resume.require_compatible(resume.scope_report(rows.where("run_name = 's'"), v.where("run_name = 's'")))
+    with pytest.raises(ValueError, match="scope: r$"):
+        resume.require_compatible(resume.scope_report(rows, v))
     a = [(f"h{i}",) for i in range(10)]
     subs = spark.createDataFrame([("r", "a", "submitted", a), ("r", "b", "worker_exception", a), ("r", "c", "submitted", a[:9] + a[:1]), ("r", "z", "submitted", a), ("r", "d", "submitted", a[:9] + [("unknown",)])], "run_name string, query_id string, status string, ranked_answers array<struct<page_handle string>>")
     now = spark.createDataFrame([(q, 2, "t", "p3") for q in "abcd"], "query_id string, level int, topic_id string, answer_page_id string")
@@ -301,3 +306,11 @@ def test_replies(spark):
 def test_support_order_is_a_seeded_shuffle():
     got = {q: queries.shuffled(q, ["a", "b"], 17) for q in map(str, range(40))}
     assert {tuple(v) for v in got.values()} == {("a", "b"), ("b", "a")} and got == {q: queries.shuffled(q, ["a", "b"], 17) for q in got} and queries.shuffled("q", [], 1) == []
+
+
+def test_vector_states(spark):
+    items = spark.createDataFrame([(i, f"p{i}", "h") for i in range(1, 7)], "position bigint, id string, input_hash string")
+    vectors = spark.createDataFrame([("p1", "h"), ("p2", "old"), ("p6", None), ("gone", "h")], "id string, input_hash string")
+    got = {r.id: r.state for r in caching.vector_states(items, vectors, 3).collect()}
+    assert got == {"p1": "reuse", "p2": "invalidate", "p3": "embed", "p4": "embed", "p5": "deferred", "p6": "deferred"}
+    assert {r.id for r in caching.matching(items, vectors, "id", "input_hash").collect()} == {"p1"}
