@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..session import materialize
+from ..session import discard, materialize, settled
 from .common import CONFUSIONS, map_rows
 from .page_layout import FORMULA, NUMBER_ALONE, STRIP, FLOWS, FORMS, PLACES, REPETITIONS, Layout
 from .page_text import BODY, BREAK, BREAKS, CELLS, FURNITURE, cell_of, layouts, page_pass, prepared
@@ -280,9 +280,12 @@ def trained(rows: DataFrame) -> tuple[Reader, DataFrame, DataFrame]:
     passed = materialize(page_pass(rows, counting=True))
     none = materialize(outliers(distances(passed.where("cache_seq is not null").drop("what", "n"))))
     counts = materialize(passed.where("what is not null").groupBy("what").agg(F.sum("n").alias("n")))
+    discard(passed)
     words = materialize(vocabulary(counts))
     cells = {r[0]: r[1] for r in counts.where("substring(what, 1, 1) in ('c', 't')").collect()}  # at most CELLS + 9 rows
-    return Reader(*line_words(counts, words), *emissions(cells)), words, none
+    reader = Reader(*line_words(counts, words), *emissions(cells))
+    discard(counts)
+    return reader, words, none
 
 
 def read_pages(rows: DataFrame, reader: Reader, none: DataFrame) -> DataFrame:
@@ -296,6 +299,13 @@ def read_pages(rows: DataFrame, reader: Reader, none: DataFrame) -> DataFrame:
     return materialize(rows.select("cache_seq", "text", "n_pages", "on_pages").mapInArrow(run, READ).join(none, "cache_seq", "left_anti"))
 
 
+def read_corpus(ocr: DataFrame, pages: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """READ rows of all prose pages, the corpus' words, the prepared rows, and the rows that aren't prose."""
+    rows = settled(lambda: prepared(ocr, pages))
+    reader, words, none = trained(rows)
+    return read_pages(rows, reader, none), words, rows, none
+
+
 # Deciding words and pairs.
 
 
@@ -346,9 +356,8 @@ def scan_lines(ocr: DataFrame, pages: DataFrame) -> DataFrame:
 
     Rows that failed, null and blank texts and rows that aren't prose give none; equal rows give equal lines.
     """
-    rows = materialize(prepared(ocr, pages))
-    reader, words, none = trained(rows)
-    read = read_pages(rows, reader, none)
+    read, words, texts, none = read_corpus(ocr, pages)
+    discard(texts, none)
     misread, pairs = decided(read, words)
     pairs = materialize(pairs)
     wrong = misread.select("cache_seq", "line_no").unionByName(pairs.where("head_fixed is not null").select("cache_seq", "line_no")).unionByName(
@@ -362,9 +371,7 @@ def paragraphs(ocr: DataFrame, pages: DataFrame) -> DataFrame:
 
     A paragraph ends at a blank line, an indented line or a break, unless the sentence runs on.
     """
-    rows = materialize(prepared(ocr, pages))
-    reader, words, none = trained(rows)
-    read = read_pages(rows, reader, none)
+    read, words, texts, none = read_corpus(ocr, pages)
     misread, pairs = decided(read, words)
     edits = (read.where("kind in ('furniture', 'break')").select("cache_seq", F.struct("line_no", F.lit(-1).alias("token"), "kind", F.lit("").alias("word")).alias("e"))
              .unionByName(misread.select("cache_seq", F.struct("line_no", "token", F.lit("word").alias("kind"), F.col("fixed").alias("word")).alias("e")))
@@ -372,7 +379,7 @@ def paragraphs(ocr: DataFrame, pages: DataFrame) -> DataFrame:
              .unionByName(pairs.where("not split and head_fixed is not null").select("cache_seq", F.struct("line_no", "token", F.lit("word").alias("kind"), F.col("head_fixed").alias("word")).alias("e")))
              .unionByName(pairs.where("not split and tail_fixed is not null").select("cache_seq", F.struct(F.col("tail_line").alias("line_no"), F.lit(0).alias("token"), F.lit("word").alias("kind"), F.col("tail_fixed").alias("word")).alias("e"))))
     of_page = edits.groupBy("cache_seq").agg(F.array_sort(F.collect_list("e")).alias("e"))  # a few per line of a page
-    whole = rows.select("cache_seq", "text").join(none, "cache_seq", "left_anti").join(of_page, "cache_seq", "left")
+    whole = texts.select("cache_seq", "text").join(none, "cache_seq", "left_anti").join(of_page, "cache_seq", "left")
     flat = whole.select("cache_seq", "text", *[F.coalesce(F.col(f"e.{k}"), F.array()).alias(k) for k in ("line_no", "token", "kind", "word")])
     return map_rows(flat, "cache_seq bigint, paragraph_no int, text string", lambda: lambda seq, text, *e: [(seq, k + 1, p) for k, p in enumerate(joined(text, list(zip(*e))))])
 

@@ -16,7 +16,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..session import materialize
+from ..session import settled
 from .common import FUNCTION_SETS
 from .page_text import FLOOR, STATISTICS, page_statistics, prepared
 
@@ -114,9 +114,9 @@ def fit(stats: DataFrame) -> Fits:
     return fits
 
 
-def measured(rows: DataFrame) -> DataFrame:
-    """cache_seq, lang, kind, stats, d2, away, contributions of prepared rows."""
-    return distances(materialize(page_statistics(rows)))
+def measured(ocr: DataFrame, pages: DataFrame) -> DataFrame:
+    """cache_seq, lang, kind, stats, d2, away, contributions of the rows with ocr_ok and text."""
+    return distances(settled(lambda: page_statistics(prepared(ocr, pages))))
 
 
 def distances(stats: DataFrame) -> DataFrame:
@@ -136,11 +136,11 @@ def not_prose(ocr: DataFrame, pages: DataFrame) -> DataFrame:
 
     Rows that failed, null or blank texts give none. A text of furniture only counts as junk.
     """
-    return outliers(measured(materialize(prepared(ocr, pages))))
+    return outliers(measured(ocr, pages))
 
 
 def report(ocr: DataFrame, pages: DataFrame) -> DataFrame:
     """One row per measured row: each statistic, the distance, its part away from prose and each statistic's share of it."""
-    m = measured(materialize(prepared(ocr, pages)))
+    m = measured(ocr, pages)
     cols = [F.col("stats")[i].alias(k) for i, k in enumerate(STATISTICS)] + [F.col("contributions")[i].alias(f"{k}_contribution") for i, k in enumerate(STATISTICS)]
     return m.select("cache_seq", "lang", "d2", "away", *cols)
