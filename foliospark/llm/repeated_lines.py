@@ -21,8 +21,8 @@ MIN_PAGES, MIN_SHARE = 5, 0.2
 #: Other operators see the counts of lines on at least two pages and this share of the document's, whatever its size.
 #: A page of k lines has at most k / REPEATED_SHARE such lines in its document, which bounds the counts per document.
 REPEATED_SHARE = 0.05
-#: Lines with fewer letters are folded letter by letter, and no letter is dropped.
-FOLD_FROM = 14
+#: Lines of which folding leaves fewer characters are folded letter by letter instead, and no letter is dropped.
+LEAST_FOLDED = 8
 #: Longer lines are never a bare page number.
 BARE_PAGE_LENGTH = 40
 #: Entries (24 bytes each) up to which the repeated lines are broadcast; beyond that they are joined by shuffle.
@@ -42,18 +42,20 @@ NUMBER = r"(?<![\p{L}\p{N}@€¢|!])[loi|]*\p{N}[\p{N}loi|.:/-]*(?![\p{L}@€¢]
 BARE_PAGE = r"^(p[a@ao]?[gq]?[ec€¢]?|p[gq]|seite|página|página)?[#ivxlcdmo|!1]*((of|0f|o[ft]|/)[#ivxlcdmo|!1]*)?$"
 
 
-def stripped_lines(text: Column) -> Column:
-    """Lower-case lines without spacing and punctuation, numbers as '#'; blank lines stay as ''."""
-    numbered = F.transform(F.split(F.lower(text), "\n"), lambda x: F.when(x.rlike(r"\p{N}"), F.regexp_replace(x, NUMBER, "#")).otherwise(x))
-    return F.transform(numbered, lambda x: F.translate(x, SKIPPED_CHARS, ""))
+def line_keys(text: Column) -> Column:
+    """One key per line, 0 for blank lines and bare page numbers. Two misread copies of a line share the key.
 
+    Lines are taken in lower case, without spacing and punctuation, numbers as '#'.
+    """
+    numbered = F.transform(F.split(F.lower(text), "\n"), lambda x: F.when(x.rlike(r"\p{N}"), F.regexp_replace(x, NUMBER, "#")).otherwise(x))
+    folded = F.transform(numbered, lambda x: F.struct(x.alias("line"), F.translate(x, FOLD_FROM_CHARS + SKIPPED_CHARS, FOLD_TO_CHARS).alias("folded")))
 
-def line_keys(text: Column) -> Column:
-    """One key per line, 0 for blank lines and bare page numbers. Two misread copies of a line share the key."""
     def key(x: Column) -> Column:
-        folded = F.when(F.length(x) < FOLD_FROM, F.translate(x, SHORT_FROM_CHARS, SHORT_TO_CHARS)).otherwise(F.translate(x, FOLD_FROM_CHARS, FOLD_TO_CHARS))
-        return F.when((F.length(x) < BARE_PAGE_LENGTH) & x.rlike(BARE_PAGE), F.lit(0).cast("long")).otherwise(F.xxhash64(folded))
-    return F.transform(stripped_lines(text), key)
+        bare = (F.length(x["line"]) < BARE_PAGE_LENGTH) & F.translate(x["line"], SKIPPED_CHARS, "").rlike(BARE_PAGE)
+        short = F.translate(x["line"], SHORT_FROM_CHARS + SKIPPED_CHARS, SHORT_TO_CHARS)
+        return F.when(bare, F.lit(0).cast("long")).when(F.length(x["folded"]) >= LEAST_FOLDED, F.xxhash64(x["folded"])).when(short == "", F.lit(0).cast("long")).otherwise(F.xxhash64(short))
+
+    return F.transform(folded, key)
 
 
 def page_documents(pages: DataFrame) -> DataFrame:
