@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions import text as X
-from ..operators import caching, evaluation as E, ordering as O, protocol as P, resume, retrieval as R, traces as T, validation as C
+from ..operators import blocks as B, caching, evaluation as E, ordering as O, protocol as P, resume, retrieval as R, traces as T, validation as C
 from ..session import materialize, table as t
 from .catalogue import COS, SEARCH, SEEN, STATE, SUBS, TOKENS, TURNS, _pages_text, _searches, _state, _turns
 from .registry import query
@@ -507,3 +507,11 @@ def public_replies(spark, d):
     e = F.col("event_type")
     outcome = F.when(F.col("response_accepted"), "accepted").when(e == "format_error", "rejected: format").when(e == "provider_error", "rejected: provider").when(e == "transport_failure", "not delivered").otherwise("rejected")
     return _turns(spark, d).select("output_id", "step", outcome.alias("outcome"), F.when(F.col("response_accepted"), F.length("raw_response")).otherwise(0).cast("bigint").alias("shown_chars"), F.coalesce(F.size("request_attempts"), F.lit(0)).cast("bigint").alias("n_attempts"))
+
+
+@query(TURNS + REPLIES + """, b as (select output_id, trim(coalesce(nullif(json_extract_string(obj, '$.rationale'), ''), nullif(json_extract_string(obj, '$.note'), ''), nullif(json_extract_string(obj, '$.overall_rationale'), ''))) as text from replies where obj is not null)
+select output_id, case when coalesce(text, '') = '' then 0 else 1 end as n_blocks, coalesce(text, '') as text from b""")
+def reply_blocks(spark, d):
+    """The reasons given anywhere inside a reply's object, as blocks put together."""
+    b = _replies(spark, d).where("obj is not null").select("output_id", B.text_blocks(F.col("obj"), ("rationale", "note", "overall_rationale")).alias("b"))
+    return b.select("output_id", F.size("b").alias("n_blocks"), B.assembled(F.col("b")).alias("text"))

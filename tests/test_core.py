@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from foliospark.functions import text as X, vectors as V
-from foliospark.operators import caching, evaluation as E, ordering as O, protocol as P, resume, retrieval as R, traces as T, validation as C
+from foliospark.operators import blocks as B, caching, evaluation as E, ordering as O, protocol as P, resume, retrieval as R, traces as T, validation as C
 from foliospark.plans import protocol as queries
 from foliospark.sources import jsonl
 from foliospark.streaming import cache_stream
@@ -314,3 +314,12 @@ def test_vector_states(spark):
     got = {r.id: r.state for r in caching.vector_states(items, vectors, 3).collect()}
     assert got == {"p1": "reuse", "p2": "invalidate", "p3": "embed", "p4": "embed", "p5": "deferred", "p6": "deferred"}
     assert {r.id for r in caching.matching(items, vectors, "id", "input_hash").collect()} == {"p1"}
+
+
+def test_text_blocks(spark):
+    deep = '{"text": "' + "x" + '", "items": [{"transcription": " a ", "poly": [1, 2], "score": 0.5}, {"content": "b", "children": {"text": "c"}}, {"text": 7}, "label: title\\nbbox: [1, 2]\\ncontent: one\\ntwo \\n#################\\nrest"]}'
+    df = spark.createDataFrame([(deep,), ("[" * 5000 + "]" * 5000,), ("no json",), (None,), ("label: t\nbbox: (1)\ncontent: x",), ("content: x",)], "v string")
+    got = [r[0] for r in df.select(B.text_blocks(F.col("v"))).collect()]
+    assert [(b.text, b.bbox, b.label, b.confidence) for b in got[0]] == [("x", None, None, None), ("a", "[1, 2]", None, 0.5), ("b", None, None, None), ("c", None, None, None), ("one\ntwo", "[1, 2]", "title", None)]
+    assert [len(x) for x in got] == [5, 0, 0, 0, 1, 0]
+    assert df.limit(1).select(B.assembled(B.text_blocks(F.concat(F.lit("["), "v", F.lit(","), "v", F.lit("]"))))).first()[0] == "x\na\nb\nc\none\ntwo"
