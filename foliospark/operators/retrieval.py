@@ -274,7 +274,7 @@ def bm25_topk(queries: DataFrame, pages: DataFrame, k: int, k1: float = K1, b: f
     if not first:
         return best
     few = queries.select("query_id").join(best.groupBy("query_id").agg(F.count(F.lit(1)).alias("have")), "query_id", "left").where(F.coalesce("have", F.lit(0)) < k)
-    fill = few.select("query_id", F.explode(F.array(*[F.lit(p) for p in first])).alias("page_id")).join(best, ["query_id", "page_id"], "left_anti")
+    fill = few.select("query_id", F.explode(F.split(F.lit("\0".join(first)), "\0")).alias("page_id")).join(best, ["query_id", "page_id"], "left_anti")
     both = best.drop("rank").unionByName(fill.withColumn("score", F.lit(0.0)))
     return ranked(both, "query_id", k, "page_id")
 
