@@ -8,7 +8,7 @@ from collections.abc import Callable, Iterable
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-# Character pairs that optical recognition confuses, written (true, read).
+# Chosen values: character pairs that optical recognition confuses, written (true, read).
 CONFUSIONS = (
     ("e", "€"), ("e", "c"), ("c", "e"), ("c", "¢"), ("t", "f"), ("f", "t"), ("s", "5"), ("s", "$"), ("a", "@"), ("o", "0"),
     ("i", "l"), ("l", "i"), ("i", "!"), ("i", "1"), ("l", "|"), ("l", "1"), ("i", "|"), ("l", "!"), ("g", "q"), ("q", "g"), ("g", "9"), ("h", "b"), ("b", "h"),
@@ -16,11 +16,11 @@ CONFUSIONS = (
     ("w", "vv"), ("vv", "w"), ("h", "li"), ("li", "h"), ("z", "2"), ("t", "7"), ("t", "+"), ("a", "o"), ("n", "u"), ("u", "n"), ("u", "v"), ("m", "nn"), ("in", "m"), ("k", "lc"), ("ss", "ß"),
 )
 
-# Function words by language.
+# Chosen values: common function words by language.
 FUNCTION_WORDS = {
     "en": "the of and to in is that it for was on are as with by at from this be or not which an have has we each its when all so if they them there what one into than do can you no but most before after under over only both neither nor how then some such more their these those while after where every once since now",
     "de": "der die das und ist nicht ein eine zu mit auf für von dem den des im wird sich auch als bei nach aus oder wie hat wenn nur noch werden einer sind über durch vor jede",
-    "fr": "le la les et est un une des du de dans que qui pour avec sur par au aux pas ce cette se il elle ou mais plus sans chaque sont entre reste quand après mal",
+    "fr": "le la les et est un une des du de dans que qui pour avec sur par au aux pas ce cette se il elle ou mais plus sans chaque sont entre quand après",
     "es": "el la los las y es un una de del en que por con para se al no su lo como más o pero sin cada son entre esta este antes después sobre según hay",
 }
 FUNCTION_SETS = {k: frozenset(v.split()) for k, v in FUNCTION_WORDS.items()}

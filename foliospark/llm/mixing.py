@@ -133,6 +133,21 @@ def shares(documents: DataFrame, targets: DataFrame, path: str = TOKENIZER) -> D
                                                      F.coalesce("most_repeats", F.lit(0)).alias("most_repeats"), (~(exhausted & (F.col("tokens") < F.col("quota")))).alias("reached"))
 
 
+def mixing_check(documents: DataFrame, targets: DataFrame, path: str = TOKENIZER) -> DataFrame:
+    """source, n_overused, n_repeated, over_quota, short: what a mix must keep to. A record is overused beyond max_repeats uses,
+    a use repeated if it comes twice; a source is short if it misses its quota by a whole record though records are left."""
+    sizes = _sizes(documents, path)
+    plan = materialize(quotas(sizes, targets))
+    largest = sizes.groupBy("key").agg(F.max("tokens").alias("largest"))
+    uses = mixed(sizes, plan).groupBy("source", "doc_id").agg(F.count(F.lit(1)).alias("uses"), F.countDistinct("repeat").alias("repeats"), F.sum("tokens").alias("tokens"))
+    uses = uses.join(F.broadcast(plan.select("source", "max_repeats")), "source")
+    got = uses.groupBy("source").agg(F.count_if(F.col("uses") > F.col("max_repeats")).alias("n_overused"), F.count_if(F.col("uses") != F.col("repeats")).alias("n_repeated"), F.sum("uses").alias("uses"), F.sum("tokens").alias("tokens"))
+    j = plan.join(got, "source", "left").join(largest, "key", "left")
+    n = lambda c: F.coalesce(c, F.lit(0))
+    short = (n("uses") < F.col("records") * F.col("max_repeats")) & (F.col("quota") - n("tokens") > n("largest"))
+    return j.select("source", n("n_overused").alias("n_overused"), n("n_repeated").alias("n_repeated"), (n("tokens") > F.col("quota")).alias("over_quota"), short.alias("short"))
+
+
 def unreachable_sources(documents: DataFrame, targets: DataFrame, path: str = TOKENIZER) -> DataFrame:
     """source of the targets that the mix can't reach."""
     return shares(documents, targets, path).where("not reached").select("source")

@@ -42,9 +42,11 @@ def queries() -> dict:
         "p6_found": _two(packing.oversize_documents, "containers"),
         "p6_containers": _packed,
         "p6_fill": lambda spark, d: packing.fill_report(_packed(spark, d), t(spark, d, "containers")),
+        "p6_check": _two(packing.packing_check, "containers"),
         "p7_found": _two(mixing.unreachable_sources, "mix_targets"),
         "p7_mix": _two(mixing.mix, "mix_targets"),
         "p7_shares": _two(mixing.shares, "mix_targets"),
+        "p7_check": _two(mixing.mixing_check, "mix_targets"),
         "p8_found": _two(reading_level.demanding, "reading_labels"),
         "p8_levels": _two(reading_level.reading_levels, "reading_labels"),
         "p8_profile": _two(reading_level.profile, "reading_labels"),
@@ -61,6 +63,10 @@ placed as (select query_id, page_handle, score + 0.0 as score, cast(row_number()
 
 def oracle_sql() -> dict[str, str]:
     return {
+        # invariants: every text is packed whole, no container is overfull, nothing is cut without need
+        "p6_check": "select container_kind, (select count(*) from documents where doc_id is not null and text <> '') as n_documents, 0 as n_overfull, 0 as n_incomplete, 0 as n_cut from containers where capacity_tokens > 0",
+        # invariants: no record is used too often or twice in one repeat, and quotas are met within a record
+        "p7_check": "select source, 0 as n_overused, 0 as n_repeated, false as over_quota, false as short from mix_targets where source is not null",
         "p3_found": _BEST + "select query_id, page_handle from placed where place <= 10",
         "p3_ranked_handles": _BEST + "select query_id, page_handle, score, place from placed where place <= 10",
     }
