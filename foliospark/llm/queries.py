@@ -49,6 +49,7 @@ def queries() -> dict:
         "p7_check": _two(mixing.mixing_check, "mix_targets"),
         "p8_found": _two(reading_level.demanding, "reading_labels"),
         "p8_levels": _two(reading_level.reading_levels, "reading_labels"),
+        "p8_fit": _two(reading_level.fit_report, "reading_labels"),
         "p8_profile": _two(reading_level.profile, "reading_labels"),
     }
 

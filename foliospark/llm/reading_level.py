@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -175,25 +176,50 @@ def _levels(docs: DataFrame, words: DataFrame, anchored: bool) -> DataFrame:
     return _totals(docs, words).select("doc_id", "weight", "sum_b", "sum_d", "label").mapInArrow(run, "doc_id bigint, k int, level double, fit double")
 
 
-def reading_levels(documents: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, level of every document that is English prose; on the labels' scale.
-
-    Null and blank texts and texts that aren't English prose have none. Null labels and labels of unknown documents
-    are ignored; a document's label is the mean of its annotators'. Without any label there is no scale and no row.
-    """
+def _prose(documents: DataFrame, labels: DataFrame) -> DataFrame:
+    """doc_id, n, words, counts, label of the documents that are English prose; label is the mean of the annotators'."""
     consensus = labels.where("level is not null and doc_id is not null").groupBy("doc_id").agg(F.avg("level").alias("label"))
-    docs = materialize(counted(documents)).where((F.col("share") >= PROSE_SHARE) & (F.col("lang") == "en") & (F.col("n") >= 4)).drop("share", "lang")
-    docs = materialize(docs.join(consensus, "doc_id", "left"))
+    english = counted(documents).where((F.col("share") >= PROSE_SHARE) & (F.col("lang") == "en") & (F.col("n") >= 4)).drop("share", "lang")
+    return materialize(english.join(consensus, "doc_id", "left"))
+
+
+def _rounds(docs: DataFrame) -> Iterator[DataFrame]:
+    """The words' parameters after each round; none without a labelled document. The first round has the labelled documents only."""
     first = docs.where("label is not null")
     if first.isEmpty():
-        return docs.select("doc_id", F.col("label").alias("level")).where("false")
+        return
     step = F.greatest(F.lit(0), F.least(F.lit(STEPS - 1), F.round((F.col("label") - float(GRID[0])) / 0.25))).cast("int")
     words = _words(first.withColumn("k", step))
+    yield words
     for _ in range(ROUNDS - 1):
         words = _words(docs.join(_levels(docs, words, True).select("doc_id", "k"), "doc_id"))
+        yield words
+
+
+def reading_levels(documents: DataFrame, labels: DataFrame) -> DataFrame:
+    """doc_id, level of every document that is English prose; on the labels' scale.
+
+    Null and blank texts and texts that aren't English prose have none. Null labels and labels of unknown documents
+    are ignored; a document's label is the mean of its annotators'. Without any label there is no scale and no row.
+    """
+    docs, words = _prose(documents, labels), None
+    for words in _rounds(docs):
+        pass
+    if words is None:
+        return docs.select("doc_id", F.col("label").alias("level")).where("false")
     return _levels(docs, words, False).select("doc_id", "level")
 
 
+def fit_report(documents: DataFrame, labels: DataFrame) -> DataFrame:
+    """round, n_words, n_documents, log_likelihood, n_demanding: what each round of the estimation reaches; no label, no row."""
+    docs = _prose(documents, labels)
+    out = docs.sparkSession.createDataFrame([], "round int, n_words bigint, n_documents bigint, log_likelihood double, n_demanding bigint")
+    for i, words in enumerate(_rounds(docs), 1):
+        reached = _levels(docs, words, True).agg(F.count(F.lit(1)).alias("n_documents"), F.sum("fit").alias("log_likelihood"), F.count_if(F.col("level") >= DEMANDING).alias("n_demanding"))
+        out = out.unionByName(reached.select(F.lit(i).alias("round"), F.lit(words.count()).alias("n_words"), "*"))
+    return out
+
+
 def demanding(documents: DataFrame, labels: DataFrame) -> DataFrame:
     return reading_levels(documents, labels).where(F.col("level") >= DEMANDING).select("doc_id")
 

@@ -264,6 +264,16 @@ def test_p6_found_packs_every_kind(spark, monkeypatch):
     assert got == [2, 7, 12, 17] and sorted(packed) == [20, 400]
 
 
+def test_invariants_hold(spark):
+    rng = random.Random(12)
+    docs = spark.createDataFrame([(i, sentence(rng) * rng.randint(0, 6), rng.choice(["a", "A ", "b", None])) for i in range(200)] + [(900, None, "a")], "doc_id bigint, text string, source string")
+    kinds = spark.createDataFrame([("small", 30), ("wide", 100), ("none", None)], "container_kind string, capacity_tokens int")
+    n = docs.where("text <> ''").count()
+    assert {tuple(r) for r in packing.packing_check(docs, kinds).collect()} == {("small", n, 0, 0, 0), ("wide", n, 0, 0, 0)}
+    targets = spark.createDataFrame([("a", 0.2, 2), ("b", 0.7, 2), ("gone", 0.1, 1)], "source string, target_share double, max_repeats int")
+    assert {tuple(r) for r in mixing.mixing_check(docs, targets).collect()} == {(s, 0, 0, False, False) for s in ("a", "b", "gone")}
+
+
 def test_p6_crossover_keeps_items():
     rng = random.Random(8)
     sizes = [rng.randint(1, 60) for _ in range(80)]
@@ -313,6 +323,9 @@ def test_p8_rare_words_count_the_same(spark, monkeypatch):
     labels = spark.createDataFrame([(i, "r", 1 + i % 5) for i in range(40)], "doc_id bigint, annotator string, level int")
     levels = lambda: {r.doc_id: r.level for r in reading_level.reading_levels(docs, labels).collect()}
     whole = levels()
+    rounds = reading_level.fit_report(docs, labels).orderBy("round").collect()
+    assert [r.round for r in rounds] == [1, 2, 3] and {r.n_documents for r in rounds} == {60} and rounds[0].log_likelihood < rounds[1].log_likelihood < rounds[2].log_likelihood
+    assert reading_level.fit_report(docs, labels.where("false")).count() == 0
     monkeypatch.setattr(reading_level, "VOCABULARY", 6)
     few = levels()
     assert len(whole) == 60 and whole.keys() == few.keys() and all(math.isclose(whole[k], few[k], rel_tol=1e-9) for k in whole)
