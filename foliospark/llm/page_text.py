@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .common import FUNCTION_SETS, LEAST_SHARE
-from .page_layout import ENTRIES, EQUATION, FLOWS, FORMS, FORMULA, NUMBER_ALONE, PLACES, REPETITIONS, STRIP, Layout, as_array, mask, sums
+from .page_layout import EQUATION, FLOWS, FORMS, FORMULA, NUMBER_ALONE, PLACES, REPETITIONS, STRIP, Layout, as_array, sums
 from .repeated_lines import line_counts
 
 STATISTICS = ("log_words", "mean_word_length", "symbol_ratio", "punctuated_lines", "common_words", "digit_ratio", "words_per_line", "single_characters", "marked_lines", "broken_spacing")

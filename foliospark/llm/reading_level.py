@@ -22,7 +22,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from ..session import materialize
+from ..session import discard, materialize
 from .common import FUNCTION_SETS, map_rows
 
 #: Words sent to the tasks at once: the most frequent ones.
@@ -124,8 +124,11 @@ def difficulty(seen: np.ndarray, exposed: np.ndarray) -> tuple[np.ndarray, np.nd
     return b, np.clip(d, -4, 4)
 
 
-def _totals(docs: DataFrame, words: DataFrame) -> DataFrame:
-    """docs with weight, sum_b, sum_d: the sums of each document over its words."""
+_KEPT = "n int, words array<string>, counts array<int>, "
+
+
+def _totals(docs: DataFrame, words: DataFrame, keep: bool) -> DataFrame:
+    """doc_id, weight, sum_b, sum_d (the sums of each document over its words), label and, with keep, n, words, counts."""
     frequent = words.orderBy(F.desc("weight"), "word").limit(VOCABULARY).toArrow()
     shared = docs.sparkSession.sparkContext.broadcast(tuple(frequent.column(c).combine_chunks() if c == "word" else frequent.column(c).to_numpy() for c in ("word", "b", "d")))
 
@@ -142,20 +145,21 @@ def _totals(docs: DataFrame, words: DataFrame) -> DataFrame:
             rare = np.flatnonzero(~known)
             starts = np.concatenate(([0], np.cumsum(np.bincount(at[rare], minlength=len(n)))))
             rest = [pa.ListArray.from_arrays(pa.array(starts, pa.int32()), x) for x in (flat.take(pa.array(rare)), pa.array(weight[rare]))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *map(pa.array, sums), *rest, batch.column(4)], names=["doc_id", "n", "weight", "sum_b", "sum_d", "rare", "rare_weights", "label"])
+            kept = [batch.column(i) for i in (1, 2, 3)] if keep else []  # the documents go along: no shuffle brings them back
+            yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, sums), batch.column(4), *kept, *rest], names=["doc_id", "weight", "sum_b", "sum_d", "label", *(["n", "words", "counts"] if keep else []), "rare", "rare_weights"])
 
-    out = docs.select("doc_id", "n", "words", "counts", "label").mapInArrow(run, "doc_id bigint, n int, weight double, sum_b double, sum_d double, rare array<string>, rare_weights array<double>, label double")
+    out = docs.select("doc_id", "n", "words", "counts", "label").mapInArrow(run, "doc_id bigint, weight double, sum_b double, sum_d double, label double, " + (_KEPT if keep else "") + "rare array<string>, rare_weights array<double>")
     if words.count() <= VOCABULARY:  # no word is left
         return out.drop("rare", "rare_weights")
     out = materialize(out)
     long = out.select("doc_id", F.explode(F.arrays_zip("rare", "rare_weights")).alias("x")).select("doc_id", F.col("x.rare").alias("word"), F.col("x.rare_weights").alias("w"))
     more = long.join(words.select("word", "b", "d"), "word").groupBy("doc_id").agg(F.sum("w").alias("w"), F.sum(F.col("w") * F.col("b")).alias("wb"), F.sum(F.col("w") * F.col("d")).alias("wd"))
     plus = lambda a, b: (F.col(a) + F.coalesce(b, F.lit(0.0))).alias(a)
-    return out.join(more, "doc_id", "left").select("doc_id", "n", plus("weight", "w"), plus("sum_b", "wb"), plus("sum_d", "wd"), "label")
+    return out.join(more, "doc_id", "left").select("doc_id", plus("weight", "w"), plus("sum_b", "wb"), plus("sum_d", "wd"), "label", *(["n", "words", "counts"] if keep else []))
 
 
-def _levels(docs: DataFrame, words: DataFrame, anchored: bool) -> DataFrame:
-    """doc_id, k (the most likely step), level (the mean over the steps' likelihoods), fit (the log likelihood at k). doc_id is distinct."""
+def _levels(docs: DataFrame, words: DataFrame, anchored: bool, keep: bool = False) -> DataFrame:
+    """doc_id, k (the most likely step), level (the mean over the steps' likelihoods), fit (the log likelihood at k) and, with keep, n, words, counts."""
     t = GRID - 3
     mass = words.agg(F.array(*[F.sum(F.exp(F.col("b") + F.col("d") * float(x))) for x in t])).first()[0]
     mass = np.log(np.maximum(np.array([x or 0.0 for x in mass]), 1e-30))
@@ -171,9 +175,11 @@ def _levels(docs: DataFrame, words: DataFrame, anchored: bool) -> DataFrame:
                 ll[known] = ll[known] * WORDS_WEIGHT - (label[known][:, None] - GRID) ** 2 / (2 * LABEL_SD**2)
             p = np.exp(ll - ll.max(1, keepdims=True))
             p /= p.sum(1, keepdims=True)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ll.argmax(1), pa.int32()), pa.array(p @ GRID, pa.float64()), pa.array(ll.max(1))], names=["doc_id", "k", "level", "fit"])
+            kept = [batch.column(i) for i in range(5, batch.num_columns)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ll.argmax(1), pa.int32()), pa.array(p @ GRID, pa.float64()), pa.array(ll.max(1)), *kept], names=["doc_id", "k", "level", "fit", *(["n", "words", "counts"] if keep else [])])
 
-    return _totals(docs, words).select("doc_id", "weight", "sum_b", "sum_d", "label").mapInArrow(run, "doc_id bigint, k int, level double, fit double")
+    totals = _totals(docs, words, keep).drop("rare", "rare_weights")
+    return totals.mapInArrow(run, "doc_id bigint, k int, level double, fit double" + (", " + _KEPT.rstrip(", ") if keep else ""))
 
 
 def _prose(documents: DataFrame, labels: DataFrame) -> DataFrame:
@@ -192,7 +198,9 @@ def _rounds(docs: DataFrame) -> Iterator[DataFrame]:
     words = _words(first.withColumn("k", step))
     yield words
     for _ in range(ROUNDS - 1):
-        words = _words(docs.join(_levels(docs, words, True).select("doc_id", "k"), "doc_id"))
+        held = materialize(_levels(docs, words, True, keep=True).select("k", "n", "words", "counts"))
+        words = _words(held)
+        discard(held)
         yield words
 
 

@@ -15,7 +15,6 @@ changes no result.
 
 from __future__ import annotations
 
-import math
 import re
 
 import numpy as np
