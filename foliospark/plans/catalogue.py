@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..functions import text as X, vectors as V
 from ..operators import caching, evaluation as E, ordering as O, retrieval as R, traces as T, validation as C
