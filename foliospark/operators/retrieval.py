@@ -23,6 +23,8 @@ BLOCK_NUMBERS = 4_000_000
 BLOCK_TERMS = 50_000
 #: Scores a task holds at once, besides the k best per query.
 CELLS = 2_000_000
+#: (query, place) pairs a task keeps for one block of queries; deep rankings meet the corpus in more blocks.
+HELD = 1_000_000
 K1, B, RRF_K = 1.2, 0.75, 60
 #: Scores are compared to this many digits; equal ones rank by id.
 DIGITS = 9
@@ -38,9 +40,10 @@ def _unit(m: np.ndarray) -> np.ndarray:
     return m / np.where(n == 0, 1, n)
 
 
-def query_blocks(queries: DataFrame, width: int) -> Iterator[DataFrame]:
-    """The queries (qid, vec) in hashed parts of about BLOCK_NUMBERS numbers."""
-    parts = -(-queries.count() * width // BLOCK_NUMBERS)
+def query_blocks(queries: DataFrame, width: int, k: int = 1) -> Iterator[DataFrame]:
+    """The queries (qid, vec) in hashed parts of about BLOCK_NUMBERS numbers, whose k best are about HELD at most."""
+    n = queries.count()
+    parts = max(-(-n * width // BLOCK_NUMBERS), -(-n * k // HELD) if width else 0)
     for i in range(parts):
         yield queries.where(F.pmod(F.xxhash64("qid"), F.lit(parts)) == i)
 
@@ -59,24 +62,25 @@ def _union(parts: list[DataFrame]) -> DataFrame:
 
 
 class Best:
-    """The k best scores of each of n queries, ties by the smaller id; NaN is no score."""
+    """The k best scores of each of n queries, ties by the smaller id; NaN is no score. With names the ids are places in them, and ties go by the smaller name."""
 
-    def __init__(self, n: int, k: int):
-        self.n, self.k, self.held = n, k, 0
+    def __init__(self, n: int, k: int, names: list[pa.Array] | None = None):
+        self.n, self.k, self.names, self.held = n, k, names, 0
         self.floor = np.full(n, -np.inf)
         self.parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
 
     def add(self, scores: np.ndarray, ids: np.ndarray, hit: np.ndarray | bool = True) -> None:
         """scores: n rows, a column per id; cells without a hit are left out."""
         q, c = np.nonzero((scores >= self.floor[:, None]) & hit)
-        self.parts.append((q, scores[q, c], ids[c]))
+        self.parts.append((q.astype(np.int32), scores[q, c], ids[c]))
         self.held += len(q)
         if self.held > 2 * self.n * self.k + CELLS // 4:
             self._cut()
 
     def _cut(self) -> None:
         q, s, i = (np.concatenate(x) for x in zip(*self.parts))
-        at = np.lexsort((i, -s, q))
+        self.parts = []
+        at = np.lexsort((i if self.names is None else self._places()[i], -s, q))
         q, s, i = q[at], s[at], i[at]
         place = np.arange(len(q)) - np.searchsorted(q, q)
         last = place == self.k - 1
@@ -84,11 +88,20 @@ class Best:
         keep = place < self.k
         self.parts, self.held = [(q[keep], s[keep], i[keep])], int(keep.sum())
 
-    def batch(self, qids) -> Iterator[pa.RecordBatch]:
+    def _places(self) -> np.ndarray:
+        """Of each id, the place of its name in their order."""
+        order = pc.sort_indices(pa.chunked_array(self.names)).to_numpy()
+        places = np.empty(len(order), dtype=np.int32)
+        places[order] = np.arange(len(order), dtype=np.int32)
+        return places
+
+    def batch(self, qids, rows: int = 100_000) -> Iterator[pa.RecordBatch]:
         if self.parts:
             self._cut()
-            q, s, i = self.parts[0]
-            yield pa.RecordBatch.from_arrays([pa.array(qids).take(pa.array(q)), pa.array(i), pa.array(s)], names=["qid", "id", "score"])
+            qids, names = pa.array(qids), self.names and pa.concat_arrays(self.names)
+            for at in range(0, len(self.parts[0][0]), rows):
+                q, s, i = (pa.array(x[at : at + rows]) for x in self.parts[0])
+                yield pa.RecordBatch.from_arrays([qids.take(q), names.take(i) if names else i, s], names=["qid", "id", "score"])
 
 
 def _slices(n: int, per: int) -> Iterator[slice]:
@@ -108,7 +121,7 @@ def dense_topk(queries: DataFrame, corpus: DataFrame, k: int) -> DataFrame:
     queries, corpus = queries.where(ok & F.col("qid").isNotNull()), corpus.where(ok & F.col("id").isNotNull())
     schema = "qid bigint, id bigint, score double"
     found = []
-    for block in query_blocks(queries, width):
+    for block in query_blocks(queries, width, k):
         got = block.select("qid", "vec").toArrow()  # at most about BLOCK_NUMBERS numbers
         qids = got.column("qid").to_numpy()
         shared = corpus.sparkSession.sparkContext.broadcast((qids, _unit(_matrix(got.column("vec"), width))))
@@ -177,7 +190,7 @@ def maxsim_topk(queries: DataFrame, pages: DataFrame, k: int) -> DataFrame:
     queries, pages = queries.where(ok & F.col("qid").isNotNull()), pages.where(ok & F.col("id").isNotNull())
     per = (queries.agg(F.max(F.size("vecs"))).first()[0]) or 1
     found = []
-    for block in query_blocks(queries, width * per):
+    for block in query_blocks(queries, width * per, k):
         got = block.select("qid", "vecs").toArrow()
         vecs = got.column("vecs").combine_chunks()
         shared = pages.sparkSession.sparkContext.broadcast((got.column("qid").to_numpy(), _matrix(vecs.flatten(), width), np.diff(vecs.offsets.to_numpy())))
@@ -227,9 +240,19 @@ def bm25_topk(queries: DataFrame, pages: DataFrame, k: int, k1: float = K1, b: f
     queries: query_id, text; pages: page_id, text, one row a page. An empty query ranks all pages at 0; empty pages
     have length 0. Null ids are left out. Terms are counted in one pass over the texts without a shuffle; frequencies are
     summed for the queries' terms only, and no (query, page) pair leaves its task unless it is among the task's k best.
+    Queries of the same words, in any order, are ranked once.
     """
-    queries, pages = queries.where("query_id is not null"), pages.where("page_id is not null")
-    wanted = materialize(queries.select("query_id", F.explode(tokenize(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qtf")))
+    terms = queries.where("query_id is not null").select("query_id", F.explode_outer(tokenize(F.col("text"))).alias("term"))
+    asked = materialize(terms.groupBy("query_id").agg(F.sort_array(F.collect_list("term")).alias("words")))
+    queries = materialize(asked.groupBy("words").agg(F.min("query_id").alias("query_id")))
+    best = _bm25(queries, pages.where("page_id is not null"), k, k1, b)
+    same = asked.join(queries.withColumnRenamed("query_id", "first"), "words").select("query_id", "first")
+    return best.withColumnRenamed("query_id", "first").join(same, "first").select("query_id", "page_id", "score", "rank")
+
+
+def _bm25(queries: DataFrame, pages: DataFrame, k: int, k1: float, b: float) -> DataFrame:
+    """bm25_topk() of queries (query_id, words) that differ."""
+    wanted = materialize(queries.select("query_id", F.explode("words").alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qtf")))
     counted = materialize(term_counts(pages))
     stats = counted.agg(F.count(F.lit(1)).alias("n"), F.avg("length").cast("float").cast("double").alias("mean")).first()
     n, mean = stats["n"], stats["mean"] or 1.0
@@ -237,7 +260,8 @@ def bm25_topk(queries: DataFrame, pages: DataFrame, k: int, k1: float = K1, b: f
     df = found.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     weighted = materialize(wanted.join(df, "term").select("query_id", "term", (F.col("qtf") * idf(F.col("df"), F.lit(n))).alias("weight")))
     schema = f"qid {queries.schema['query_id'].dataType.simpleString()}, id string, score double"
-    parts = -(-weighted.count() // BLOCK_TERMS)
+    rows, n_queries = weighted.agg(F.count(F.lit(1)), F.countDistinct("query_id")).first()
+    parts = max(-(-rows // BLOCK_TERMS), -(-n_queries * k // HELD))
     scores = []
     for part in range(parts):
         block = weighted.where(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == part).toArrow()  # about BLOCK_TERMS rows
@@ -249,9 +273,14 @@ def bm25_topk(queries: DataFrame, pages: DataFrame, k: int, k1: float = K1, b: f
         def run(batches, shared=shared):
             qids, vocabulary, many, owner, weight = shared.value
             starts, nq = np.cumsum(many) - many, len(qids)
-            best = Best(nq, k)
+            names, first = [], 0
+            best = Best(nq, k, names)
             for batch in batches:
-                ids, lengths, tokens = np.array(batch.column(0).to_pylist(), dtype=str), batch.column(1).to_numpy(), batch.column(2)
+                if not batch.num_rows:
+                    continue
+                lengths, tokens = batch.column(1).to_numpy(), batch.column(2)
+                ids = np.arange(first, first := first + batch.num_rows, dtype=np.int32)
+                names.append(batch.column(0).take(pa.array(ids - ids[0])))  # a copy, or the whole batch would stay
                 term = pc.index_in(tokens.flatten(), value_set=vocabulary)
                 page = np.repeat(np.arange(len(ids)), np.diff(tokens.offsets.to_numpy()))
                 known = term.is_valid().to_numpy(zero_copy_only=False)

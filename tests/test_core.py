@@ -97,6 +97,24 @@ def test_bm25_equals_brute_force(spark, monkeypatch):
     assert R.bm25_topk(queries, pages.where("false"), 4).count() == 0 and R.bm25_topk(queries.where("false"), pages, 4).count() == 0
 
 
+def test_deep_rankings_bound_what_a_task_holds(spark, monkeypatch):
+    """Queries of the same words are sent once, and a block's queries times the depth stay bounded."""
+    sent = []
+    send = spark.sparkContext.broadcast
+    monkeypatch.setattr(spark.sparkContext, "broadcast", lambda x: (sent.append(len(x[0])), send(x))[1])
+    monkeypatch.setattr(R, "HELD", 120, raising=False)
+    pages = spark.createDataFrame([(f"p{i:02}", "red " * (i % 3) + "blue " * (i % 4) + "green") for i in range(40)], "page_id string, text string").repartition(3)
+    texts = ["red blue", "blue  red", "Red Blue red", "green", "", "blue", "none"]
+    asked = spark.createDataFrame([(i, texts[i % 7]) for i in range(70)], "query_id bigint, text string")
+    got = {(r.query_id, r["rank"]): (r.page_id, r.score) for r in R.bm25_topk(asked, pages, 60).collect()}
+    assert len(got) == 70 * 40 and sum(sent) == 4 and len(sent) > 1
+    assert all(got[i, k] == got[i % 7 if i % 7 != 1 else 0, k] for i, k in got)
+    assert [got[4, k][0] for k in range(1, 41)] == [f"p{i:02}" for i in range(40)] and got[2, 1] != got[0, 1]
+    sent.clear()
+    v = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(20)], "id bigint, vec array<float>")
+    assert R.dense_topk(v.withColumnRenamed("id", "qid"), v, 60).count() == 400 and sum(sent) == 20 and len(sent) == 10
+
+
 def test_maxsim_equals_brute_force(spark):
     rng = np.random.default_rng(3)
     many = {i: rng.normal(size=(1 + i % 4, 6)).astype("float32") for i in range(30)}
