@@ -2,7 +2,7 @@
 
 Items are dealt at random into blocks of about BLOCK. Every block has several islands, each a population of
 packings evolved by its own task: crossover injects whole well-filled bins of one parent into the other, drops the
-bins that hold an injected item, and puts displaced items back by best fit. Between the rounds each island's best
+bins that hold an injected item, and puts displaced items back by best fit, for as long as this gains. Between the rounds each island's best
 packing migrates to the next island of its block. The best island of a block wins; bins that stayed badly filled
 are dissolved, dealt into new blocks and packed once more, so that no block keeps a badly filled rest of its own.
 """
@@ -10,7 +10,8 @@ are dissolved, dealt into new blocks and packed once more, so that no block keep
 from __future__ import annotations
 
 import random
-from bisect import bisect_left, insort
+from bisect import bisect_left, bisect_right, insort
+from itertools import accumulate
 
 from pyspark.sql import DataFrame, functions as F
 
@@ -18,37 +19,53 @@ from ..session import materialize, settled
 from .common import map_rows
 from .tokens import TOKENIZER, with_tokens
 
-BLOCK, ISLANDS, ROUNDS = 512, 2, 2
-POPULATION, GENERATIONS, CHILDREN = 5, 6, 3
+BLOCK, ISLANDS, ROUNDS = 512, 2, 3
+POPULATION, CHILDREN = 8, 4
+#: An island stops after so many generations without a better packing, or at one that no packing has fewer containers than.
+PATIENCE = 10
 #: Bins filled less are dissolved and packed again with those of other blocks.
 WELL_FILLED = 0.97
 
 
-def best_fit(order, sizes, capacity: int, bins: list[list[int]] | None = None) -> list[list[int]]:
-    """Items, in this order, each into the bin it fills most; new bins as needed."""
-    bins = [list(b) for b in bins or []]
-    room = sorted((capacity - sum(sizes[i] for i in b), k) for k, b in enumerate(bins))
+class Bin(list):
+    """Items of a container with their summed size. Packings share bins, so one that is in a packing is never changed."""
+
+    __slots__ = ("fill",)
+
+    def __init__(self, items, fill: int):
+        super().__init__(items)
+        self.fill = fill
+
+
+def best_fit(order, sizes, capacity: int, bins: list[Bin] | None = None) -> list[Bin]:
+    """Items, in this order, each into the bin it fills most; new bins as needed. The fullest bin comes first."""
+    bins, own = list(bins or ()), set()
+    room = sorted((capacity - b.fill, k) for k, b in enumerate(bins))
     for i in order:
         at = bisect_left(room, (sizes[i], -1))
         if at == len(room):
-            bins.append([i])
+            own.add(len(bins))
+            bins.append(Bin((i,), sizes[i]))
             insort(room, (capacity - sizes[i], len(bins) - 1))
         else:
             left, k = room.pop(at)
+            if k not in own:
+                own.add(k)
+                bins[k] = Bin(bins[k], bins[k].fill)
             bins[k].append(i)
+            bins[k].fill += sizes[i]
             insort(room, (left - sizes[i], k))
-    return bins
+    return [bins[k] for _, k in room]
 
 
-def fitness(bins, sizes, capacity: int) -> float:
+def fitness(bins, capacity: int) -> float:
     """Mean squared fill: a full and an empty bin are worth more than two half full ones."""
-    return sum((sum(sizes[i] for i in b) / capacity) ** 2 for b in bins) / max(1, len(bins))
+    return sum([b.fill * b.fill for b in bins]) / (capacity * capacity * max(1, len(bins)))
 
 
 def crossover(a, b, sizes, capacity: int, rng: random.Random):
-    """Whole well-filled bins of b injected into a."""
-    filled = sorted(b, key=lambda x: -sum(sizes[i] for i in x))
-    donors = [x for x in filled[: max(1, len(b) // 2)] if rng.random() < 0.5] or filled[:1]
+    """Whole well-filled bins of b injected into a. The fullest bins come first in both."""
+    donors = [x for x in b[: max(1, len(b) // 2)] if rng.random() < 0.5] or b[:1]
     injected = {i for x in donors for i in x}
     kept, displaced = [], []
     for x in a:
@@ -61,47 +78,64 @@ def crossover(a, b, sizes, capacity: int, rng: random.Random):
 
 
 def mutate(bins, sizes, capacity: int, rng: random.Random):
-    """Dissolves the worst bins and a few others."""
-    order = sorted(bins, key=lambda x: sum(sizes[i] for i in x))
-    n = max(1, len(bins) // 10)
-    out = order[:n] + [x for x in order[n:] if rng.random() < 0.05]
+    """Dissolves the worst bins and a few others. The fullest bins come first."""
+    n = len(bins) - max(1, len(bins) // 10)
+    out = bins[n:] + [x for x in bins[:n] if rng.random() < 0.05]
     gone = set(map(id, out))
     loose = [i for x in out for i in x]
     rng.shuffle(loose)
     return best_fit(loose, sizes, capacity, [x for x in bins if id(x) not in gone])
 
 
+def least_bins(sizes: list[int], capacity: int) -> int:
+    """No packing has fewer bins: items too large to stand beside each other, and the room they leave to the rest (Martello and Toth's second bound)."""
+    down = sorted(sizes, reverse=True)
+    sums = [0, *accumulate(down)]
+    up = [-x for x in down]
+    half = bisect_left(up, -capacity / 2)  # items over half a bin
+    least = -(-sums[-1] // capacity)
+    for at in range(half, len(down)):
+        small = down[at]
+        big = bisect_left(up, small - capacity)  # items that don't go beside this one
+        end = bisect_right(up, -small)
+        least = max(least, half + max(0, -(-(sums[end] - sums[half] - ((half - big) * capacity - sums[half] + sums[big])) // capacity)))
+    return max(least, half)
+
+
 def evolve(sizes: list[int], capacity: int, seed: int, guests: list[list[int]]) -> list[int]:
     """The bin of each item in the best packing found. guests: packings to start from, as bin numbers."""
     rng = random.Random(seed)
     n = len(sizes)
-    least = -(-sum(sizes) // capacity)
+    least = least_bins(sizes, capacity)
     down = sorted(range(n), key=lambda i: (-sizes[i], i))
     people = []
     for g in guests:
         made: dict[int, list[int]] = {}
         for i, k in enumerate(g):
             made.setdefault(k, []).append(i)
-        people.append(list(made.values()))
+        people.append([Bin(b, sum([sizes[i] for i in b])) for b in made.values()])
+        people[-1].sort(key=lambda b: -b.fill)
     if not people:
         people = [best_fit(down, sizes, capacity)]
     while len(people) < POPULATION and not (len(people[0]) <= least):
         order = sorted(range(n), key=lambda i: -sizes[i] * rng.uniform(0.7, 1.3))
         people.append(best_fit(order, sizes, capacity))
-    worth = lambda p: (-len(p), fitness(p, sizes, capacity))
-    people.sort(key=worth, reverse=True)
-    for _ in range(GENERATIONS):
-        if len(people[0]) <= least or len(people) < 2:
-            break  # no packing has fewer containers
+    rated = [(len(p), -fitness(p, capacity), k, p) for k, p in enumerate(people)]
+    rated.sort()
+    born, since = len(rated), 0
+    while rated[0][0] > least and len(rated) > 1 and since < PATIENCE:
+        before = rated[0][:2]
         for _ in range(CHILDREN):
-            a, b = rng.sample(people[: max(2, POPULATION // 2 + 1)], 2)
-            child = crossover(a, b, sizes, capacity, rng)
+            a, b = rng.sample(rated[: max(2, POPULATION // 2 + 1)], 2)
+            child = crossover(a[3], b[3], sizes, capacity, rng)
             if rng.random() < 0.4:
                 child = mutate(child, sizes, capacity, rng)
-            people.append(child)
-        people = sorted(people, key=worth, reverse=True)[:POPULATION]
+            rated.append((len(child), -fitness(child, capacity), born, child))
+            born += 1
+        rated = sorted(rated)[:POPULATION]
+        since = 0 if rated[0][:2] < before else since + 1
     out = [0] * n
-    for k, b in enumerate(people[0]):
+    for k, b in enumerate(rated[0][3]):
         for i in b:
             out[i] = k
     return out

@@ -282,6 +282,20 @@ def test_p6_crossover_keeps_items():
     assert sorted(i for x in child for i in x) == list(range(80)) and all(sum(sizes[i] for i in x) <= 100 for x in child)
 
 
+def test_p6_evolution_gains_on_best_fit():
+    """Best fit leaves 232 bins here, as did six generations; the evolution goes on while it gains, and stops at the bound."""
+    rng = random.Random(2)
+    sizes = [min(511, int(rng.lognormvariate(5.3, 0.6))) for _ in range(512)]
+    down = sorted(range(512), key=lambda i: -sizes[i])
+    assert len(packing.best_fit(down, sizes, 512)) == 232
+    bins = packing.evolve(sizes, 512, 1, [])
+    fill = [0] * (max(bins) + 1)
+    for i, k in enumerate(bins):
+        fill[k] += sizes[i]
+    assert len(fill) <= 231 and max(fill) <= 512 and min(fill) > 0
+    assert packing.least_bins([60, 60, 60, 30], 100) == 3 and packing.least_bins([50, 50, 50, 50, 1], 100) == 3 and packing.least_bins([70, 70, 40, 40], 100) == 3
+
+
 def test_p7_shares_and_repeats(spark):
     rng = random.Random(9)
     rows = [(i, "word " * rng.randint(5, 60), rng.choice(["big_one", "big-one ", "BIG_ONE", "small", "other", None])) for i in range(2000)] + [(9999, None, "small")]
