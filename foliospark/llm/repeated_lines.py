@@ -6,7 +6,7 @@ no copy; its lines count once. Every distinct line is then counted over clusters
 over pages (`on_pages`), which is the number the test-data statement asks for.
 
 Texts travel through no shuffle: a line is a 64-bit key of its normalised form, a page an array of keys. Counting
-makes (document, page, line) distinct and sums them up, each with partial results before the shuffle, so that
+makes lines distinct within a page, across tasks only for pages read more than once, and sums them up, each with partial results before the shuffle, so that
 neither a document that holds a third of all pages nor a line that stands on all of them meets in one task.
 """
 
@@ -64,20 +64,20 @@ def page_documents(pages: DataFrame) -> DataFrame:
 
 
 def page_clusters(keyed: DataFrame, pages: DataFrame) -> DataFrame:
-    """page_id, doc, stands_for: the pages a page stands for in counting, 0 for a copy of another page of its document.
+    """page_id, doc, stands_for, once: the pages a page stands for in counting, 0 for a copy of another page of its document; whether it was read once only.
 
     keyed: page_id, content. Only ids and hashes are handled here. Pages with several contents stand for themselves.
     """
-    contents = keyed.where("page_id is not null").groupBy("page_id").agg(F.min("content").alias("least"), F.max("content").alias("most"))
-    known = materialize(page_documents(pages).join(contents, "page_id").select("page_id", "doc", F.when(F.col("least") == F.col("most"), F.col("least")).alias("content")))
+    contents = keyed.where("page_id is not null").groupBy("page_id").agg(F.min("content").alias("least"), F.max("content").alias("most"), (F.count(F.lit(1)) == 1).alias("once"))
+    known = materialize(page_documents(pages).join(contents, "page_id").select("page_id", "doc", "once", F.when(F.col("least") == F.col("most"), F.col("least")).alias("content")))
     copies = known.where("content is not null").groupBy("doc", "content").agg(F.min("page_id").alias("first_page"), F.count(F.lit(1)).alias("n")).where("n > 1")
     joined = known.join(copies, ["doc", "content"], "left")
     stands_for = F.when(F.col("n").isNull(), 1).when(F.col("page_id") == F.col("first_page"), F.col("n")).otherwise(0)
-    return materialize(joined.select("page_id", "doc", stands_for.cast("int").alias("stands_for")))
+    return materialize(joined.select("page_id", "doc", "once", stands_for.cast("int").alias("stands_for")))
 
 
 def keyed_pages(ocr: DataFrame, pages: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(cache_seq, page_id, doc, stands_for, keys of every row with ocr_ok; doc, n_pages). doc is null where `pages` lacks the page."""
+    """(cache_seq, page_id, doc, stands_for, once, keys of every row with ocr_ok; doc, n_pages). doc is null where `pages` lacks the page."""
     keys = F.coalesce(line_keys(F.col("ocr_text")), F.array().cast("array<bigint>"))
     keyed = materialize(ocr.where("ocr_ok").select("cache_seq", "page_id", keys.alias("keys")).withColumn("content", F.xxhash64("keys")))
     clusters = page_clusters(keyed.select("page_id", "content"), pages)
@@ -87,9 +87,11 @@ def keyed_pages(ocr: DataFrame, pages: DataFrame) -> tuple[DataFrame, DataFrame]
 
 def count_lines(keyed: DataFrame, sizes: DataFrame) -> DataFrame:
     """doc, n_pages, key, on_pages, clusters of the lines on two pages or more and on REPEATED_SHARE of the pages."""
-    lines = (keyed.where("stands_for > 0").select(F.xxhash64("doc").alias("d"), F.xxhash64("page_id").alias("page"), "stands_for", F.explode(F.filter("keys", lambda k: k != 0)).alias("key"))
-             .groupBy("d", "page", "key").agg(F.max("stands_for").alias("pages")))
-    counted = lines.groupBy("d", "key").agg(F.sum("pages").alias("on_pages"), F.count(F.lit(1)).alias("clusters")).where("on_pages >= 2")
+    of_page = F.explode(F.array_distinct(F.filter("keys", lambda k: k != 0))).alias("key")
+    stands = keyed.where("stands_for > 0").withColumn("d", F.xxhash64("doc"))
+    read_once = stands.where("once").select("d", of_page, F.col("stands_for").alias("pages"))
+    again = stands.where("not once").select("d", F.xxhash64("page_id").alias("page"), "stands_for", of_page).groupBy("d", "page", "key").agg(F.max("stands_for").alias("pages"))
+    counted = read_once.unionByName(again.drop("page")).groupBy("d", "key").agg(F.sum("pages").alias("on_pages"), F.count(F.lit(1)).alias("clusters")).where("on_pages >= 2")
     return counted.join(sizes.withColumn("d", F.xxhash64("doc")), "d").where(F.col("on_pages") >= F.col("n_pages") * REPEATED_SHARE).drop("d")
 
 

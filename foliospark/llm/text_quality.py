@@ -13,7 +13,8 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..session import settled
@@ -76,21 +77,24 @@ def _sums(df: DataFrame, widening: float = 1.0) -> Fits:
     return {k: (m, c * widening + np.diag(np.square(FLOOR))) for k, (m, c) in fits.items()}
 
 
-def _distance(fits: Fits) -> Column:
-    """struct<d2, away, contributions>: contributions z_j * (S^-1 z)_j add up to the squared distance, those away from prose to `away`."""
+def _distance(fits: Fits, parts: bool = False) -> Column:
+    """struct<d2, away, and with parts contributions>: contributions z_j * (S^-1 z)_j add up to the squared distance, those away from prose to `away`."""
     models = {k: (m, np.linalg.inv(c)) for k, (m, c) in fits.items()}
 
-    @F.pandas_udf("d2 double, away double, contributions array<double>")
-    def distance(lang: pd.Series, stats: pd.Series) -> pd.DataFrame:
-        x = np.stack(stats.to_numpy()) if len(stats) else np.zeros((0, D))
+    @F.arrow_udf("d2 double, away double" + ", contributions array<double>" * parts)
+    def distance(lang: pa.Array, stats: pa.Array) -> pa.Array:
+        x = stats.flatten().to_numpy().reshape(-1, D)
         share, away = np.zeros((len(x), D)), np.zeros(len(x))
         for k in lang.unique():
-            mean, inv = models.get(k, models[COMMON])
-            at = (lang == k).to_numpy()
+            mean, inv = models.get(k.as_py(), models[COMMON])
+            at = pc.equal(lang, k).to_numpy(zero_copy_only=False)
             z = x[at] - mean
             share[at] = z * (z @ inv)
             away[at] = np.where(z * SIGNS > 0, share[at], 0.0).sum(1)
-        return pd.DataFrame({"d2": share.sum(1), "away": away, "contributions": list(share)})
+        if not parts:
+            return pa.StructArray.from_arrays([pa.array(share.sum(1)), pa.array(away)], names=["d2", "away"])
+        lists = pa.ListArray.from_arrays(pa.array(np.arange(0, share.size + 1, D), pa.int32()), pa.array(share.ravel()))
+        return pa.StructArray.from_arrays([pa.array(share.sum(1)), pa.array(away), lists], names=["d2", "away", "contributions"])
 
     return distance("lang", "stats")
 
@@ -123,7 +127,7 @@ def distances(stats: DataFrame) -> DataFrame:
     fits = fit(stats)
     if not fits:
         return stats.withColumns({"d2": F.lit(None).cast("double"), "away": F.lit(None).cast("double"), "contributions": F.array().cast("array<double>")})
-    return stats.select("*", _distance(fits).alias("m")).select("cache_seq", "lang", "kind", "stats", "m.d2", "m.away", "m.contributions")
+    return stats.select("*", _distance(fits, parts=True).alias("m")).select("cache_seq", "lang", "kind", "stats", "m.d2", "m.away", "m.contributions")
 
 
 def outliers(m: DataFrame) -> DataFrame:
