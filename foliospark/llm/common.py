@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterable
+from itertools import pairwise
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -54,6 +55,12 @@ def arrow_schema(ddl: str) -> pa.Schema:
     return pa.schema(fields)
 
 
+def lists(column: pa.ListArray) -> list[list]:
+    """to_pylist() of a column of lists of numbers, also of lists of such lists, without nulls, in a fraction of its time."""
+    flat = lists(column.values) if pa.types.is_list(column.type.value_type) else column.values.to_numpy(zero_copy_only=False).tolist()
+    return [flat[a:b] for a, b in pairwise(column.offsets.to_pylist())]
+
+
 def map_rows(df: DataFrame, ddl: str, make: Callable[[], Callable[..., Iterable[tuple]]]) -> DataFrame:
     """Arrow batches through `make()`'s function, which takes a row's columns and gives result rows.
 

@@ -10,13 +10,16 @@ are dissolved, dealt into new blocks and packed once more, so that no block keep
 from __future__ import annotations
 
 import random
-from bisect import bisect_left, bisect_right, insort
-from itertools import accumulate
+from bisect import bisect_left, insort
+from itertools import chain, compress
+from math import sumprod
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from ..session import materialize, settled
-from .common import map_rows
+from .common import lists
 from .tokens import TOKENIZER, with_tokens
 
 BLOCK, ISLANDS, ROUNDS = 512, 2, 3
@@ -27,84 +30,94 @@ PATIENCE = 10
 WELL_FILLED = 0.97
 
 
-class Bin(list):
-    """Items of a container with their summed size. Packings share bins, so one that is in a packing is never changed."""
+class Packing(list):
+    """Bins, each a tuple of items, the fullest first; rooms: what is left in each."""
 
-    __slots__ = ("fill",)
+    __slots__ = ("rooms",)
 
-    def __init__(self, items, fill: int):
-        super().__init__(items)
-        self.fill = fill
+
+def packing(bins, rooms) -> Packing:
+    out = Packing(bins)
+    out.rooms = rooms
+    return out
 
 
-def best_fit(order, sizes, capacity: int, bins: list[Bin] | None = None) -> list[Bin]:
+def best_fit(order, sizes, capacity: int, bins=(), rooms=()) -> Packing:
     """Items, in this order, each into the bin it fills most; new bins as needed. The fullest bin comes first."""
-    bins, own = list(bins or ()), set()
-    room = sorted((capacity - b.fill, k) for k, b in enumerate(bins))
+    bins, n = [*bins], len(bins)
+    bits = (n + len(order)).bit_length()  # a bin's room and number in one integer: number in the last bits
+    last = (1 << bits) - 1
+    codes = sorted([(r << bits) + k for k, r in enumerate(rooms)])
     for i in order:
-        at = bisect_left(room, (sizes[i], -1))
-        if at == len(room):
-            own.add(len(bins))
-            bins.append(Bin((i,), sizes[i]))
-            insort(room, (capacity - sizes[i], len(bins) - 1))
+        size = sizes[i] << bits
+        at = bisect_left(codes, size)
+        if at < n:
+            code = codes.pop(at)
+            bins[code & last] += (i,)
+            insort(codes, code - size, 0, at)
         else:
-            left, k = room.pop(at)
-            if k not in own:
-                own.add(k)
-                bins[k] = Bin(bins[k], bins[k].fill)
-            bins[k].append(i)
-            bins[k].fill += sizes[i]
-            insort(room, (left - sizes[i], k))
-    return [bins[k] for _, k in room]
+            insort(codes, (capacity << bits) - size + n)
+            bins.append((i,))
+            n += 1
+    return packing([bins[c & last] for c in codes], [c >> bits for c in codes])
 
 
-def fitness(bins, capacity: int) -> float:
+def fitness(bins: Packing, capacity: int) -> float:
     """Mean squared fill: a full and an empty bin are worth more than two half full ones."""
-    return sum([b.fill * b.fill for b in bins]) / (capacity * capacity * max(1, len(bins)))
-
-
-def crossover(a, b, sizes, capacity: int, rng: random.Random):
-    """Whole well-filled bins of b injected into a. The fullest bins come first in both."""
-    donors = [x for x in b[: max(1, len(b) // 2)] if rng.random() < 0.5] or b[:1]
-    injected = {i for x in donors for i in x}
-    kept, displaced = [], []
-    for x in a:
-        if injected.isdisjoint(x):
-            kept.append(x)
-        else:
-            displaced += [i for i in x if i not in injected]
-    displaced.sort(key=lambda i: -sizes[i])
-    return best_fit(displaced, sizes, capacity, kept + donors)
+    n, rooms = len(bins), bins.rooms
+    return (n * capacity * capacity - 2 * capacity * sum(rooms) + sumprod(rooms, rooms)) / (capacity * capacity * max(1, n))
+
+
+def crossover(a: Packing, b: Packing, sizes, capacity: int, rng: random.Random, places: list[int] | None = None) -> Packing:
+    """Whole well-filled bins of b injected into a. The fullest bins come first in both. places: where(a), if known."""
+    draw = rng.random
+    picked = [draw() < 0.5 for _ in range(max(1, len(b) // 2))]
+    if True not in picked:
+        picked = [True]
+    donors = [*compress(b, picked)]
+    injected = {*chain.from_iterable(donors)}
+    hit = set(map((places or where(a, len(sizes))).__getitem__, injected))
+    kept = [k not in hit for k in range(len(a))]
+    displaced = [i for k in sorted(hit) for i in a[k] if i not in injected]
+    displaced.sort(key=sizes.__getitem__, reverse=True)
+    return best_fit(displaced, sizes, capacity, [*compress(a, kept), *donors], [*compress(a.rooms, kept), *compress(b.rooms, picked)])
+
+
+def where(bins, n: int) -> list[int]:
+    """The bin of each of n items."""
+    out = [0] * n
+    for k, b in enumerate(bins):
+        for i in b:
+            out[i] = k
+    return out
 
 
-def mutate(bins, sizes, capacity: int, rng: random.Random):
+def mutate(bins: Packing, sizes, capacity: int, rng: random.Random) -> Packing:
     """Dissolves the worst bins and a few others. The fullest bins come first."""
     n = len(bins) - max(1, len(bins) // 10)
-    out = bins[n:] + [x for x in bins[:n] if rng.random() < 0.05]
-    gone = set(map(id, out))
-    loose = [i for x in out for i in x]
+    draw = rng.random
+    kept = [draw() >= 0.05 for _ in range(n)]
+    loose = [*chain.from_iterable(bins[n:]), *chain.from_iterable([bins[k] for k in range(n) if not kept[k]])]
     rng.shuffle(loose)
-    return best_fit(loose, sizes, capacity, [x for x in bins if id(x) not in gone])
+    return best_fit(loose, sizes, capacity, [*compress(bins, kept)], [*compress(bins.rooms, kept)])
 
 
 def least_bins(sizes: list[int], capacity: int) -> int:
     """No packing has fewer bins: items too large to stand beside each other, and the room they leave to the rest (Martello and Toth's second bound)."""
-    down = sorted(sizes, reverse=True)
-    sums = [0, *accumulate(down)]
-    up = [-x for x in down]
-    half = bisect_left(up, -capacity / 2)  # items over half a bin
-    least = -(-sums[-1] // capacity)
-    for at in range(half, len(down)):
-        small = down[at]
-        big = bisect_left(up, small - capacity)  # items that don't go beside this one
-        end = bisect_right(up, -small)
-        least = max(least, half + max(0, -(-(sums[end] - sums[half] - ((half - big) * capacity - sums[half] + sums[big])) // capacity)))
-    return max(least, half)
+    n, up = len(sizes), np.sort(np.array(sizes, "int64"))
+    sums = np.append(0, np.cumsum(up[::-1]))  # of so many of the largest
+    half = n - int(np.searchsorted(up, capacity / 2, "right"))  # items over half a bin
+    small = up[: n - half]
+    big = n - np.searchsorted(up, capacity - small, "right")  # items that don't go beside one of these
+    end = n - np.searchsorted(up, small)
+    more = -(-(sums[end] - sums[half] - ((half - big) * capacity - sums[half] + sums[big])) // capacity)
+    return max(half + int(more.max(initial=0)), -(-int(sums[-1]) // capacity))
 
 
 def evolve(sizes: list[int], capacity: int, seed: int, guests: list[list[int]]) -> list[int]:
     """The bin of each item in the best packing found. guests: packings to start from, as bin numbers."""
     rng = random.Random(seed)
+    draw = rng.random
     n = len(sizes)
     least = least_bins(sizes, capacity)
     down = sorted(range(n), key=lambda i: (-sizes[i], i))
@@ -113,32 +126,31 @@ def evolve(sizes: list[int], capacity: int, seed: int, guests: list[list[int]])
         made: dict[int, list[int]] = {}
         for i, k in enumerate(g):
             made.setdefault(k, []).append(i)
-        people.append([Bin(b, sum([sizes[i] for i in b])) for b in made.values()])
-        people[-1].sort(key=lambda b: -b.fill)
+        rooms = {k: capacity - sum([sizes[i] for i in b]) for k, b in made.items()}
+        order = sorted(made, key=rooms.__getitem__)
+        people.append(packing([tuple(made[k]) for k in order], [rooms[k] for k in order]))
     if not people:
         people = [best_fit(down, sizes, capacity)]
     while len(people) < POPULATION and not (len(people[0]) <= least):
-        order = sorted(range(n), key=lambda i: -sizes[i] * rng.uniform(0.7, 1.3))
-        people.append(best_fit(order, sizes, capacity))
+        shaken = np.array([-x * (0.7 + (1.3 - 0.7) * draw()) for x in sizes])
+        people.append(best_fit(np.argsort(shaken, kind="stable").tolist(), sizes, capacity))
     rated = [(len(p), -fitness(p, capacity), k, p) for k, p in enumerate(people)]
     rated.sort()
-    born, since = len(rated), 0
+    born, since, places = len(rated), 0, {}
     while rated[0][0] > least and len(rated) > 1 and since < PATIENCE:
         before = rated[0][:2]
         for _ in range(CHILDREN):
             a, b = rng.sample(rated[: max(2, POPULATION // 2 + 1)], 2)
-            child = crossover(a[3], b[3], sizes, capacity, rng)
+            if a[2] not in places:
+                places[a[2]] = where(a[3], n)
+            child = crossover(a[3], b[3], sizes, capacity, rng, places[a[2]])
             if rng.random() < 0.4:
                 child = mutate(child, sizes, capacity, rng)
             rated.append((len(child), -fitness(child, capacity), born, child))
             born += 1
         rated = sorted(rated)[:POPULATION]
         since = 0 if rated[0][:2] < before else since + 1
-    out = [0] * n
-    for k, b in enumerate(rated[0][3]):
-        for i in b:
-            out[i] = k
-    return out
+    return where(rated[0][3], n)
 
 
 def _pack_blocks(items: DataFrame, blocks: int, salt: int) -> DataFrame:
@@ -149,10 +161,14 @@ def _pack_blocks(items: DataFrame, blocks: int, salt: int) -> DataFrame:
     state = state.select("*", F.explode(F.sequence(F.lit(0), F.lit(ISLANDS - 1))).alias("island")).withColumn("guests", F.array().cast("array<array<int>>"))
     state = state.repartition("capacity", "block", "island")
     for round_ in range(ROUNDS):
-        def make(round_=round_):
-            return lambda capacity, block, island, items, sizes, guests: [(capacity, block, island, items, sizes, evolve(sizes, capacity, hash((block, island, round_, salt)), guests))]
-
-        evolved = map_rows(state.select("capacity", "block", "island", "items", "sizes", "guests"), "capacity int, block int, island int, items array<string>, sizes array<int>, bins array<int>", make)
+        def run(batches, round_=round_):
+            for batch in batches:
+                *same, guests = batch.columns  # items stay in Arrow
+                capacity, block, island = (x.to_pylist() for x in same[:3])
+                bins = [evolve(z, c, hash((b, i, round_, salt)), g) for c, b, i, z, g in zip(capacity, block, island, lists(same[4]), lists(guests))]
+                yield pa.RecordBatch.from_arrays([*same, pa.array(bins, pa.list_(pa.int32()))], [*batch.schema.names[:-1], "bins"])
+
+        evolved = state.select("capacity", "block", "island", "items", "sizes", "guests").mapInArrow(run, "capacity int, block int, island int, items array<string>, sizes array<int>, bins array<int>")
         worth = F.struct((-F.array_max("bins")).alias("bins"), (-F.col("island")).alias("island"))
         if round_ == ROUNDS - 1:
             state = evolved.groupBy("capacity", "block").agg(F.max_by(F.struct("items", "sizes", "bins"), worth).alias("b"))

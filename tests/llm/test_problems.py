@@ -1,12 +1,13 @@
 import datetime as dt
 import math
 import random
+import zlib
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from foliospark.llm import mixing, packing, reading_level, repeated_lines, scan_repair, text_quality, tokens, top_n, truncation
+from foliospark.llm import common, mixing, packing, reading_level, repeated_lines, scan_repair, text_quality, tokens, top_n, truncation
 from foliospark.llm.page_layout import HEAD, IN_COLUMNS, INTERRUPTS, NUMBER_ALONE, RUNS_ON, Layout
 from foliospark.llm.page_text import kinds, own_lines, statistics
 
@@ -296,6 +297,18 @@ def test_p6_evolution_gains_on_best_fit():
     assert packing.least_bins([60, 60, 60, 30], 100) == 3 and packing.least_bins([50, 50, 50, 50, 1], 100) == 3 and packing.least_bins([70, 70, 40, 40], 100) == 3
 
 
+def test_p6_packs_as_before():
+    """The packings of the slower evolution, in which every crossover searched all bins; lists of numbers come out of Arrow whole."""
+    rng = random.Random(2)
+    sizes = [min(511, int(rng.lognormvariate(5.3, 0.6))) for _ in range(512)]
+    one, two = (packing.evolve(sizes, 512, seed, []) for seed in (1, 2))
+    got = [one, two, packing.evolve(sizes, 512, 3, [one, two]), packing.evolve([s * 7 % 900 + 1 for s in sizes], 2048, 4, [])]
+    assert [zlib.crc32(bytes(x)) for x in got] == [4236381333, 1327540481, 850864450, 1783183696]
+    for rows in ([[1, 2], [], [3]], [[[1, 2], [3]], [], [[], [4]]]):
+        column = pa.array(rows, pa.list_(pa.int32()) if rows[0][0] == 1 else pa.list_(pa.list_(pa.int32())))
+        assert common.lists(column) == rows and common.lists(column[1:]) == rows[1:] and common.lists(column[:0]) == []
+
+
 def test_p7_shares_and_repeats(spark):
     rng = random.Random(9)
     rows = [(i, "word " * rng.randint(5, 60), rng.choice(["big_one", "big-one ", "BIG_ONE", "small", "other", None])) for i in range(2000)] + [(9999, None, "small")]
@@ -348,3 +361,22 @@ def test_p8_rare_words_count_the_same(spark, monkeypatch):
 def test_token_counts_of_long_texts():
     text = "word, another word. " * 20_000
     assert tokens.count_tokens(text) == len(tokens.encoder(tokens.TOKENIZER).encode_ordinary(text))
+
+
+def test_token_counts_come_from_words(monkeypatch):
+    """Words already met aren't encoded again (p6 and p7 did so with every text), and counts are those of whole texts."""
+    encode, rng, met = tokens.encoder(tokens.TOKENIZER).encode_ordinary, random.Random(5), []
+    bits = ["a", "Be", "é", "1", "²", "Ⅷ", "一", "'", "'s", "'ll", ".", "_", "!", "\u0301", " ", " ", " ", "  ", "\n", "\t", "\r\n", "\x1c", "\x85", "\xa0", "\u2003", "\u200b", "word", " the"]
+    texts = ["".join(rng.choices(bits, k=rng.randint(1, 14))) for _ in range(5000)] + ["", " ", "page 1", "page 1 \n\n two\n"]
+    for most in (tokens.WORDS, 20, 0):
+        monkeypatch.setattr(tokens, "WORDS", most)
+        monkeypatch.setattr(tokens, "_words", {})
+        assert [tokens.count_tokens(x) for x in texts] == [len(encode(x)) for x in texts]
+        assert len(tokens._words[tokens.TOKENIZER]) <= most
+    monkeypatch.setattr(tokens, "WORDS", 100)
+    monkeypatch.setattr(tokens, "_words", {})
+    text = "The page holds the answer, and the page is read. " * 50
+    n = tokens.count_tokens(text.strip())
+    words = tokens._words[tokens.TOKENIZER]
+    words.encode = lambda x: met.append(x) or encode(x)
+    assert tokens.count_tokens(text.strip()) == n == len(encode(text.strip())) and met == ["The"]
