@@ -237,7 +237,7 @@ def idf(df, n):
 def bm25_topk(queries: DataFrame, pages: DataFrame, k: int, k1: float = K1, b: float = B) -> DataFrame:
     """query_id, page_id, score, rank; ties by page id. Pages without a query term score 0 and fill up the list.
 
-    queries: query_id, text; pages: page_id, text, one row a page. An empty query ranks all pages at 0; empty pages
+    queries: query_id, text; pages: page_id, text, one row a page, or term_counts() of them as a table. An empty query ranks all pages at 0; empty pages
     have length 0. Null ids are left out. Terms are counted in one pass over the texts without a shuffle; frequencies are
     summed for the queries' terms only, and no (query, page) pair leaves its task unless it is among the task's k best.
     Queries of the same words, in any order, are ranked once.
@@ -253,7 +253,7 @@ def bm25_topk(queries: DataFrame, pages: DataFrame, k: int, k1: float = K1, b: f
 def _bm25(queries: DataFrame, pages: DataFrame, k: int, k1: float, b: float) -> DataFrame:
     """bm25_topk() of queries (query_id, words) that differ."""
     wanted = materialize(queries.select("query_id", F.explode("words").alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qtf")))
-    counted = materialize(term_counts(pages))
+    counted = pages if "tokens" in pages.columns else materialize(term_counts(pages))
     stats = counted.agg(F.count(F.lit(1)).alias("n"), F.avg("length").cast("float").cast("double").alias("mean")).first()
     n, mean = stats["n"], stats["mean"] or 1.0
     found = counted.select(F.explode(F.array_distinct("tokens")).alias("term")).join(wanted.select("term").distinct(), "term", "left_semi")

@@ -174,13 +174,13 @@ def checkpoint_guard(spark, d):
     return per.select("query_id", "next_step", resume.checkpoint_error(F.col("next_step"), 12, F.col("first"), F.col("last"), F.col("has_state")).alias("error"))
 
 
-# Hybrid retrieval: page n of the handles has vector n; a search turn has the vector of its id.
+# Hybrid retrieval of all search turns: page n of the handles has vector n; a search turn has the vector of its id, if there is one.
 
-HYBRID = TOKENS + SEARCH + r""", wt as (select query_id, term, count(*) as qtf from (select query_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')) as term from wanted) group by query_id, term),
+HYBRID = TOKENS + SEARCH.replace("output_id % 20 = 0", "output_id is not null") + r""", wt as (select query_id, term, count(*) as qtf from (select query_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')) as term from wanted) group by query_id, term),
 tf as (select page_id, term, count(*) as tf from tokens group by page_id, term), df as (select term, count(*) as df from tf group by term),
 bhits as (select query_id, tf.page_id, round(sum(qtf * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / mean))), 9) as score from wt join tf using (term) join df using (term) join lengths l on l.page_id = tf.page_id, stats group by query_id, tf.page_id),
 sparse as (select query_id, page_id, rank from (select w.query_id, p.page_id, row_number() over (partition by w.query_id order by coalesce(score, 0.0) desc, p.page_id) as rank from wanted w cross join pages_text p left join bhits h on h.query_id = w.query_id and h.page_id = p.page_id) where rank <= 1000),
-""" + COS.strip().removeprefix("with ") + """, located as (select page_id, cast(substr(page_handle, 6) as bigint) as vec_id from handle_mapping),
+""" + COS.strip().removeprefix("with ").replace(" where q.vec_id % 20 = 0", "") + """, located as (select page_id, cast(substr(page_handle, 6) as bigint) as vec_id from handle_mapping),
 dense as (select * from (select qid as query_id, l.page_id, row_number() over (partition by qid order by score desc, id) as rank from scores join wanted on wanted.query_id = qid join located l on l.vec_id = id) where rank <= 1000)
 """
 HYBRID += """, fused as (select query_id, page_id, round(sum(1.0 / (60 + rank)), 12) as score, min(rank) as best_rank from (select * from sparse union all select * from dense) group by query_id, page_id),
@@ -188,15 +188,23 @@ final as (select * from (select *, cast(row_number() over (partition by query_id
 """
 
 
-def _hybrid(spark, d, depth: int = 1000) -> DataFrame:
-    searches = materialize(_searches(spark, d))
-    sparse = R.bm25_topk(searches, _pages_text(spark, d), depth).select("query_id", "page_id", "rank")
+def _hybrid(spark, d, depth: int = 1000, k: int = 10) -> DataFrame:
+    """The k best pages of every search turn. A turn without a vector has its BM25 ranking alone, which fusion keeps in order: its first k are enough."""
+    searches = materialize(_searches(spark, d, 1))
+    pages = materialize(R.term_counts(_pages_text(spark, d)))
     located = t(spark, d, "handle_mapping").select("page_id", F.substring("page_handle", 6, 20).cast("bigint").alias("id"))
     e = t(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"))
     corpus = materialize(e.join(located.select("id"), "id", "left_semi"))
-    q = e.withColumnRenamed("id", "qid").join(searches.select(F.col("query_id").alias("qid")), "qid", "left_semi")
+    q = materialize(e.withColumnRenamed("id", "qid").join(searches.select(F.col("query_id").alias("qid")), "qid", "left_semi"))
+    seen = q.select(F.col("qid").alias("query_id"))
     dense = R.dense_topk(q, corpus, depth).join(located, "id").select(F.col("qid").alias("query_id"), "page_id", "rank")
-    return R.rrf(sparse.unionByName(dense), 10)
+    sparse = R.bm25_topk(searches.join(seen, "query_id", "left_semi"), pages, depth)
+    alone = R.bm25_topk(searches.join(seen, "query_id", "left_anti"), pages, k)
+    return R.rrf(_lists(sparse).unionByName(dense), k).unionByName(R.rrf(_lists(alone), k))
+
+
+def _lists(ranking: DataFrame) -> DataFrame:
+    return ranking.select("query_id", "page_id", "rank")
 
 
 @query(HYBRID + "select query_id, page_id, round(score, 9) as score, cast(best_rank as bigint) as best_rank, rank from final")
@@ -213,7 +221,7 @@ def hybrid_eval(spark, d):
     """The fused ranking of each search turn against the answer of its query."""
     turn = t(spark, d, "model_outputs").where("query_id is not null").select(F.col("output_id").alias("turn"), "query_id").distinct()
     gold = E.one_annotation(t(spark, d, "annotations")).select("query_id", "answer_page_id")
-    asked = _searches(spark, d).select(F.col("query_id").alias("turn")).join(turn, "turn").join(gold, "query_id").groupBy("turn").agg(F.min("answer_page_id").alias("page_id"))
+    asked = _searches(spark, d, 1).select(F.col("query_id").alias("turn")).join(turn, "turn").join(gold, "query_id").groupBy("turn").agg(F.min("answer_page_id").alias("page_id"))
     hits = asked.join(_hybrid(spark, d).select(F.col("query_id").alias("turn"), "page_id", "rank"), ["turn", "page_id"], "left")
     return hits.agg(F.count(F.lit(1)).alias("n_queries"), *[F.round(F.avg(F.coalesce((F.col("rank") <= k).cast("double"), F.lit(0.0))), 6).alias(f"recall_at_{k}") for k in E.DEPTHS], F.round(F.avg(F.coalesce(1.0 / F.col("rank"), F.lit(0.0))), 6).alias("mrr_at_10"))
 
