@@ -34,3 +34,13 @@ def test_hybrid_eval_counts_every_annotated_search_turn(spark, folder):
     """Not only the turns whose id is divisible by 20."""
     got = [r.asDict() for r in QUERIES["hybrid_eval"](spark, folder).collect()]
     assert [r["n_queries"] for r in got] == [4] and got == by_sql(folder, "hybrid_eval")
+
+
+def test_hybrid_topk_ranks_every_search_turn(spark, folder):
+    """Turns without a vector, also several of the same words, have their BM25 ranking; those with one both."""
+    got = [r.asDict() for r in QUERIES["hybrid_topk"](spark, folder).collect()]
+    lists = {i: [r["page_id"] for r in sorted(got, key=lambda r: r["rank"]) if r["query_id"] == i] for i in TURNS}
+    assert len(got) == 10 * len(TURNS) and all(len(set(x)) == 10 for x in lists.values())
+    assert lists[48] == [f"p{i:02}" for i in range(1, 11)] and lists[3] != lists[21]
+    key = lambda r: (r["query_id"], r["rank"])
+    assert sorted(got, key=key) == sorted(by_sql(folder, "hybrid_topk"), key=key)
